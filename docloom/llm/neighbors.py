@@ -86,8 +86,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32, copy=False)
 
 
-def _best_pairs(ids: np.ndarray, vectors: np.ndarray, width: int, floor: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's ``width`` most similar other rows, in blocks of rows; ties to the smaller id."""
+def _best_pairs(ids: np.ndarray, vectors: np.ndarray, width: int, floor: float, anchors: bool = False, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's ``width`` most similar other rows, in blocks of rows; ties to the smaller id.
+
+    ``anchors``: also the first row, by id, that is similar enough. Such links span a dense group that the best ones may not.
+    """
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     us, vs, sims = [], [], []
@@ -101,6 +104,13 @@ def _best_pairs(ids: np.ndarray, vectors: np.ndarray, width: int, floor: float,
             best = np.broadcast_to(np.arange(sim.shape[1]), sim.shape)
         value = np.take_along_axis(sim, best, 1)
         ok = value >= floor
+        if anchors:
+            near = sim >= floor
+            first = near.argmax(1)
+            far = near[rows, first]
+            us.append(ids[start : start + block][far])
+            vs.append(ids[first[far]])
+            sims.append(sim[rows, first][far])
         us.append(np.repeat(ids[start : start + block], ok.sum(1)))
         vs.append(ids[best[ok]])
         sims.append(value[ok])
@@ -139,7 +149,7 @@ def _top(edges: DataFrame, width: int) -> DataFrame:
     return ranked.select("u", F.transform(F.slice("viz", 1, width), lambda x: F.struct(x["sim"].alias("sim"), (-x["menos"]).alias("v"))).alias("viz"))
 
 
-def _first_edges(nodes: DataFrame, forest: Forest, dim: int, width: int, floor: float, limit: int) -> DataFrame:
+def _first_edges(nodes: DataFrame, forest: Forest, dim: int, width: int, floor: float, limit: int, anchors: bool = False) -> DataFrame:
     shared = nodes.sparkSession.sparkContext.broadcast(forest)
     trees = len(forest.axes)
 
@@ -163,7 +173,7 @@ def _first_edges(nodes: DataFrame, forest: Forest, dim: int, width: int, floor:
                     by = part[np.argsort(vectors[part] @ rng.standard_normal(dim).astype(np.float32), kind="stable")]
                     parts += [by[: part.size // 2], by[part.size // 2 :]]
                 elif part.size > 1:
-                    yield _edges_batch(*_best_pairs(ids[part], vectors[part], width, floor))
+                    yield _edges_batch(*_best_pairs(ids[part], vectors[part], width, floor, anchors))
 
     planted = nodes.mapInArrow(plant, "folha bigint, id bigint, vetor array<float>")
     return planted.repartition("folha").sortWithinPartitions("folha").mapInArrow(compare, _EDGE)
@@ -201,13 +211,23 @@ def neighbor_graph(nodes: DataFrame, dim: int = 128, width: int = WIDTH, trees:
 
     ``nodes`` has ``id, vetor`` with unit vectors. ``viz`` is sorted by descending similarity, ties by id.
     """
+    graph = cut(_top(leaf_edges(nodes, dim, width, trees, leaf, floor, sample, seed), width))
+    return descend(nodes, graph, dim, width, rounds, floor)
+
+
+def leaf_edges(nodes: DataFrame, dim: int, width: int = WIDTH, trees: int = TREES, leaf: int = LEAF, floor: float = -1.0, sample: int = SAMPLE, seed: int = SEED, anchors: bool = False) -> DataFrame:
+    """``u, v, sim`` from all pairs within the leaves of the trees."""
     total = nodes.count()
     share = min(1.0, 1.3 * sample / max(1, total))
     drawn = nodes.select("vetor").sample(fraction=share, seed=seed).limit(sample) if share < 1 else nodes.select("vetor")
     rows = drawn.toArrow()
     fitted = _matrix(rows.column("vetor").combine_chunks(), dim) if rows.num_rows else np.zeros((0, dim), np.float32)
     forest = Forest(fitted, total, trees, leaf, seed)
-    graph = cut(_top(_first_edges(nodes, forest, dim, width, floor, 8 * leaf), width))
+    return _first_edges(nodes, forest, dim, width, floor, 8 * leaf, anchors)
+
+
+def descend(nodes: DataFrame, graph: DataFrame, dim: int, width: int = WIDTH, rounds: int = ROUNDS, floor: float = -1.0) -> DataFrame:
+    """The graph after ``rounds`` rounds of neighbours of neighbours."""
     for _ in range(rounds):
         old = graph.select("u", F.explode("viz").alias("x")).select("u", F.col("x.v").alias("v"), F.col("x.sim").alias("sim"))
         graph = cut(_top(_round(nodes, graph, dim, width, floor).unionByName(old), width))
