@@ -21,7 +21,7 @@ from docloom.session import cut
 #: The graph keeps so many neighbours of each node while it is built.
 WIDTH = 12
 #: Random-projection trees for the first neighbours, and vectors a leaf holds on average.
-TREES, LEAF = 4, 160
+TREES, LEAF = 8, 400
 #: Vectors on which the trees' cuts are fitted (a bound, whatever the input).
 SAMPLE = 20_000
 #: Rounds of neighbours of neighbours.
@@ -54,30 +54,50 @@ def fold(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Forest:
-    """Random-projection trees: cuts at the median of a sample, stored as arrays."""
+    """Trees of cuts halfway through a sample, each along the line between two of its vectors.
+
+    A node that fewer than ``FEW`` sampled vectors reach is cut along an axis of its level at zero, so the number
+    of axes stays below ``2 * SAMPLE / FEW`` a tree, however deep the trees are.
+    """
+
+    FEW = 24
 
     def __init__(self, sample: np.ndarray, total: int, trees: int, leaf: int, seed: int):
         self.depth = max(0, int(np.ceil(np.log2(max(1, total / leaf)))))
         rng = np.random.default_rng(seed)
-        dim = sample.shape[1] if sample.size else 1
-        self.axes = rng.standard_normal((trees, self.depth, dim)).astype(np.float32)
-        self.cuts = np.zeros((trees, 1 << self.depth), np.float32)
-        for t in range(trees):
-            where = np.ones(len(sample), np.int64)
+        dim = sample.shape[1]
+        self.trees = []
+        for _ in range(trees):
+            axes = [*rng.standard_normal((self.depth + 1, dim)).astype(np.float32)]
+            cuts = [0.0] * len(axes)
+            level_of = [[] for _ in range(self.depth)]
+            where = np.zeros(len(sample), np.int64)
             for level in range(self.depth):
-                shadow = sample @ self.axes[t, level]
-                for node in range(1 << level, 2 << level):
-                    own = shadow[where == node]
-                    self.cuts[t, node] = np.median(own) if own.size else 0
-                where = 2 * where + (shadow > self.cuts[t, where])
+                order = np.argsort(where, kind="stable")
+                edges = np.r_[0, np.flatnonzero(np.diff(where[order])) + 1, len(order)]
+                known = {}
+                for x, y in zip(edges[:-1], edges[1:]):
+                    own = order[x:y]
+                    if own.size >= self.FEW:
+                        one, two = sample[rng.choice(own, 2, replace=False)]
+                        axis = one - two if np.any(one != two) else axes[level]
+                        known[int(where[own[0]])] = len(axes)
+                        cuts.append(float(np.median(sample[own] @ axis)))
+                        axes.append(axis)
+                level_of[level] = known
+                row = np.fromiter((known.get(w, level) for w in where.tolist()), np.int64, len(where))
+                side = np.einsum("ij,ij->i", sample, np.array(axes)[row]) > np.array(cuts)[row]
+                where = 2 * where + side
+            self.trees.append((np.array(axes, np.float32), np.array(cuts, np.float32), level_of))
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """Leaf of every vector in every tree."""
-        out = np.empty((len(vectors), len(self.axes)), np.int64)
-        for t, axes in enumerate(self.axes):
-            where = np.ones(len(vectors), np.int64)
-            for level in range(self.depth):
-                where = 2 * where + (vectors @ axes[level] > self.cuts[t, where])
+        out = np.empty((len(vectors), len(self.trees)), np.int64)
+        for t, (axes, cuts, level_of) in enumerate(self.trees):
+            where = np.zeros(len(vectors), np.int64)
+            for level, known in enumerate(level_of):
+                row = np.fromiter((known.get(w, level) for w in where.tolist()), np.int64, len(where))
+                where = 2 * where + (np.einsum("ij,ij->i", vectors, axes[row]) > cuts[row])
             out[:, t] = where
         return out
 
@@ -151,7 +171,7 @@ def _top(edges: DataFrame, width: int) -> DataFrame:
 
 def _first_edges(nodes: DataFrame, forest: Forest, dim: int, width: int, floor: float, limit: int, anchors: bool = False) -> DataFrame:
     shared = nodes.sparkSession.sparkContext.broadcast(forest)
-    trees = len(forest.axes)
+    trees = len(forest.trees)
 
     def plant(batches):
         for batch in batches:
