@@ -1,4 +1,333 @@
-"""Queries of the core operators, and their SQL."""
+"""Queries of the core operators over the driver tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.functions import textclean, translate, vocabulary
+from docloom.operators import clusters, curation, embed, phrases, segments, vectors
+from docloom.plans import sqltext
+from docloom.session import cut, load
+from docloom.sources import corpus, tables
+
+# Translation rules and edge of a sample configuration.
+RULES = ["parte autora => parte_autora", "nexo causal => nexo_causal", "multa", "dano moral => dano_moral", "prazo prescricional => prazo_prescricional"]
+STOPS = ["ao", "com", "como", "dos", "das", "em", "foi", "na", "no", "nos", "nao", "o", "os", "para", "pela", "pelo", "por", "que", "se", "sem", "um", "uma", *textclean.DIGIT_WORDS]
+SIMILAR, CLOSE = 0.3, 0.9
+AT = "2022-12-03 12:00:00"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per token of more than one character."""
+    return _docs(spark, sf_dir).select("doc_id", F.explode(textclean.quick_tokens(F.col("text"))).alias("token")).where(F.length("token") > 1)
+
+
+def _vocab(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sheet = load(spark, sf_dir, "curadoria_planilha_vocab").where("termo IS NOT NULL")
+    base = sheet.where("vocab LIKE 'TERMO%'").select(F.col("termo").alias("term")).distinct()
+    return base, sheet.where("vocab = 'REMOVIDO'").select(F.col("termo").alias("term")).distinct()
+
+
+def quick_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned text of every document."""
+    return _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", textclean.quick_text(F.col("text")).alias("texto"))
+
+
+def curation_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and mean TF-IDF of every term."""
+    return curation.core_sheet(_tokens(spark, sf_dir))
+
+
+def curation_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole curation sheet against the vocabulary of earlier sheets."""
+    base, removed = _vocab(spark, sf_dir)
+    return curation.curation_sheet(_tokens(spark, sf_dir), base, removed)
+
+
+def curation_boxplots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box-plot positions of length and counts."""
+    rows = curation.core_sheet(_tokens(spark, sf_dir)).select("termo", "tamanho", "qtd", "qtd_docs")
+    return curation.with_boxplots(rows, ("tamanho", "qtd", "qtd_docs")).select("termo", "tamanho_bp", "qtd_bp", "qtd_docs_bp")
+
+
+def strange_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strangeness of every term of the sheets."""
+    terms = load(spark, sf_dir, "curadoria_planilha_vocab").where("termo IS NOT NULL AND termo <> ''").select("termo").distinct()
+    return terms.select("termo", curation.strange(F.col("termo")).alias("estranho"))
+
+
+def singular_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Singular of every token."""
+    return _tokens(spark, sf_dir).select("token").distinct().select("token", vocabulary.singular(F.col("token")).alias("singular"))
+
+
+def resolved_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolution of every token against the sheets' vocabulary, without fragments."""
+    base, _ = _vocab(spark, sf_dir)
+    found = vocabulary.resolution(_tokens(spark, sf_dir), base, fragment=False)
+    return found.select("token", "tipo", F.array_join("pecas", " ").alias("pecas"))
+
+
+def resolution_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each token is resolved in which way, with fragments."""
+    base, _ = _vocab(spark, sf_dir)
+    return vocabulary.resolution_report(_tokens(spark, sf_dir), base)
+
+
+def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final tokens of every document with translation rules, accepting all tokens."""
+    vocab = vocabulary.Vocabulary(rules=tuple(translate.parse_rules(RULES)))
+    return vocabulary.tokenize(_docs(spark, sf_dir), vocab).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+def removed_plurals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabulary terms whose singular is removed."""
+    base, removed = _vocab(spark, sf_dir)
+    return vocabulary.removed_plurals(base, removed)
+
+
+def translated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned texts after the translation rules."""
+    quick = quick_texts(spark, sf_dir)
+    return quick.select("doc_id", translate.translate_terms(F.col("texto"), translate.parse_rules(RULES)).alias("texto"))
+
+
+def text_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct stem and suffix forms of all tokens."""
+    return vocabulary.text_vocabulary(_docs(spark, sf_dir))
+
+
+def _bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_bigrams(phrases.pieces(phrases.sentence_tokens(_docs(spark, sf_dir)), STOPS))
+
+
+def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigrams mined between stop words."""
+    return _bigrams(spark, sf_dir).select("w1", "w2", "n", F.round("score", 6).alias("score"))
+
+
+def bigram_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translation rules suggested by the bigrams."""
+    return phrases.suggestions(_bigrams(spark, sf_dir))
+
+
+def longer_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of three and four words, mined after joining the bigrams."""
+    return phrases.mine_phrases(phrases.sentence_tokens(_docs(spark, sf_dir)), STOPS)[1]
+
+
+def phrased_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their bigrams joined."""
+    lines = phrases.sentence_tokens(_docs(spark, sf_dir))
+    pairs = phrases.phrase_list(_bigrams(spark, sf_dir))
+    return lines.select("doc_id", "linha", F.array_join(phrases.apply_phrases(F.col("tokens"), pairs), " ").alias("tokens"))
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document."""
+    return segments.passages(_docs(spark, sf_dir))
+
+
+def passages_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct passages at their first place, numbered."""
+    return segments.numbered(segments.first_occurrences(segments.passages(_docs(spark, sf_dir))))
+
+
+def lines_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct lines that aren't blank at their first place."""
+    lines = corpus.text_lines(_docs(spark, sf_dir), "doc_id", "text")
+    return segments.first_occurrences(lines.select(F.col("id").alias("doc_id"), F.col("linha").alias("sent_no"), F.col("texto").alias("sentenca")))
+
+
+def document_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags in the names of documents."""
+    named = load(spark, sf_dir, "documents").where("arquivo IS NOT NULL").select("doc_id", corpus.tags(F.col("arquivo")).alias("t"), "arquivo")
+    return named.where(F.col("arquivo").rlike(r"(?i)\btags?\b\s+\S")).select("doc_id", F.array_join("t", " ").alias("tags"))
+
+
+def document_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First characters of every document."""
+    return _docs(spark, sf_dir).select("doc_id", textclean.preview(F.col("text")).alias("previa"))
+
+
+def _own_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of vetores with a usable vector of the usual length."""
+    return load(spark, sf_dir, "vetores").where((F.size("vetor") == 128) & ~F.exists("vetor", lambda x: x.isNull() | F.isnan(x)) & F.exists("vetor", lambda x: x != 0))
+
+
+def similar_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity view over vetores."""
+    return vectors.similar_view(_own_vectors(spark, sf_dir), 0.7).select("seq_documento_1", "seq_documento_2", "pagina_1", "pagina_2", F.round("sim", 5).alias("sim"))
+
+
+def similar_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar pairs of embeddings."""
+    return vectors.similar_pairs(load(spark, sf_dir, "embeddings"), SIMILAR, "vec_id", "embedding").select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+def top_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each embedding the three most similar above the limit."""
+    pairs = vectors.similar_pairs(load(spark, sf_dir, "embeddings"), SIMILAR, "vec_id", "embedding")
+    return vectors.top_similar(pairs, 3).select("id_1", "id_2", "ordem")
+
+
+def search_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings similar to those whose number is divisible by 50."""
+    rows = load(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    return vectors.search(rows, asked, SIMILAR, "vec_id", "embedding").select("q", "id", F.round("sim", 6).alias("sim"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("rotulo"))
+
+
+def label_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar embeddings with different labels."""
+    pairs = vectors.similar_pairs(load(spark, sf_dir, "embeddings"), SIMILAR, "vec_id", "embedding")
+    return vectors.label_review(pairs, _labels(spark, sf_dir), SIMILAR).select("a", "b", "rotulo_a", "rotulo_b")
+
+
+def label_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels for embeddings whose number is divisible by 10, from their neighbours."""
+    pairs = vectors.similar_pairs(load(spark, sf_dir, "embeddings"), 0.25, "vec_id", "embedding")
+    return vectors.label_suggestions(pairs, _labels(spark, sf_dir).where("id % 10 <> 0"), 0.25).select("id", "rotulo", "votos")
+
+
+def density_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and summed similarity of every embedding with a similar one."""
+    pairs = vectors.similar_pairs(load(spark, sf_dir, "embeddings"), SIMILAR, "vec_id", "embedding", inclusive=True)
+    return clusters.densities(vectors.mirrored(pairs)).select("id", "ligacoes", F.round("soma", 5).alias("soma"))
+
+
+def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clustering of vetores in row order."""
+    return clusters.leader(_own_vectors(spark, sf_dir), 90, "seq_documento", "vetor")
+
+
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clustering of vetores by density."""
+    rows = load(spark, sf_dir, "vetores")
+    return clusters.density(rows, _own_vectors(spark, sf_dir), 90, session="consulta")
+
+
+def density_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of that clustering."""
+    groups = cut(density_clusters(spark, sf_dir))
+    return clusters.audit(groups, _own_vectors(spark, sf_dir), "consulta", 90)
+
+
+def embedding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clustering of embeddings in row order at a low limit."""
+    return clusters.leader(load(spark, sf_dir, "embeddings"), 30, "vec_id", "embedding")
+
+
+def identical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the texts of clustered files are those of their centroid."""
+    rows = load(spark, sf_dir, "util_agrupamento_facil")
+    # A group of the sheet may name several centroids: the smallest file stands for it.
+    first = rows.where("centroide = 1 AND grupo > 0 AND texto IS NOT NULL").groupBy("grupo").agg(F.min("arquivo_id").alias("c"))
+    marked = rows.join(first, "grupo", "left").select(F.col("arquivo_id").alias("id"), "grupo", F.coalesce((F.col("arquivo_id") == F.col("c")).cast("int"), F.lit(0)).alias("centroide"))
+    tokens = rows.select(F.col("arquivo_id").alias("id"), textclean.quick_tokens(F.col("texto")).alias("tokens"))
+    return clusters.identical_to_centroid(marked, tokens).select("id", "grupo", "identico")
+
+
+def session_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of earlier runs by size, renumbered within their session."""
+    rows = load(spark, sf_dir, "grupos").where("grupo > 0").groupBy("sessao", "grupo").agg(F.countDistinct("seq_documento").alias("tamanho"))
+    from pyspark.sql import Window
+
+    return rows.withColumn("novo", F.row_number().over(Window.partitionBy("sessao").orderBy(F.desc("tamanho"), "grupo")))
+
+
+def retained_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusterings kept at a fixed time."""
+    rows = load(spark, sf_dir, "grupos")
+    return tables.retained(rows, rows, AT, group_hours=24 * 20)[0].select("seq_documento", "grupo", "sessao")
+
+
+def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of documents from a model trained on their tokens."""
+    tokens = _docs(spark, sf_dir).select("doc_id", textclean.quick_tokens(F.col("text")).alias("tokens")).where("tokens IS NOT NULL")
+    return embed.infer(embed.train(tokens, dims=16, window=5, epochs=1), tokens).select("doc_id", "vetor")
+
+
+_ALL = (
+    quick_texts, curation_core, curation_sheet, curation_boxplots, strange_terms, singular_forms, resolved_tokens, resolution_report, tokenized, removed_plurals, translated_texts,
+    text_vocabulary, bigrams, bigram_suggestions, longer_phrases, phrased_texts, passages, passages_once, lines_once, document_tags, document_previews, similar_view, similar_embeddings,
+    top_embeddings, search_embeddings, label_review, label_suggestions, density_ranking, leader_clusters, density_clusters, density_audit, embedding_clusters, identical_texts, session_sizes,
+    retained_groups, document_vectors,
+)
+QUERIES = {q.__name__: q for q in _ALL}
+
+_DOCS = "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
+_CLEAN = sqltext.quick_steps(_DOCS, "text", "doc_id")
+_TOKENS = f"{_CLEAN},\ntok AS (SELECT doc_id, w AS token FROM (SELECT doc_id, unnest({sqltext.tokens_of('t')}) AS w FROM limpo) WHERE length(w) > 1)"
+_COUNTS = f"{_TOKENS},\ntf AS (SELECT doc_id, token AS termo, count(*) AS tf FROM tok GROUP BY 1, 2),\ndf AS (SELECT termo, sum(tf)::BIGINT AS qtd, count(*) AS qtd_docs FROM tf GROUP BY 1),\nn AS (SELECT count(DISTINCT doc_id) AS n FROM tf)"
+_WEIGHTS = "w AS (SELECT doc_id, termo, tf.tf * log2(n.n / df.qtd_docs) AS w FROM tf JOIN df USING (termo), n WHERE df.qtd_docs < n.n),\np AS (SELECT termo, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS peso FROM w),\nm AS (SELECT termo, round_even(avg(peso), 5) AS tfidf FROM p GROUP BY 1)"
+_VOCAB = "base AS (SELECT DISTINCT termo AS term FROM curadoria_planilha_vocab WHERE vocab LIKE 'TERMO%' AND termo IS NOT NULL),\nremovido AS (SELECT DISTINCT termo AS term FROM curadoria_planilha_vocab WHERE vocab = 'REMOVIDO' AND termo IS NOT NULL)"
+
+
+def _box(column: str) -> str:
+    labels = curation.BOXPLOT
+    limits = ["q.q[1] - 1.5 * (q.q[4] - q.q[1])", "q.q[1]", "q.q[2]", "q.q[3]", "q.q[4]", "q.q[4] + 1.5 * (q.q[4] - q.q[1])"]
+    cases = " ".join(f"WHEN {column} < {limit} THEN {sqltext.quote(label)}" for limit, label in zip(limits, labels))
+    return f"(SELECT CASE WHEN {column} = 0 THEN '' {cases} ELSE {sqltext.quote(labels[6])} END FROM (SELECT quantile_cont({column}, [0.25, 0.495, 0.505, 0.75]) AS q FROM s WHERE {column} > 0) q)"
+
+
+def _rules_sql(expr: str) -> str:
+    expr = f"' ' || {expr} || ' '"
+    for a, b in translate.parse_rules(RULES):
+        expr = f"replace({expr}, ' {a} ', ' {b} ')"
+    return f"trim({expr})"
+
+
+_STOPS = ", ".join(sqltext.quote(s) for s in STOPS)
+_LINE_CLEAN = sqltext.quick_steps("(SELECT doc_id, i AS linha, parts[i] AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)))", "text", "doc_id, linha")
+_BIGRAMS = f"""
+WITH {_LINE_CLEAN},
+listas AS (SELECT row_number() OVER () AS s, {sqltext.tokens_of('t')} AS w FROM limpo),
+soltos AS (SELECT s, i AS pos, w[i] AS token FROM (SELECT s, w, unnest(range(1, len(w) + 1)) AS i FROM listas)),
+corridas AS (SELECT s, pos, token, token IN ({_STOPS}) AS parada, sum(CASE WHEN token IN ({_STOPS}) THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY pos) AS c FROM soltos),
+pecas AS (SELECT *, count(*) OVER (PARTITION BY s, c) AS k, lead(token) OVER (PARTITION BY s, c ORDER BY pos) AS seguinte FROM corridas WHERE NOT parada),
+uteis AS (SELECT * FROM pecas WHERE k > 1),
+palavras AS (SELECT token, count(*) AS n FROM uteis GROUP BY 1),
+pares AS (SELECT token AS w1, seguinte AS w2, count(*) AS n FROM uteis WHERE seguinte IS NOT NULL GROUP BY 1, 2),
+v AS (SELECT (SELECT count(*) FROM palavras) + (SELECT count(*) FROM pares) AS v),
+notas AS (SELECT w1, w2, pares.n, (pares.n - 10) * v.v / (a.n * b.n) AS score FROM pares JOIN palavras a ON a.token = w1 JOIN palavras b ON b.token = w2, v WHERE pares.n >= 10),
+achados AS (SELECT * FROM notas WHERE score > 20)
+"""
+_EDGES = ", ".join(sqltext.quote(w) for w in phrases.EDGE_WORDS)
+_UNIT = "u AS (SELECT vec_id AS id, label AS rotulo, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),\nx AS (SELECT id, rotulo, list_transform(v, lambda e: e / sqrt(list_dot_product(v, v))) AS v FROM u)"
+_DIRECTED = f"{_UNIT},\ne AS (SELECT p.id AS id_1, q.id AS id_2, list_dot_product(p.v, q.v) AS sim, p.rotulo AS r1, q.rotulo AS r2 FROM x p JOIN x q ON p.id <> q.id)"
+
+ORACLES = {
+    "quick_texts": f"WITH {_CLEAN} SELECT doc_id, t AS texto FROM limpo",
+    "curation_core": f"WITH {_COUNTS},\n{_WEIGHTS} SELECT termo, coalesce(tfidf, 0) AS tfidf, length(termo) AS tamanho, qtd, qtd_docs FROM df LEFT JOIN m USING (termo) WHERE length(termo) <= 50 OR contains(termo, '_')",
+    "curation_boxplots": f"WITH {_COUNTS},\ns AS (SELECT termo, length(termo) AS tamanho, qtd, qtd_docs FROM df WHERE length(termo) <= 50) SELECT termo, {_box('tamanho')} AS tamanho_bp, {_box('qtd')} AS qtd_bp, {_box('qtd_docs')} AS qtd_docs_bp FROM s",
+    "strange_terms": "SELECT DISTINCT termo, CASE WHEN len(list_filter(range(1, length(termo) - 1), lambda i: substr(termo, i, 1) = substr(termo, i + 1, 1) AND substr(termo, i, 1) = substr(termo, i + 2, 1) AND (substr(termo, i, 1) NOT IN ('r', 's', 'a', 'e', 'i') OR substr(termo, i, 1) IN ('a', 'e', 'i', 'o', 'u')))) > 0 OR regexp_matches(termo, '[^rsaeiounl_\\n]{3,}|[aeiou]{4,}|^_|_$') OR NOT regexp_matches(termo, '[aeiouáéíóú]') THEN 'S' ELSE 'N' END AS estranho FROM curadoria_planilha_vocab WHERE termo IS NOT NULL AND termo <> ''",
+    "singular_forms": f"WITH {_TOKENS} SELECT DISTINCT token, {sqltext.singular('token')} AS singular FROM tok",
+    "resolved_tokens": f"WITH {_TOKENS},\n{_VOCAB},\nd AS (SELECT DISTINCT token, {sqltext.singular('token')} AS s FROM tok) SELECT token, CASE WHEN s <> token AND s IN (FROM base) THEN 'singular' WHEN token IN (FROM base) THEN 'termo' WHEN length(token) = 1 OR contains(token, '_') THEN 'fora' ELSE 'inteiro' END AS tipo, CASE WHEN s <> token AND s IN (FROM base) THEN s WHEN token IN (FROM base) THEN token WHEN length(token) = 1 OR contains(token, '_') THEN '' ELSE token END AS pecas FROM d",
+    "tokenized": f"WITH {_CLEAN},\nr AS (SELECT doc_id, list_filter(string_split({_rules_sql('t')}, ' '), lambda w: length(w) > 1) AS w FROM limpo) SELECT doc_id, CASE WHEN len(w) = 0 THEN '.' ELSE array_to_string(w, ' ') END AS tokens FROM r",
+    "removed_plurals": f"WITH {_VOCAB} SELECT DISTINCT term FROM base WHERE {sqltext.singular('term')} <> term AND {sqltext.singular('term')} IN (FROM removido) AND NOT contains(term, '_')",
+    "translated_texts": f"WITH {_CLEAN} SELECT doc_id, {_rules_sql('t')} AS texto FROM limpo",
+    "bigrams": f"{_BIGRAMS} SELECT w1, w2, n, round(score, 6) AS score FROM achados",
+    "bigram_suggestions": f"{_BIGRAMS} SELECT w1 || ' ' || w2 AS de, w1 || '_' || w2 AS para, NOT (w1 IN ({_EDGES}) OR w2 IN ({_EDGES})) AS aceito FROM achados",
+    "lines_once": "WITH l AS (SELECT doc_id, i - 1 AS sent_no, parts[i] AS sentenca FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))), k AS (SELECT * FROM l WHERE trim(sentenca, ' ') <> '') SELECT (min({'d': doc_id, 's': sent_no})).d AS doc_id, (min({'d': doc_id, 's': sent_no})).s::INT AS sent_no, sentenca, count(*) AS vezes FROM k GROUP BY sentenca",
+    "document_tags": "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_extract(arquivo, '(?i)\\btags?\\b.*'), '(?i)\\(\\d+\\)|\\btags?\\b', ' ', 'g'), '\\s+'), lambda w: w <> ''), ' ') AS tags FROM documents WHERE regexp_matches(arquivo, '(?i)\\btags?\\b\\s+\\S')",
+    "document_previews": "SELECT doc_id, CASE WHEN length(text) > 250 THEN substr(text, 1, 250) || ' [..]' ELSE text END AS previa FROM documents",
+    "similar_view": "WITH b AS (SELECT * FROM vetores WHERE len(vetor) = 128 AND NOT list_contains(list_transform(vetor, lambda e: e IS NULL OR isnan(e)), true) AND list_contains(list_transform(vetor, lambda e: e <> 0), true)), l AS (SELECT seq_documento AS id, max({'d': coalesce(dthr, TIMESTAMPTZ '0001-01-01'), 'p': coalesce(pagina, -2147483648), 'v': vetor}) AS m FROM b WHERE seq_documento IS NOT NULL GROUP BY 1), x AS (SELECT id, m.p AS p, list_transform(m.v::DOUBLE[], lambda e: e / sqrt(list_dot_product(m.v::DOUBLE[], m.v::DOUBLE[]))) AS v FROM l) SELECT a.id AS seq_documento_1, c.id AS seq_documento_2, a.p AS pagina_1, c.p AS pagina_2, round(list_dot_product(a.v, c.v), 5) AS sim FROM x a JOIN x c ON a.id <> c.id AND list_dot_product(a.v, c.v) > 0.7",
+    "similar_embeddings": f"WITH {_DIRECTED} SELECT id_1 AS a, id_2 AS b, round(sim, 6) AS sim FROM e WHERE id_1 < id_2 AND sim > {SIMILAR}",
+    "top_embeddings": f"WITH {_DIRECTED} SELECT id_1, id_2, ordem FROM (SELECT *, row_number() OVER (PARTITION BY id_1 ORDER BY sim DESC, id_2)::INT AS ordem FROM e WHERE sim > {SIMILAR}) WHERE ordem <= 3",
+    "search_embeddings": f"WITH {_DIRECTED} SELECT id_1 AS q, id_2 AS id, round(sim, 6) AS sim FROM e WHERE id_1 % 50 = 0 AND sim > {SIMILAR}",
+    "label_review": f"WITH {_DIRECTED} SELECT id_1 AS a, id_2 AS b, r1 AS rotulo_a, r2 AS rotulo_b FROM e WHERE id_1 < id_2 AND sim > {SIMILAR} AND r1 <> r2",
+    "label_suggestions": f"WITH {_DIRECTED}, v AS (SELECT id_1 AS id, r2 AS rotulo, count(*) AS votos, max(sim) AS sim FROM e WHERE id_1 % 10 = 0 AND id_2 % 10 <> 0 AND sim > 0.25 AND r2 IS NOT NULL GROUP BY 1, 2) SELECT id, rotulo, votos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votos DESC, sim DESC, rotulo) AS r FROM v) WHERE r = 1",
+    "density_ranking": f"WITH {_DIRECTED} SELECT id_1 AS id, count(*) AS ligacoes, round(sum(sim), 5) AS soma FROM e WHERE sim >= {SIMILAR} GROUP BY 1",
+    "session_sizes": "SELECT sessao, grupo, tamanho, row_number() OVER (PARTITION BY sessao ORDER BY tamanho DESC, grupo)::INT AS novo FROM (SELECT sessao, grupo, count(DISTINCT seq_documento) AS tamanho FROM grupos WHERE grupo > 0 GROUP BY 1, 2)",
+    "retained_groups": f"SELECT seq_documento, grupo, sessao FROM grupos WHERE dthr >= TIMESTAMPTZ '{AT}+00' - INTERVAL 480 HOURS",
+}
