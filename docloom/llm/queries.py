@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, communities, copies, encodings, mixing, neighbors, pairs, sentences, terms
+from docloom.llm import bpe, communities, copies, encodings, mixing, neighbors, pairs, personal, sentences, terms
 from docloom.session import load
 
 SEED = 20240601
@@ -105,7 +105,22 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(load(spark, sf_dir, "documents"), load(spark, sf_dir, "fontes_pesos"), seed=SEED)[1]
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_vocabulary, p2_found, p2_collapsed, p3_found, p3_search, p4_found, p5_found, p5_restored, p6_found, p6_described, p7_found, p7_sentences, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of personal information."""
+    return personal.found_mentions(load(spark, sf_dir, "documents"))
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with typed placeholders in place of the mentions."""
+    return personal.redacted(load(spark, sf_dir, "documents"))
+
+
+def p10_surrogated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with keyed surrogates in place of the mentions."""
+    return personal.surrogated(load(spark, sf_dir, "documents"), b"chave de demonstracao")
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_vocabulary, p2_found, p2_collapsed, p3_found, p3_search, p4_found, p5_found, p5_restored, p6_found, p6_described, p7_found, p7_sentences, p8_ids, p9_mix, p9_shares, p10_found, p10_redacted, p10_surrogated)}
 
 # Accents stripped as in the operator: decompose, drop combining marks.
 _TERMS = """
