@@ -9,6 +9,7 @@ compared; each node keeps its best ``width``. New queries walk the finished grap
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,13 @@ from pyspark.sql import functions as F
 from docloom.session import cut
 
 #: The graph keeps so many neighbours of each node while it is built.
-WIDTH = 12
+WIDTH = 16
 #: Random-projection trees for the first neighbours, and vectors a leaf holds on average.
 TREES, LEAF = 8, 400
 #: Vectors on which the trees' cuts are fitted (a bound, whatever the input).
 SAMPLE = 20_000
 #: Rounds of neighbours of neighbours.
-ROUNDS = 2
+ROUNDS = 3
 SEED = 7
 
 
@@ -38,19 +39,39 @@ def usable(vectors: DataFrame, id_col: str = "seq_documento", vec_col: str = "ve
     unusable has none. Extra columns are ignored.
     """
     held = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vetor"), F.col(time_col).alias("t")).where("id IS NOT NULL")
-    last = held.groupBy("id").agg(F.max(F.struct("t", "vetor"))["vetor"].alias("vetor"))
-    sound = last.where((F.size("vetor") == dim) & ~F.exists("vetor", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    norm = F.sqrt(F.aggregate("vetor", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = sound.withColumn("norma", norm).where("norma > 0")
-    return unit.select("id", F.transform("vetor", lambda x: (x / F.col("norma")).cast("float")).alias("vetor"))
+    last = held.groupBy("id").agg(F.max(F.struct("t", "vetor"))["vetor"].alias("vetor")).where(F.size("vetor") == dim)
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("vetor").flatten()
+            raw = flat.to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+            good = np.isfinite(raw).all(1)
+            size = np.sqrt(np.einsum("ij,ij->i", raw[good], raw[good]))
+            keep = np.flatnonzero(good)[size > 0]
+            unit = (raw[good][size > 0] / size[size > 0, None]).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, dim, dtype=np.int32)), pa.array(unit.ravel()))
+            yield pa.record_batch([batch.column("id").take(pa.array(keep)), lists], names=["id", "vetor"])
+
+    kind = last.schema["id"].dataType.simpleString()
+    return last.mapInArrow(scale, f"id {kind}, vetor array<float>")
 
 
 def fold(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes ``id, vetor`` (the smallest document of each distinct vector) and members ``no, id``."""
-    digest = vectors.withColumn("chave", F.md5(F.to_json("vetor").cast("binary")))
-    nodes = digest.groupBy("chave").agg(F.min(F.struct("id", "vetor")).alias("n")).select("chave", F.col("n.id").alias("no"), F.col("n.vetor").alias("vetor"))
-    members = digest.select("chave", "id").join(nodes.select("chave", "no"), "chave").select("no", "id")
-    return nodes.select(F.col("no").alias("id"), "vetor"), members
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("vetor").flatten().to_numpy(zero_copy_only=False)
+            rows = flat.reshape(batch.num_rows, -1) if batch.num_rows else []
+            # Adding zero makes the two zeros one.
+            keys = [hashlib.blake2b((row + np.float32(0)).tobytes(), digest_size=16).digest() for row in rows]
+            yield pa.record_batch([batch.column("id"), batch.column("vetor"), pa.array(keys, pa.binary())], names=["id", "vetor", "chave"])
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    digest = cut(vectors.select("id", "vetor").mapInArrow(mark, f"id {kind}, vetor array<float>, chave binary"))
+    nodes = digest.groupBy("chave").agg(F.min("id").alias("no"))
+    members = digest.select("chave", "id").join(nodes, "chave").select("no", "id")
+    return digest.join(nodes.select(F.col("no").alias("id")), "id", "left_semi").select("id", "vetor"), members
 
 
 class Forest:
