@@ -106,6 +106,8 @@ _PHONE = re.compile(
     r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
     r")(?!\w|[./-]\d| \d{2}(?!\d))"
 )
+#: Runs of digits and their signs, long enough for a telephone number.
+_NUMBERS = re.compile(r"[(+\d][\d() .+-]{7,}")
 _PHONE_CUE = re.compile(r"(?:\btel|fone|phone|celular|whats|móvil|ligar|contato|linha|número|call|fax)[^\d+(]{0,25}$", re.I)
 _LOCAL_PHONE = re.compile(r"(?<![\w.,/+-])(?:9?\d{4}[-. ]\d{4})(?!\w|[./-]\d)")
 
@@ -128,12 +130,20 @@ def given_names() -> dict[str, str]:
     return {_plain(name): gender for names, gender in ((MEN, "m"), (WOMEN, "f")) for name in names}
 
 
+def _accented(name: str) -> Iterator[str]:
+    """The name with one vowel accented."""
+    for i, c in enumerate(name):
+        for mark in {"a": "áâã", "e": "éê", "i": "í", "o": "óôõ", "u": "ú"}.get(c, ""):
+            yield name[:i] + mark + name[i + 1 :]
+
+
 @functools.cache
 def anchors() -> ahocorasick.Automaton:
-    """All anchors in lower case without accents, with kinds and length."""
+    """All anchors in lower case with kinds and length; names also without accents and with an accent on any one vowel."""
     automaton = ahocorasick.Automaton()
-    for kind, words in (("road", ROADS), ("street", STREETS), ("document", [d.replace("\x00", " ") for d in DOCUMENTS]), ("title", TITLES), ("role", [r.replace("\x00", " ") for r in ROLES]), ("name", given_names()), ("mail", "@"), ("spelt", ["arroba)", "arroba]", "(at)", "[at]"])):
-        for word in map(_plain, words):
+    for kind, words in (("road", ROADS), ("street", STREETS), ("document", [d.replace("\x00", " ") for d in DOCUMENTS]), ("title", TITLES), ("role", [r.replace("\x00", " ") for r in ROLES]), ("name", [*MEN, *WOMEN]), ("mail", "@"), ("spelt", ["arroba)", "arroba]", "(at)", "[at]"])):
+        forms = {form for word in words for form in (word, _plain(word), *(_accented(_plain(word)) if kind == "name" else ()))}
+        for word in sorted(forms):
             held = automaton.get(word, None)
             automaton.add_word(word, (len(word), (*(held[1] if held else ()), kind)))
     automaton.make_automaton()
@@ -180,7 +190,7 @@ def _name_at(text: str, a: int, b: int, low: str) -> tuple[int, int] | None:
         end = _stopped(text, b, more.end()) if more else b
         if end == b:
             return None
-        if low[a:b] in COMMON_NAMES and low[b:end].split()[0] not in names and not _CUE_BEFORE.search(text, max(0, a - 24), a):
+        if _plain(low[a:b]) in COMMON_NAMES and _plain(low[b:end]).split()[0] not in names and not _CUE_BEFORE.search(text, max(0, a - 24), a):
             return None
     else:
         return None
@@ -188,7 +198,7 @@ def _name_at(text: str, a: int, b: int, low: str) -> tuple[int, int] | None:
         return None
     if m := _INITIALS_BEFORE.search(text, max(0, a - 12), a):
         a = m.start()
-    own = low[a:end].split()
+    own = _plain(low[a:end]).split()
     if all(w.strip(".") in names or len(w.strip(".")) == 1 for w in own):
         m = _SURNAME_BEFORE.search(text, max(0, a - 60), a)
         if m:
@@ -206,7 +216,7 @@ def _name_at(text: str, a: int, b: int, low: str) -> tuple[int, int] | None:
 
 def mentions(text: str) -> list[tuple[str, int, int]]:
     """``type, start, end`` of every mention, in order and without overlaps."""
-    low = _lower(text).translate(_FOLD)
+    low = _lower(text)
     names: list[tuple[int, int]] = []
     titles: list[int] = []
     roles: list[int] = []
@@ -261,13 +271,13 @@ def mentions(text: str) -> list[tuple[str, int, int]]:
             found.append((ADDRESS, a, m.end()))
             taken.append((a, m.end()))
             until = m.end()
-    for m in _PHONE.finditer(text):
-        if not _inside(taken, *m.span()):
-            found.append((PHONE, *m.span()))
-            taken.append(m.span())
-    if "-" in text or "." in text:
-        for m in _LOCAL_PHONE.finditer(text):
-            if not _inside(taken, *m.span()) and _PHONE_CUE.search(text, max(0, m.start() - 40), m.start()):
+    for run in _NUMBERS.finditer(text):
+        for m in _PHONE.finditer(text, run.start(), run.end() + 4):
+            if not _inside(taken, *m.span()):
+                found.append((PHONE, *m.span()))
+                taken.append(m.span())
+        if not _inside(taken, *run.span()) and _PHONE_CUE.search(text, max(0, run.start() - 40), run.start()):
+            for m in _LOCAL_PHONE.finditer(text, run.start(), run.end() + 4):
                 found.append((PHONE, *m.span()))
                 taken.append(m.span())
     persons: list[tuple[int, int]] = []
