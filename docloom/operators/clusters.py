@@ -7,10 +7,11 @@ vector goes to its most similar centroid.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import vectors as V
+from docloom.operators.numbering import numbered_by
 from docloom.session import cut
 
 #: A document without group, and one without vector.
@@ -71,7 +72,7 @@ def leader(vectors: DataFrame, threshold: float = 90, id_col: str = "id", vec_co
     rows = members.unionByName(centroids.select("id", F.col("id").alias("centro"), F.lit(1.0).alias("sim")))
     counted = rows.join(rows.groupBy("centro").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("centro"), "centro", "left_semi")
     first = counted.join(priority, "id").groupBy("centro").agg(F.min("p").alias("primeiro"))
-    number = first.select("centro", F.row_number().over(Window.orderBy("primeiro")).alias("grupo"))
+    number = numbered_by(first, ["primeiro"], "grupo").select("centro", F.col("grupo").cast("int"))
     grouped = counted.join(number, "centro").select("id", "grupo", F.bround(F.col("sim") * 100, 2).alias("similaridade"), (F.col("id") == F.col("centro")).cast("int").alias("centroide"))
     return keyed.select("id").join(grouped, "id", "left").select("id", F.coalesce("grupo", F.lit(ORPHAN)).alias("grupo"), F.coalesce("similaridade", F.lit(0.0)).alias("similaridade"), F.coalesce("centroide", F.lit(0)).alias("centroide"))
 
@@ -100,7 +101,7 @@ def density(documents: DataFrame, vectors: DataFrame, percent: float = 90, floor
     members = assign(edges, centroids, last)
     rows = cut(members.unionByName(centroids.select("id", F.col("id").alias("centro"), F.lit(1.0).alias("sim"))))
     sizes = rows.groupBy("centro").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    number = sizes.select("centro", F.row_number().over(Window.orderBy(F.desc("n"), "centro")).alias("grupo"))
+    number = numbered_by(sizes, [F.desc("n"), F.col("centro")], "grupo").select("centro", F.col("grupo").cast("int"))
     grouped = rows.join(number, "centro").select("id", "grupo", (F.col("id") == F.col("centro")).alias("centroide"), "sim")
     usable = own.select("id", F.lit(True).alias("usavel"))
     out = ids.join(grouped, "id", "left").join(usable, "id", "left")

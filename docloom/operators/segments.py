@@ -7,9 +7,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.numbering import numbered_by
+
 # Patterns of abbreviations after which a passage goes on, matched in any case at its end.
 ABBREVIATIONS = (
     "sra?s?", "exm[ao]s?", "ns?", "nos?", "doc", "ac", "publ", "ex", "lv", "vlr?", "vls?", r"exmo\(a\)", r"ilmo\(a\)", "av", "of", "min", "livr?", "co?ls?",
@@ -107,14 +109,8 @@ def first_occurrences(passages_df: DataFrame, existing: DataFrame | None = None)
 
 
 def numbered(firsts: DataFrame, start: int = 0) -> DataFrame:
-    """``sent_id`` after ``start`` in order of document and number.
-
-    Numbers come from per-document counts and their running sum, so only one row per document is ordered globally.
-    """
-    per_doc = firsts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    before = per_doc.select("doc_id", (F.sum("n").over(Window.orderBy("doc_id")) - F.col("n")).alias("antes"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_no"))
-    return firsts.join(before, "doc_id").select((F.lit(start) + F.col("antes") + place).alias("sent_id"), "doc_id", "sent_no", "sentenca", "vezes")
+    """``sent_id`` after ``start`` in order of document and number."""
+    return numbered_by(firsts, ["doc_id", "sent_no"], "sent_id", start).select("sent_id", "doc_id", "sent_no", "sentenca", "vezes")
 
 
 def deduplication_counts(passages_df: DataFrame) -> DataFrame:

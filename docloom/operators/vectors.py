@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ BLOCK_ROWS = 2_000
 
 def dot(a: Column, b: Column) -> Column:
     """Scalar product in double precision; an error where the lengths differ, null where either is null."""
-    same = F.assert_true(F.size(a) == F.size(b), "vectors of different length")
+    same = F.assert_true(F.coalesce(F.size(a) == F.size(b), F.lit(True)), "vectors of different length")
     product = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return F.when(F.isnull(same), product)
 
@@ -46,7 +47,7 @@ def similarity(a: Column, b: Column, distance: str = "cosine") -> Column:
     """Cosine for ``c`` and ``cosine``; for any other name one minus the euclidean distance, which may be negative."""
     if distance.lower() in ("c", "cosine"):
         return cosine(a, b)
-    same = F.assert_true(F.size(a) == F.size(b), "vectors of different length")
+    same = F.assert_true(F.coalesce(F.size(a) == F.size(b), F.lit(True)), "vectors of different length")
     square = F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x)
     return F.when(F.isnull(same), 1 - F.sqrt(square))
 
@@ -72,12 +73,12 @@ def sound(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return good.groupBy("id").agg(F.max("v").alias("v")).select("id", normalize(F.col("v")).alias("v")).where("v IS NOT NULL")
 
 
-def similar_pairs(vectors: DataFrame, above: float, id_col: str = "id", vec_col: str = "v", inclusive: bool = False, block_rows: int = BLOCK_ROWS, exact: bool = True) -> DataFrame:
+def similar_pairs(vectors: DataFrame, above: float, id_col: str = "id", vec_col: str = "v", inclusive: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``a, b, sim`` of all pairs ``a < b`` with cosine above ``above`` (or equal, if ``inclusive``).
 
     Exact. Rows are dealt into B blocks by hash; each of the B (B + 1) / 2 pairs of blocks is multiplied in one task of
-    bounded size, so nothing is broadcast and no task holds more than two blocks. ``exact`` recomputes the similarity of
-    the pairs near the limit in double precision order. All vectors must have one length.
+    bounded size, so nothing is broadcast and no task holds more than two blocks. All
+    vectors must have one length. Unusable vectors are left out; of repeated identifiers one vector counts.
     """
     unit = sound(vectors, id_col, vec_col)
     count = unit.count()
@@ -97,7 +98,7 @@ def similar_pairs(vectors: DataFrame, above: float, id_col: str = "id", vec_col:
             ids = table.column("id").combine_chunks()
             flat = table.column("v").combine_chunks()
             size = len(flat[0])
-            if pa.compute.any(pa.compute.not_equal(pa.compute.list_value_length(flat), size)).as_py():
+            if pc.any(pc.not_equal(pc.list_value_length(flat), size)).as_py():
                 raise ValueError("vectors of different length")
             matrix = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), size)
             home = table.column("bloco").to_numpy()
@@ -112,10 +113,8 @@ def similar_pairs(vectors: DataFrame, above: float, id_col: str = "id", vec_col:
                     keep = p < q
                     p, q, s = p[keep], q[keep], s[keep]
                 first, second = ids.take(pa.array(p)), ids.take(pa.array(q))
-                swap = pa.compute.greater(first, second)
-                yield pa.record_batch([pa.compute.if_else(swap, second, first), pa.compute.if_else(swap, first, second), pa.array(s, pa.float64())], names=["a", "b", "sim"])
-
-        import pyarrow.compute  # noqa: F401
+                swap = pc.greater(first, second)
+                yield pa.record_batch([pc.if_else(swap, second, first), pc.if_else(swap, first, second), pa.array(s, pa.float64())], names=["a", "b", "sim"])
 
         for batch in batches:
             keys = batch.column("par").to_numpy()

@@ -34,7 +34,7 @@ def read_texts(spark: SparkSession, folders: str | list[str], extension: str = "
     """``path, nome, modificado, texto`` of every file below the folders.
 
     Extension and prefix match in any case. ``clean`` collapses white space within lines, ``join_lines`` joins them by one
-    blank. A missing folder is an error. Each file is one row, read whole.
+    blank. A missing folder is an error. Each file is one row, read whole; the file source leaves files without any byte out.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([folders] if isinstance(folders, str) else folders)
     name = F.regexp_extract("path", r"([^/\\]*)$", 1)
