@@ -107,5 +107,5 @@ def mixed(docs: DataFrame, weights: DataFrame, total: float | None = None, seed:
     known = spark.createDataFrame([(s, have.get(s, 0)) for s in listed], "source string, disponivel bigint")
     shares = names.join(known, "source").join(reached, "source", "left").select("source", "peso", "disponivel", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("maior_repeticao", F.lit(0)).alias("maior_repeticao"))
     everything = shares.agg(F.sum("tokens").alias("soma"))
-    shares = shares.crossJoin(everything).select("source", "peso", "disponivel", "tokens", F.round(100 * F.col("tokens") / F.col("soma"), 4).alias("parcela"), "maior_repeticao")
+    shares = shares.crossJoin(everything).select("source", "peso", "disponivel", "tokens", F.coalesce(F.round(F.try_divide(100 * F.col("tokens"), F.col("soma")), 4), F.lit(0.0)).alias("parcela"), "maior_repeticao")
     return used, shares
