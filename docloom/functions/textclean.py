@@ -50,8 +50,8 @@ def remove_accents(text: Column) -> Column:
     """
     single, target, several = folding()
     spelt = functools.reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), several, text)
-    rare = "[" + "".join(f"\\x{{{ord(c):x}}}" for c, _ in several) + "]"
-    folded = F.translate(F.when(text.rlike(rare), spelt).otherwise(text), single, target)
+    rare = F.translate(text, "".join(c for c, _ in several), "") != text
+    folded = F.translate(F.when(rare, spelt).otherwise(text), single, target)
     return F.regexp_replace(folded, r"[^\x00-\x7F]", "")
 
 

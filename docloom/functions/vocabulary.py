@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from docloom.functions import textclean
 from docloom.functions.stem import stemmed
 from docloom.functions.translate import translate_terms
+from docloom.session import cut
 
 # Plural endings and what they become, longest first.
 PLURALS = (("aes", "ao"), ("ais", "al"), ("oes", "ao"), ("eis", "el"), ("ois", "ol"), ("les", "l"), ("res", "r"), ("zes", "z"), ("is", "il"), ("ns", "m"), ("s", ""))
@@ -141,6 +142,7 @@ def tokenize(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", te
     spark = docs.sparkSession
     accept_all = accept_all or not vocabulary.terms
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), raw_tokens(F.col(text_col), vocabulary).alias("brutos")).withColumn("linha", F.monotonically_increasing_id())
+    rows = cut(rows)
     loose = rows.select("linha", "doc_id", F.posexplode_outer("brutos").alias("pos", "token"))
     table = resolution(loose.where("token IS NOT NULL"), vocabulary.frame(spark), accept_all, fragment)
     joined = loose.join(table.select("token", "pecas"), "token", "left")

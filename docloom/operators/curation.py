@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.vocabulary import FRAGMENT, simple_fragments
+from docloom.session import cut
 
 # The drawn positions of a box plot, and the longest token of the sheet.
 BOXPLOT = ("o |---[---]---|  ", "  |-x-[---]---|  ", "  |---[x--]---|  ", "  |---[-x-]---|  ", "  |---[--x]---|  ", "  |---[---]-x-|  ", "  |---[---]---| o")
@@ -60,7 +61,7 @@ def boxplot_position(value: Column, stats: str) -> Column:
 
 def with_boxplots(sheet: DataFrame, columns: tuple[str, ...] = ("tfidf", "tamanho", "qtd", "qtd_docs")) -> DataFrame:
     """Adds ``<column>_bp``; the four statistics are one row each, joined as broadcast."""
-    out = sheet
+    out = sheet = cut(sheet)
     for column in columns:
         stats = boxplot_stats(sheet, column).select(F.struct("*").alias(f"__{column}"))
         out = out.crossJoin(F.broadcast(stats)).withColumn(f"{column}_bp", boxplot_position(F.col(column), f"__{column}")).drop(f"__{column}")
@@ -89,7 +90,8 @@ def core_sheet(tokens: DataFrame, id_col: str = "doc_id", token_col: str = "toke
 
     ``zero_when_weightless`` sets the counts of terms that are in every document to zero, as some sheets have it.
     """
-    counts = term_counts(tokens, id_col, token_col)
+    # Read three times below: written once instead of cleaning all texts again.
+    counts = cut(term_counts(tokens, id_col, token_col))
     total = counts.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n"))
     frequencies = document_frequencies(counts)
     weighed = counts.join(frequencies.select("termo", "qtd_docs"), "termo").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * F.log2(F.col("n") / F.col("qtd_docs"))).where("w > 0")
@@ -106,7 +108,7 @@ def curation_sheet(tokens: DataFrame, base: DataFrame, removed: DataFrame, id_co
 
     ``base`` and ``removed`` have ``term``. Base terms that no document has come out with zeros.
     """
-    core = core_sheet(tokens, id_col, token_col)
+    core = cut(core_sheet(tokens, id_col, token_col))
     absent = base.select(F.col("term").alias("termo")).distinct().join(core.select("termo"), "termo", "left_anti")
     zeros = absent.select("termo", F.lit(0.0).alias("tfidf"), F.length("termo").cast("bigint").alias("tamanho"), F.lit(0).cast("bigint").alias("qtd"), F.lit(0).cast("bigint").alias("qtd_docs"))
     rows = core.unionByName(zeros)

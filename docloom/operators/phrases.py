@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import textclean
+from docloom.session import cut
 
 # Words no phrase begins or ends with.
 EDGE_WORDS = ("de", "da", "do", "para", "ao", "a", "e", "i", "o", "u", "pra", "di", "du", "por", "em", "num", "aos", "no", "na")
@@ -70,6 +71,7 @@ def mine_bigrams(tokens: DataFrame, min_count: int = 10, threshold: float = 20.0
     Score: ``(n - min_count) * V / (n1 * n2)`` with V the distinct tokens and pairs seen; pairs of fewer than ``min_count`` don't count.
     ``tokens`` has ``tokens ARRAY<STRING>``.
     """
+    tokens = cut(tokens.select("tokens"))
     words = tokens.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     size = F.size("tokens")
     together = tokens.where(size > 1).select(F.explode(F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.struct(F.element_at("tokens", i).alias("w1"), F.element_at("tokens", i + 1).alias("w2")))).alias("p"))
