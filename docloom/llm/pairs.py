@@ -105,16 +105,17 @@ def components(edges: DataFrame, worth: float = 0.2, max_rounds: int = 40) -> Da
     for gone in reversed(removed):
         if labels is None:
             here = gone.select("s", "v", F.col("p").alias("g")).unionByName(gone.select("s", F.col("p").alias("v"), F.col("p").alias("g"))).distinct()
-            labels = here
+            labels = cut(here)
             continue
         known = labels.select("s", F.col("v").alias("p"), "g")
         # A neighbour without a label had no other edge left: it stands for itself.
         back = gone.join(known, ["s", "p"], "left").select("s", "v", "p", F.coalesce("g", "p").alias("g"), F.col("g").isNull().alias("novo"))
         own = back.where("novo").select("s", F.col("p").alias("v"), F.col("p").alias("g")).distinct()
-        labels = labels.unionByName(back.select("s", "v", "g")).unionByName(own)
+        # Written in each round: the labels are read twice in the next, and plans would double.
+        labels = cut(labels.unionByName(back.select("s", "v", "g")).unionByName(own))
     if labels is None:
         return edges.select("s", F.col("a").alias("v"), F.col("a").alias("grupo"))
-    labels = cut(labels)
+    labels = labels if removed else cut(labels)
     smallest = labels.groupBy("s", "g").agg(F.min("v").alias("grupo"))
     return labels.join(smallest, ["s", "g"]).select("s", "v", "grupo")
 
