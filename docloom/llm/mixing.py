@@ -1,7 +1,7 @@
 """Problem 9: documents drawn by source so that each source gets its share of the tokens.
 
 Systematic sampling. Each document of a source expects the same number of copies. Within the source
-the expected copies are summed up in order of size class and hash, one random offset is added, and
+the expected copies are summed up in order of size class, then of size, one random offset is added, and
 a document comes out once for every integer the running sum crosses. The running sum is made in two
 levels: counts of small buckets, a running sum over the buckets, and positions within a bucket.
 """
@@ -81,7 +81,7 @@ def drawn(sizes: DataFrame, rates: dict[str, float], seed: int) -> DataFrame:
     placed = placed.withColumn("balde", F.struct(F.floor(2 * F.log2("n_tokens")).alias("classe"), F.pmod("h", F.lit(slices)).alias("fatia")))
     filled = placed.groupBy("source", "balde").agg(F.count(F.lit(1)).alias("n"))
     before = filled.withColumn("antes", F.sum("n").over(Window.partitionBy("source").orderBy("balde").rowsBetween(Window.unboundedPreceding, -1))).select("source", "balde", F.coalesce("antes", F.lit(0)).alias("antes"))
-    inner = placed.withColumn("i", F.row_number().over(Window.partitionBy("source", "balde").orderBy("h", "doc_id"))).join(before, ["source", "balde"])
+    inner = placed.withColumn("i", F.row_number().over(Window.partitionBy("source", "balde").orderBy("n_tokens", "h", "doc_id"))).join(before, ["source", "balde"])
     at = F.col("antes") + F.col("i")
     crossed = F.floor(at * F.col("taxa") + F.col("sorte")) - F.floor((at - 1) * F.col("taxa") + F.col("sorte"))
     return inner.select("doc_id", "source", "n_tokens", crossed.cast("int").alias("copias")).where("copias > 0")
