@@ -117,12 +117,17 @@ def load_vocabulary(spark: SparkSession, folder: str) -> Vocabulary:
     return Vocabulary(frozenset(terms), frozenset(removed_terms | plurals), tuple(rules))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def token_cache(tokens: DataFrame, path: str, config: str) -> DataFrame:
     """Tokens kept under ``path`` for a configuration: read if there, else written first."""
     spark = tokens.sparkSession
     place = f"{path}/config={config}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(place)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, place):
         tokens.write.mode("errorifexists").parquet(place)
     return spark.read.parquet(place)
 
