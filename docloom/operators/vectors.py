@@ -73,48 +73,32 @@ def sound(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return good.groupBy("id").agg(F.max("v").alias("v")).select("id", normalize(F.col("v")).alias("v")).where("v IS NOT NULL")
 
 
-def similar_pairs(vectors: DataFrame, above: float, id_col: str = "id", vec_col: str = "v", inclusive: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``a, b, sim`` of all pairs ``a < b`` with cosine above ``above`` (or equal, if ``inclusive``).
+def _by_block_pairs(unit: DataFrame, block_rows: int, schema: str, work) -> DataFrame:
+    """``work(ids, matrix, left, right, same)`` for each pair of blocks, as batches of ``schema``.
 
-    Exact. Rows are dealt into B blocks by hash; each of the B (B + 1) / 2 pairs of blocks is multiplied in one task of
-    bounded size, so nothing is broadcast and no task holds more than two blocks. All
-    vectors must have one length. Unusable vectors are left out; of repeated identifiers one vector counts.
+    Rows are dealt into B blocks by hash; each of the B (B + 1) / 2 pairs of blocks is one group of bounded size in one task,
+    so nothing is broadcast and no task holds more than two blocks. All vectors must have one length.
     """
-    unit = sound(vectors, id_col, vec_col)
-    count = unit.count()
-    blocks = max(1, -(-count // block_rows))
-    kind = unit.schema["id"].dataType.simpleString()
+    blocks = max(1, -(-unit.count() // block_rows))
     homes = unit.withColumn("bloco", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    # A row of block i goes to the tasks of the pairs (i, j) and (j, i) for all j.
+    # A row of block i goes to the pairs (i, j) and (j, i) for all j.
     targets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(j, F.col("bloco")).alias("i"), F.greatest(j, F.col("bloco")).alias("j")))
     dealt = homes.withColumn("p", F.explode(targets)).select((F.col("p.i") * F.lit(blocks).cast("bigint") + F.col("p.j")).alias("par"), "bloco", "id", "v")
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        key = None
+        key = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held).combine_chunks()
-            ids = table.column("id").combine_chunks()
-            flat = table.column("v").combine_chunks()
-            size = len(flat[0])
-            if pc.any(pc.not_equal(pc.list_value_length(flat), size)).as_py():
+            ids, lists = table.column("id").combine_chunks(), table.column("v").combine_chunks()
+            size = len(lists[0])
+            if pc.any(pc.not_equal(pc.list_value_length(lists), size)).as_py():
                 raise ValueError("vectors of different length")
-            matrix = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), size)
+            matrix = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), size)
             home = table.column("bloco").to_numpy()
             i, j = divmod(key, blocks)
-            left, right = np.flatnonzero(home == i), np.flatnonzero(home == j)
-            for start in range(0, left.size, 512):
-                part = left[start : start + 512]
-                sims = matrix[part] @ matrix[right].T
-                x, y = np.nonzero(sims >= above if inclusive else sims > above)
-                p, q, s = part[x], right[y], sims[x, y]
-                if i == j:
-                    keep = p < q
-                    p, q, s = p[keep], q[keep], s[keep]
-                first, second = ids.take(pa.array(p)), ids.take(pa.array(q))
-                swap = pc.greater(first, second)
-                yield pa.record_batch([pc.if_else(swap, second, first), pc.if_else(swap, first, second), pa.array(s, pa.float64())], names=["a", "b", "sim"])
+            yield from work(ids, matrix, np.flatnonzero(home == i), np.flatnonzero(home == j), i == j)
 
         for batch in batches:
             keys = batch.column("par").to_numpy()
@@ -129,7 +113,59 @@ def similar_pairs(vectors: DataFrame, above: float, id_col: str = "id", vec_col:
         if held:
             yield from flush()
 
-    return dealt.repartition("par").sortWithinPartitions("par").mapInArrow(multiply, f"a {kind}, b {kind}, sim double")
+    return dealt.repartition("par").sortWithinPartitions("par").mapInArrow(run, schema)
+
+
+def similar_pairs(vectors: DataFrame, above: float, id_col: str = "id", vec_col: str = "v", inclusive: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``a, b, sim`` of all pairs ``a < b`` with cosine above ``above`` (or equal, if ``inclusive``).
+
+    Exact, in blocks. Unusable vectors are left out; of repeated identifiers one vector counts.
+    """
+    unit = sound(vectors, id_col, vec_col)
+    kind = unit.schema["id"].dataType.simpleString()
+
+    def work(ids, matrix, left, right, same):
+        for start in range(0, left.size, 512):
+            part = left[start : start + 512]
+            sims = matrix[part] @ matrix[right].T
+            x, y = np.nonzero(sims >= above if inclusive else sims > above)
+            p, q, s = part[x], right[y], sims[x, y]
+            if same:
+                keep = p < q
+                p, q, s = p[keep], q[keep], s[keep]
+            first, second = ids.take(pa.array(p)), ids.take(pa.array(q))
+            swap = pc.greater(first, second)
+            yield pa.record_batch([pc.if_else(swap, second, first), pc.if_else(swap, first, second), pa.array(s, pa.float64())], names=["a", "b", "sim"])
+
+    return _by_block_pairs(unit, block_rows, f"a {kind}, b {kind}, sim double", work)
+
+
+def link_counts(vectors: DataFrame, above: float, id_col: str = "id", vec_col: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``id, classe, ligacoes`` of every usable vector: its class and the number of others with cosine above ``above``.
+
+    The similarity join as one row per vector: links are counted inside the blocks and never written out. Equal unit vectors
+    are one class, named by its smallest identifier, and link to each other.
+    """
+    unit = sound(vectors, id_col, vec_col)
+    kind = unit.schema["id"].dataType.simpleString()
+
+    def work(ids, matrix, left, right, same):
+        rows, columns = np.zeros(left.size, np.int64), np.zeros(right.size, np.int64)
+        for start in range(0, left.size, 512):
+            part = left[start : start + 512]
+            near = matrix[part] @ matrix[right].T > above
+            if same:
+                near[np.arange(part.size), start + np.arange(part.size)] = False
+            rows[start : start + part.size] = near.sum(1)
+            columns += near.sum(0)
+        yield pa.record_batch([ids.take(pa.array(left)), pa.array(rows)], names=["id", "n"])
+        if not same:
+            yield pa.record_batch([ids.take(pa.array(right)), pa.array(columns)], names=["id", "n"])
+
+    counts = _by_block_pairs(unit, block_rows, f"id {kind}, n bigint", work).groupBy("id").agg(F.sum("n").alias("ligacoes"))
+    keyed = unit.select("id", F.md5(F.to_json(F.transform("v", lambda x: F.round(x, 9))).cast("binary")).alias("k"))
+    classes = keyed.groupBy("k").agg(F.min("id").alias("classe"))
+    return counts.join(keyed.join(classes, "k").select("id", "classe"), "id").select("id", "classe", "ligacoes")
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
@@ -174,14 +210,16 @@ def label_review(pairs: DataFrame, labels: DataFrame, similar: float) -> DataFra
     return tagged.where("rotulo_a <> rotulo_b").select("a", "b", "sim", "rotulo_a", "rotulo_b")
 
 
-def label_suggestions(pairs: DataFrame, labels: DataFrame, similar: float) -> DataFrame:
+def label_suggestions(pairs: DataFrame, labels: DataFrame, similar: float, only_missing: bool = True) -> DataFrame:
     """``id, rotulo, sim, votos``: for vectors without a label, the one of their similar neighbours with most votes.
 
-    Ties go to the higher similarity, then to the smaller label.
+    Ties go to the higher similarity, then to the smaller label. Without ``only_missing`` vectors with a label get one too,
+    from their neighbours alone.
     """
     near = mirrored(pairs.where(F.col("sim") >= similar))
     known = labels.select(F.col("id").alias("id_2"), "rotulo").where("rotulo IS NOT NULL")
-    open_ = near.join(known.select(F.col("id_2").alias("id_1")), "id_1", "left_anti").join(known, "id_2")
+    asked = near.join(known.select(F.col("id_2").alias("id_1")), "id_1", "left_anti") if only_missing else near
+    open_ = asked.join(known, "id_2")
     votes = open_.groupBy(F.col("id_1").alias("id"), "rotulo").agg(F.count(F.lit(1)).alias("votos"), F.max("sim").alias("sim"))
     best = Window.partitionBy("id").orderBy(F.desc("votos"), F.desc("sim"), "rotulo")
     return votes.withColumn("r", F.row_number().over(best)).where("r = 1").select("id", "rotulo", "sim", "votos")

@@ -160,9 +160,12 @@ def _own_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "vetores").where((F.size("vetor") == 128) & ~F.exists("vetor", lambda x: x.isNull() | F.isnan(x)) & F.exists("vetor", lambda x: x != 0))
 
 
-def similar_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The similarity view over vetores."""
-    return vectors.similar_view(_own_vectors(spark, sf_dir), 0.7).select("seq_documento_1", "seq_documento_2", "pagina_1", "pagina_2", F.round("sim", 5).alias("sim"))
+def similar_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity view over vetores, one row per document: its class and number of links."""
+    rows = _own_vectors(spark, sf_dir)
+    last = rows.groupBy("seq_documento").agg(F.max(F.struct("dthr", "pagina", "vetor"))["vetor"].alias("vetor"))
+    found = vectors.link_counts(last, 0.7, "seq_documento", "vetor")
+    return found.select(F.col("id").alias("seq_documento"), "classe", "ligacoes")
 
 
 def similar_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,9 +197,9 @@ def label_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels for embeddings whose number is divisible by 10, from their neighbours."""
+    """The label that the neighbours of each embedding have most often."""
     pairs = vectors.similar_pairs(load(spark, sf_dir, "embeddings"), 0.25, "vec_id", "embedding")
-    return vectors.label_suggestions(pairs, _labels(spark, sf_dir).where("id % 10 <> 0"), 0.25).select("id", "rotulo", "votos")
+    return vectors.label_suggestions(pairs, _labels(spark, sf_dir), 0.25, only_missing=False).select("id", "rotulo", "votos")
 
 
 def density_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +262,7 @@ def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     quick_texts, curation_core, curation_sheet, curation_boxplots, strange_terms, singular_forms, resolved_tokens, resolution_report, tokenized, removed_plurals, translated_texts,
-    text_vocabulary, bigrams, bigram_suggestions, longer_phrases, phrased_texts, passages, passages_once, lines_once, document_tags, document_previews, similar_view, similar_embeddings,
+    text_vocabulary, bigrams, bigram_suggestions, longer_phrases, phrased_texts, passages, passages_once, lines_once, document_tags, document_previews, similar_links, similar_embeddings,
     top_embeddings, search_embeddings, label_review, label_suggestions, density_ranking, leader_clusters, density_clusters, density_audit, embedding_clusters, identical_texts, session_sizes,
     retained_groups, document_vectors,
 )
@@ -321,12 +324,12 @@ ORACLES = {
     "lines_once": "WITH l AS (SELECT doc_id, i - 1 AS sent_no, parts[i] AS sentenca FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))), k AS (SELECT * FROM l WHERE trim(sentenca, ' ') <> '') SELECT (min({'d': doc_id, 's': sent_no})).d AS doc_id, (min({'d': doc_id, 's': sent_no})).s::INT AS sent_no, sentenca, count(*) AS vezes FROM k GROUP BY sentenca",
     "document_tags": "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_extract(arquivo, '(?i)\\btags?\\b.*'), '(?i)\\(\\d+\\)|\\btags?\\b', ' ', 'g'), '\\s+'), lambda w: w <> ''), ' ') AS tags FROM documents WHERE regexp_matches(arquivo, '(?i)\\btags?\\b\\s+\\S')",
     "document_previews": "SELECT doc_id, CASE WHEN length(text) > 250 THEN substr(text, 1, 250) || ' [..]' ELSE text END AS previa FROM documents",
-    "similar_view": "WITH b AS (SELECT * FROM vetores WHERE len(vetor) = 128 AND NOT list_contains(list_transform(vetor, lambda e: e IS NULL OR isnan(e)), true) AND list_contains(list_transform(vetor, lambda e: e <> 0), true)), l AS (SELECT seq_documento AS id, max({'d': coalesce(dthr, TIMESTAMPTZ '0001-01-01'), 'p': coalesce(pagina, -2147483648), 'v': vetor}) AS m FROM b WHERE seq_documento IS NOT NULL GROUP BY 1), x AS (SELECT id, m.p AS p, list_transform(m.v::DOUBLE[], lambda e: e / sqrt(list_dot_product(m.v::DOUBLE[], m.v::DOUBLE[]))) AS v FROM l) SELECT a.id AS seq_documento_1, c.id AS seq_documento_2, a.p AS pagina_1, c.p AS pagina_2, round(list_dot_product(a.v, c.v), 5) AS sim FROM x a JOIN x c ON a.id <> c.id AND list_dot_product(a.v, c.v) > 0.7",
+    "similar_links": "WITH b AS (SELECT * FROM vetores WHERE len(vetor) = 128 AND NOT list_contains(list_transform(vetor, lambda e: e IS NULL OR isnan(e)), true) AND list_contains(list_transform(vetor, lambda e: e <> 0), true)), l AS (SELECT seq_documento AS id, max({'d': coalesce(dthr, TIMESTAMPTZ '0001-01-01'), 'p': coalesce(pagina, -2147483648), 'v': vetor}) AS m FROM b WHERE seq_documento IS NOT NULL GROUP BY 1), x AS (SELECT id, m.p AS p, list_transform(m.v::DOUBLE[], lambda e: e / sqrt(list_dot_product(m.v::DOUBLE[], m.v::DOUBLE[]))) AS v FROM l), k AS (SELECT a.id, count(c.id) AS ligacoes FROM x a LEFT JOIN x c ON a.id <> c.id AND list_dot_product(a.v, c.v) > 0.7 GROUP BY a.id), c AS (SELECT id, min(id) OVER (PARTITION BY list_transform(v, lambda e: round(e, 9))) AS classe FROM x) SELECT id AS seq_documento, classe, ligacoes FROM k JOIN c USING (id)",
     "similar_embeddings": f"WITH {_DIRECTED} SELECT id_1 AS a, id_2 AS b, round(sim, 6) AS sim FROM e WHERE id_1 < id_2 AND sim > {SIMILAR}",
     "top_embeddings": f"WITH {_DIRECTED} SELECT id_1, id_2, ordem FROM (SELECT *, row_number() OVER (PARTITION BY id_1 ORDER BY sim DESC, id_2)::INT AS ordem FROM e WHERE sim > {SIMILAR}) WHERE ordem <= 3",
     "search_embeddings": f"WITH {_DIRECTED} SELECT id_1 AS q, id_2 AS id, round(sim, 6) AS sim FROM e WHERE id_1 % 50 = 0 AND sim > {SIMILAR}",
     "label_review": f"WITH {_DIRECTED} SELECT id_1 AS a, id_2 AS b, r1 AS rotulo_a, r2 AS rotulo_b FROM e WHERE id_1 < id_2 AND sim > {SIMILAR} AND r1 <> r2",
-    "label_suggestions": f"WITH {_DIRECTED}, v AS (SELECT id_1 AS id, r2 AS rotulo, count(*) AS votos, max(sim) AS sim FROM e WHERE id_1 % 10 = 0 AND id_2 % 10 <> 0 AND sim > 0.25 AND r2 IS NOT NULL GROUP BY 1, 2) SELECT id, rotulo, votos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votos DESC, sim DESC, rotulo) AS r FROM v) WHERE r = 1",
+    "label_suggestions": f"WITH {_DIRECTED}, v AS (SELECT id_1 AS id, r2 AS rotulo, count(*) AS votos, max(sim) AS sim FROM e WHERE sim > 0.25 AND r2 IS NOT NULL GROUP BY 1, 2) SELECT id, rotulo, votos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votos DESC, sim DESC, rotulo) AS r FROM v) WHERE r = 1",
     "density_ranking": f"WITH {_DIRECTED} SELECT id_1 AS id, count(*) AS ligacoes, round(sum(sim), 5) AS soma FROM e WHERE sim >= {SIMILAR} GROUP BY 1",
     "session_sizes": "SELECT sessao, grupo, tamanho, row_number() OVER (PARTITION BY sessao ORDER BY tamanho DESC, grupo)::INT AS novo FROM (SELECT sessao, grupo, count(DISTINCT seq_documento) AS tamanho FROM grupos WHERE grupo > 0 GROUP BY 1, 2)",
     "retained_groups": f"SELECT seq_documento, grupo, sessao FROM grupos WHERE dthr >= TIMESTAMPTZ '{AT}+00' - INTERVAL 480 HOURS",

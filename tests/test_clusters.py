@@ -135,3 +135,16 @@ def test_blocked_pairs_are_all_pairs(spark):
 
 def test_thresholds():
     assert [V.percent(x) for x in (90, 0.9, 1, 0.29)] == [0.9, 0.9, 1.0, 0.28]
+
+
+def test_link_counts_and_classes(spark):
+    rng = np.random.default_rng(2)
+    matrix = rng.standard_normal((90, 8))
+    matrix[7] = matrix[3] * 2
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(matrix)] + [(100, None), (101, [0.0] * 8)], "id int, v array<double>")
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    got = {r["id"]: (r["classe"], r["ligacoes"]) for r in V.link_counts(df, 0.4, block_rows=20).collect()}
+    assert got == {i: (3 if i == 7 else i, int((sims[i] > 0.4).sum())) for i in range(90)}
+    assert V.link_counts(df.limit(0), 0.4).count() == 0
