@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.session import cut
+
 #: Rows of a block of the blocked join, on average.
 BLOCK_ROWS = 2_000
 
@@ -121,7 +123,7 @@ def similar_pairs(vectors: DataFrame, above: float, id_col: str = "id", vec_col:
 
     Exact, in blocks. Unusable vectors are left out; of repeated identifiers one vector counts.
     """
-    unit = sound(vectors, id_col, vec_col)
+    unit = cut(sound(vectors, id_col, vec_col))
     kind = unit.schema["id"].dataType.simpleString()
 
     def work(ids, matrix, left, right, same):
@@ -146,7 +148,7 @@ def link_counts(vectors: DataFrame, above: float, id_col: str = "id", vec_col: s
     The similarity join as one row per vector: links are counted inside the blocks and never written out. Equal unit vectors
     are one class, named by its smallest identifier, and link to each other.
     """
-    unit = sound(vectors, id_col, vec_col)
+    unit = cut(sound(vectors, id_col, vec_col))
     kind = unit.schema["id"].dataType.simpleString()
 
     def work(ids, matrix, left, right, same):
