@@ -256,14 +256,19 @@ def neighbor_graph(nodes: DataFrame, dim: int = 128, width: int = WIDTH, trees:
     return descend(nodes, graph, dim, width, rounds, floor)
 
 
-def leaf_edges(nodes: DataFrame, dim: int, width: int = WIDTH, trees: int = TREES, leaf: int = LEAF, floor: float = -1.0, sample: int = SAMPLE, seed: int = SEED, anchors: bool = False) -> DataFrame:
-    """``u, v, sim`` from all pairs within the leaves of the trees."""
+def planted_forest(nodes: DataFrame, dim: int, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = SEED) -> Forest:
+    """Projection trees fitted on a bounded sample of the nodes."""
     total = nodes.count()
     share = min(1.0, 1.3 * sample / max(1, total))
     drawn = nodes.select("vetor").sample(fraction=share, seed=seed).limit(sample) if share < 1 else nodes.select("vetor")
     rows = drawn.toArrow()
     fitted = _matrix(rows.column("vetor").combine_chunks(), dim) if rows.num_rows else np.zeros((0, dim), np.float32)
-    forest = Forest(fitted, total, trees, leaf, seed)
+    return Forest(fitted, total, trees, leaf, seed)
+
+
+def leaf_edges(nodes: DataFrame, dim: int, width: int = WIDTH, trees: int = TREES, leaf: int = LEAF, floor: float = -1.0, sample: int = SAMPLE, seed: int = SEED, anchors: bool = False) -> DataFrame:
+    """``u, v, sim`` from all pairs within the leaves of the trees."""
+    forest = planted_forest(nodes, dim, trees, leaf, sample, seed)
     return _first_edges(nodes, forest, dim, width, floor, 8 * leaf, anchors)
 
 
@@ -315,32 +320,79 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int = 5, beam: int = 16, entries: int = 32, steps: int = 12) -> DataFrame:
+def _leaf_starts(queries: DataFrame, nodes: DataFrame, forest: Forest, dim: int, beam: int) -> DataFrame:
+    """``q, v``: the ``beam`` nodes most similar to each query in each of the leaves it falls into."""
+    shared = nodes.sparkSession.sparkContext.broadcast(forest)
+    trees = len(forest.trees)
+
+    def plant(batches):
+        for batch in batches:
+            if batch.num_rows:
+                leaves = shared.value.leaves(_matrix(batch.column("vetor"), dim))
+                for t in range(trees):
+                    yield pa.record_batch([pa.array(leaves[:, t] * trees + t), batch.column("id"), batch.column("pedida"), batch.column("vetor")], names=["folha", "id", "pedida", "vetor"])
+
+    def compare(batches):
+        for leaf in _grouped(batches, "folha"):
+            leaf = leaf.combine_chunks()
+            ids, vectors = leaf.column("id").to_numpy(), _matrix(leaf.column("vetor").combine_chunks(), dim)
+            asked = leaf.column("pedida").to_numpy()
+            q, v, own, rest = ids[asked], ids[~asked], vectors[asked], vectors[~asked]
+            if not v.size:
+                continue
+            take = min(beam, v.size)
+            for start in range(0, q.size, 1024):
+                best = np.argpartition(-(own[start : start + 1024] @ rest.T), take - 1, axis=1)[:, :take]
+                yield pa.record_batch([pa.array(np.repeat(q[start : start + 1024], take)), pa.array(v[best.ravel()])], names=["q", "v"])
+
+    both = nodes.select(F.col("id").cast("bigint").alias("id"), F.lit(False).alias("pedida"), "vetor").unionByName(queries.select(F.col("q").cast("bigint").alias("id"), F.lit(True).alias("pedida"), "vetor"))
+    planted = both.mapInArrow(plant, "folha bigint, id bigint, pedida boolean, vetor array<float>")
+    return planted.repartition("folha").sortWithinPartitions("folha").mapInArrow(compare, "q bigint, v bigint")
+
+
+def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int = 5, beam: int = 16, entries: int = 32, dim: int = 128, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """``q, v, sim``: the ``k`` nodes most similar to each query, by greedy walks over the graph.
 
-    ``queries`` has ``q, vetor``. The walk starts at ``entries`` nodes spread by hash, and at each step
-    looks at the neighbours of the best ``beam`` nodes not yet looked at; it ends when no query has any,
-    or after ``steps``.
+    ``queries`` has ``q, vetor``. The walk of a query starts at the best nodes of its leaves in the projection trees
+    and at ``entries`` nodes spread by hash, and at each step looks at the neighbours of the best ``beam`` nodes not
+    yet looked at; it ends when no query has any.
     """
     ids = nodes.select(F.col("id").cast("bigint").alias("v"), "vetor")
-    start = ids.select("v").orderBy(F.xxhash64("v"), "v").limit(entries)
-    ask = queries.select("q", F.col("vetor").alias("p"))
+    spread = ids.select("v").orderBy(F.xxhash64("v"), "v").limit(entries)
+    ask = queries.select(F.col("q").cast("bigint").alias("q"), F.col("vetor").alias("p"))
+    start = _leaf_starts(queries, nodes, planted_forest(nodes, dim, trees, leaf, sample, seed), dim, beam).unionByName(ask.select("q").crossJoin(F.broadcast(spread))).distinct()
 
     def judged(pairs: DataFrame) -> DataFrame:
         return pairs.join(ids, "v").join(ask, "q").select("q", "v", dot(F.col("p"), F.col("vetor")).alias("sim"))
 
-    pool = cut(judged(queries.select("q").crossJoin(F.broadcast(start))).withColumn("vista", F.lit(False)))
+    def best(pool: DataFrame) -> DataFrame:
+        held = pool.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("s"), "v", "vista"))).alias("c"))
+        return cut(held.select("q", F.explode(F.slice("c", 1, beam)).alias("x")).select("q", "x.v", (-F.col("x.s")).alias("sim"), "x.vista"))
+
+    pool = best(judged(start).withColumn("vista", F.lit(False)))
     links = graph_edges(graph).select(F.col("u").alias("f"), F.col("v").alias("n"))
     # Links both ways, so that no node is out of reach only because nobody chose it.
     links = cut(links.unionByName(links.select(F.col("n").alias("f"), F.col("f").alias("n"))).distinct())
-    for _ in range(steps):
+    # A node pushed out of a pool never returns, as the pool only gets better: the walks end.
+    while True:
         fresh = pool.where("NOT vista").select("q", F.col("v").alias("f"))
         if fresh.isEmpty():
             break
         seen = pool.withColumn("vista", F.lit(True))
         reached = fresh.join(links, "f").select("q", F.col("n").alias("v")).distinct()
         added = judged(reached.join(seen.select("q", "v"), ["q", "v"], "left_anti")).withColumn("vista", F.lit(False))
-        both = seen.unionByName(added).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("sim", "v", "vista")), asc=False).alias("c"))
-        pool = cut(both.select("q", F.explode(F.slice("c", 1, beam)).alias("x")).select("q", "x.v", "x.sim", "x.vista"))
+        pool = best(seen.unionByName(added))
     ranked = pool.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("s"), "v"))), 1, k).alias("c"))
     return ranked.select("q", F.explode("c").alias("x")).select("q", F.col("x.v").alias("v"), (-F.col("x.s")).alias("sim"))
+
+
+def search_documents(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """``q, viz, sim``: the ``k`` most similar other documents of each query that is a document itself.
+
+    ``found`` has ``q, v, sim`` with the ``k + 1`` most similar nodes; of a node with copies all are documents, and ties
+    go to the smaller one, as in :func:`expand`.
+    """
+    first = members.groupBy(F.col("no").cast("bigint").alias("v")).agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("copias"))
+    reach = found.join(first, "v").select("q", F.round("sim", 7).alias("sim"), F.explode("copias").alias("viz")).where("q <> viz")
+    best = reach.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("s"), "viz"))), 1, k).alias("c"))
+    return best.select("q", F.explode("c").alias("x")).select("q", "x.viz", (-F.col("x.s")).alias("sim"))

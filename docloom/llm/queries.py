@@ -43,14 +43,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar nodes of every document whose number is divisible by 50, by greedy graph search."""
+    """The five most similar other documents of every document whose number is divisible by 50, by greedy graph search."""
     vectors = _vectors(spark, sf_dir)
-    nodes, _ = neighbors.fold(vectors)
-    nodes = neighbors.cut(nodes)
+    nodes, members = neighbors.fold(vectors)
+    nodes, members = neighbors.cut(nodes), neighbors.cut(members)
     graph = neighbors.neighbor_graph(nodes)
     asked = vectors.where(F.col("id") % 50 == 0).select(F.col("id").alias("q"), "vetor")
-    found = neighbors.greedy_search(asked, nodes, graph, k=6).where("q <> v")
-    return found.select(F.col("q").alias("seq_documento_1"), F.col("v").cast("int").alias("seq_documento_2"), F.round("sim", 6).alias("sim"))
+    found = neighbors.search_documents(neighbors.greedy_search(asked, nodes, graph, k=6), members, 5)
+    return found.select(F.col("q").cast("int").alias("seq_documento_1"), F.col("viz").cast("int").alias("seq_documento_2"), F.round("sim", 6).alias("sim"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

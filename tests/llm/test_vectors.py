@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from docloom.llm import communities, neighbors
+from docloom.llm import communities, neighbors, queries
 
 SCHEMA = "seq_documento int, pagina int, vetor array<float>, t string"
 
@@ -75,6 +75,23 @@ def test_greedy_search_reaches_brute_force(spark):
     assert len(expected & got) / len(expected) >= 0.9
 
 
+def test_search_reaches_groups_without_entry(spark, tmp_path):
+    """More groups than entries, no links between them, and copies of an asked document."""
+    matrix = _clustered(np.random.default_rng(8), 60, 40)
+    matrix[101] = matrix[102] = matrix[100]
+    _frame(spark, matrix).write.parquet(str(tmp_path / "vetores.parquet"))
+    got = {(r[0], r[1]) for r in queries.p3_search(spark, str(tmp_path)).collect()}
+    unit = (matrix / np.linalg.norm(matrix, axis=1, keepdims=True)).astype(np.float32)
+    expected = set()
+    for i in range(0, len(matrix), 50):
+        sims = np.round(unit @ unit[i], 6)
+        sims[i] = -2
+        expected |= {(i, int(j)) for j in np.argsort(-sims, kind="stable")[:5]}
+    assert len(got) == len(expected)
+    assert {(100, 101), (100, 102)} <= got
+    assert len(expected & got) / len(expected) >= 0.97
+
+
 def test_empty_and_single(spark):
     empty = spark.createDataFrame([], SCHEMA).withColumn("dthr", F.col("t").cast("timestamp"))
     one = _frame(spark, _clustered(np.random.default_rng(5), 1, 1))
