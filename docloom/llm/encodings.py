@@ -3,14 +3,16 @@
 For every pair (encoding a text had, encoding it was read with) the garbled form of each letter and
 typographic sign is computed beforehand. Forms of several characters (UTF-8 read as something else, once
 or twice) are found by a multi-pattern automaton, forms of one character by a translation table. Each distinct word
-of the collection that holds a character outside ASCII is tried against all pairs; whether a repaired word is right is
-decided by how many documents have it as against the word as it stands, counted over the whole collection. Only
-the matched spans of words so decided are replaced; all other text stays as it is.
+of the collection that holds a character outside ASCII is tried against all pairs. A letter from several characters
+in a word that isn't ordinary writing is repaired at once; else whether a repaired word is right is decided by how many
+distinct texts have it as against the word as it stands, counted over the whole collection, or by all words of a text
+fitting one pair. Only the matched spans of words so decided are replaced; all other text stays as it is.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ from docloom.session import cut
 SINGLE = ("cp1252", "cp850", "cp437", "mac_roman", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "iso8859_5", "iso8859_15", "cp1253", "cp1254")
 #: Character that stands for bytes that couldn't be decoded.
 LOST = "�"
-#: A word is repaired into one that this many times more documents have.
+#: A word that may be right as it stands is repaired into one that this many times more texts have.
 RATIO = 3
 
 _SIGNS = "“”‘’„‚«»‹›–—…•€™§ºª°¿¡©®·£¢¥´¨¸¹²³¼½¾±×÷µ¶†‡‰\xa0"
@@ -129,19 +131,20 @@ def repairs(word: str) -> Iterator[tuple[str, str, int]]:
 
 
 def _found_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, palavra``: the distinct words outside ASCII of every row."""
+    """``doc_id, texto_id, palavra``: the distinct words outside ASCII of every row; equal texts have one ``texto_id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, found = [], []
+            row, keys, found = [], [], []
             for i, text in enumerate(batch.column("t").to_pylist()):
                 own = words(text)
                 row += [i] * len(own)
+                keys += [hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()] * len(own)
                 found += own
-            yield pa.record_batch([batch.column("doc_id").take(pa.array(row, pa.int32())), pa.array(found, pa.string())], names=["doc_id", "palavra"])
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(row, pa.int32())), pa.array(keys, pa.binary()), pa.array(found, pa.string())], names=["doc_id", "texto_id", "palavra"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where("t IS NOT NULL").mapInArrow(run, f"doc_id {kind}, palavra string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where("t IS NOT NULL").mapInArrow(run, f"doc_id {kind}, texto_id binary, palavra string")
 
 
 def _tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,21 +153,24 @@ def _tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, n in zip(batch.column("palavra").to_pylist(), batch.column("docs").to_pylist()):
             for r, p, s in repairs(w):
                 word.append(w), count.append(n), fixed.append(r), pair.append(p), strength.append(s)
-        odd = [not _even(w) for w in word]
+        odd = [not (_even(w) and _one_script(w)) for w in word]
         yield pa.record_batch([pa.array(word, pa.string()), pa.array(count, pa.int64()), pa.array(fixed, pa.string()), pa.array(pair, pa.string()), pa.array(strength, pa.int32()), pa.array(odd, pa.bool_())], names=["palavra", "docs", "certa", "par", "forca", "estranha"])
 
 
-def word_repairs(found: DataFrame) -> DataFrame:
-    """``palavra, certa, par`` of every garbled word; ``certa`` is null where it can't be restored.
-
-    ``found`` has ``doc_id, palavra``. A word with :data:`LOST` characters is restored to the most frequent word that agrees in all others.
-    """
-    counts = cut(found.groupBy("palavra").agg(F.count(F.lit(1)).alias("docs")))
+def _judged(counts: DataFrame) -> DataFrame:
+    """``palavra, docs, certa, par, forca, estranha, vezes``: every way to read a word, with the texts that have either form."""
     tried = counts.where(~F.contains("palavra", F.lit(LOST))).mapInArrow(_tried, "palavra string, docs bigint, certa string, par string, forca int, estranha boolean")
     known = counts.select(F.col("palavra").alias("certa"), F.col("docs").alias("vezes"))
-    judged = tried.join(known, "certa", "left").withColumn("vezes", F.coalesce("vezes", F.lit(0)))
+    return tried.join(known, "certa", "left").withColumn("vezes", F.coalesce("vezes", F.lit(0)))
+
+
+def word_repairs(counts: DataFrame, judged: DataFrame) -> DataFrame:
+    """``palavra, certa, par`` of every word that is garbled wherever it stands; ``certa`` is null where it can't be restored.
+
+    ``counts`` has ``palavra, docs`` (distinct texts). A word with :data:`LOST` characters is restored to the most frequent word that agrees in all others.
+    """
     right = (
-        ((F.col("forca") == 3) & ((F.col("vezes") == 0) | (2 * F.col("vezes") >= F.col("docs"))))
+        ((F.col("forca") == 3) & (F.col("estranha") | (F.col("vezes") == 0) | (2 * F.col("vezes") >= F.col("docs"))))
         | ((F.col("forca") == 2) & (F.col("vezes") >= F.col("docs")) & (F.col("vezes") > 0))
         | ((F.col("forca") == 1) & (F.col("vezes") >= RATIO * F.col("docs")))
         | ((F.col("forca") == 1) & F.col("estranha") & (F.col("vezes") >= F.col("docs")) & (F.col("vezes") > 0))
@@ -177,10 +183,41 @@ def word_repairs(found: DataFrame) -> DataFrame:
     return best.unionByName(lost.select("palavra", "certa", F.lit("perdido").alias("par")))
 
 
+def text_repairs(found: DataFrame, judged: DataFrame) -> DataFrame:
+    """``texto_id, palavra, certa, par`` of texts whose words all fit one pair of single-byte encodings.
+
+    At least two words of the text mustn't be ordinary writing as they stand; their frequency doesn't count. Of several
+    pairs the one counts that gives most words other texts have; where none gives any, ``certa`` is null.
+    """
+    # A sign after a word, as of a trade mark, is ordinary: the odd character stands between letters.
+    single = judged.where("forca = 1").withColumn("estranha", F.col("estranha") & F.col("palavra").rlike(r"\p{L}[^\x00-\x7f]+\p{L}"))
+    odd = single.where("estranha").select("palavra").distinct()
+    doubtful = found.join(odd, "palavra", "left_semi").groupBy("texto_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("texto_id")
+    own = cut(found.join(doubtful, "texto_id", "left_semi").withColumn("letra", F.col("palavra").rlike(r"[^\x00-\x7fºª\P{L}]").cast("int")))
+    asked = own.groupBy("texto_id").agg(F.sum("letra").alias("pedidas"))
+    fits = own.join(single, "palavra")
+    pairs = fits.groupBy("texto_id", "par").agg(F.sum("letra").alias("lidas"), F.sum(F.col("estranha").cast("int")).alias("estranhas"), F.sum((F.col("vezes") > 0).cast("int")).alias("conhecidas"), F.sum("vezes").alias("soma"))
+    whole = pairs.join(asked, "texto_id").where("lidas = pedidas AND estranhas >= 2")
+    chosen = whole.groupBy("texto_id").agg(F.max(F.struct("conhecidas", "soma", "par")).alias("m"), F.count(F.lit(1)).alias("modos"))
+    firm = (F.col("conhecidas") > 0) | (F.col("modos") == 1)
+    best = chosen.select("texto_id", F.col("m.par").alias("par"), F.col("m.conhecidas").alias("conhecidas"), "modos")
+    return fits.join(best, ["texto_id", "par"]).select("texto_id", "palavra", F.when(firm, F.col("certa")).alias("certa"), "par")
+
+
 def garbled_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "texto") -> DataFrame:
     """``doc_id, palavra, certa, par``: the garbled words of every affected document."""
-    found = cut(_found_words(docs, id_col, text_col))
-    marked = cut(found.join(cut(word_repairs(found)), "palavra").select("doc_id", "palavra", "certa", "par").distinct())
+    found = cut(_found_words(docs, id_col, text_col).distinct())
+    texts = found.select("texto_id", "palavra").distinct()
+    counts = cut(texts.groupBy("palavra").agg(F.count(F.lit(1)).alias("docs")))
+    judged = cut(_judged(counts))
+    amid = cut(text_repairs(texts, judged))
+    # Texts found whole say nothing about which words are right.
+    sound = cut(texts.join(amid.select("texto_id").distinct(), "texto_id", "left_anti").groupBy("palavra").agg(F.count(F.lit(1)).alias("n")))
+    clean = counts.join(sound, "palavra", "left").select("palavra", F.coalesce("n", F.lit(1)).alias("docs"))
+    again = judged.drop("docs", "vezes").join(clean, "palavra").join(sound.select(F.col("palavra").alias("certa"), F.col("n").alias("vezes")), "certa", "left").withColumn("vezes", F.coalesce("vezes", F.lit(0)))
+    alone = cut(word_repairs(clean, again))
+    amid = amid.join(alone, "palavra", "left_anti")
+    marked = cut(found.join(alone, "palavra").select("doc_id", "palavra", "certa", "par").unionByName(found.join(amid, ["texto_id", "palavra"]).select("doc_id", "palavra", "certa", "par")).distinct())
     # A sign by itself may well be meant: it needs a garbled word beside it.
     firm = marked.where(~F.col("palavra").rlike(_ONLY_SIGNS))
     return firm.unionByName(marked.where(F.col("palavra").rlike(_ONLY_SIGNS)).join(firm.select("doc_id").distinct(), "doc_id", "left_semi"))

@@ -41,6 +41,29 @@ def test_wrong_decodings_are_found_and_restored(spark):
     assert out[106] == "decisão"
 
 
+def test_copies_of_a_garbled_text_do_not_hide_it(spark):
+    """The garbled text fills most rows, as copies and repeated rows; its right words are in few texts."""
+    single, several = "A decisão não é pública.".encode("cp1252").decode("cp850"), "A audiência já terminou".encode().decode("cp1252")
+    rows = [(i, t, "x") for i, t in enumerate(GOOD[:4] + ["Não cabe decisão.", "A decisão é pública.", "Não é pública a decisão.", "A audiência foi já."])]
+    rows += [(100 + i, single, "x") for i in range(20)] + [(200 + i, several, "x") for i in range(20)] + [(100, single, "x")] * 5
+    # Many texts of their own with the same garbled word.
+    rows += [(300 + i, f"Ata {i}: audiência".encode().decode("cp1252"), "x") for i in range(20)]
+    df = _texts(spark, rows)
+    out = {r["doc_id"]: r["restaurado"] for r in encodings.restored(df).collect()}
+    assert set(out) == {*range(100, 120), *range(200, 220), *range(300, 320)} == {r["doc_id"] for r in encodings.affected(df).collect()}
+    assert out[100] == "A decisão não é pública." and out[200] == "A audiência já terminou" and out[307] == "Ata 7: audiência"
+
+
+def test_texts_that_fit_one_pair_need_no_frequency(spark):
+    """Most texts are garbled the same way, so the garbled words are more frequent than the right ones."""
+    plain = "A petição {0} não foi à seção: audiência já marcada."
+    rows = [(i, plain.format(i), "x") for i in range(2)] + [(100 + i, plain.format(i).encode("cp1252").decode("cp850"), "x") for i in range(20)]
+    rows += [(200, "Größe von iPhone-Öffnungen", "x"), (201, "Sąd oddalił skargę.", "x")]
+    out = {r["doc_id"]: r["restaurado"] for r in encodings.restored(_texts(spark, rows)).collect()}
+    assert set(out) == set(range(100, 120))
+    assert out[105] == plain.format(5)
+
+
 def test_no_texts_to_restore(spark):
     assert encodings.affected(_texts(spark, [])).count() == 0
     assert encodings.restored(_texts(spark, [])).count() == 0
