@@ -75,6 +75,18 @@ def sound(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return good.groupBy("id").agg(F.max("v").alias("v")).select("id", normalize(F.col("v")).alias("v")).where("v IS NOT NULL")
 
 
+def in_force(vectors: DataFrame, id_col: str = "seq_documento", vec_col: str = "vetor", time_col: str = "dthr", page_col: str = "pagina", dim: int = 128) -> DataFrame:
+    """``id_col, vec_col``: the vector in force of every document, where it is usable.
+
+    In force is the row with the latest time (a null time is the earliest), of rows of the same time the one with the
+    largest page, then vector. Only then null, all-zero and non-finite vectors, vectors with null elements and
+    those of another length than ``dim`` are left out: a document whose vector in force is unusable has none.
+    """
+    last = vectors.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.struct(time_col, page_col, vec_col))[vec_col].alias(vec_col))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return last.where((F.size(vec_col) == dim) & F.forall(vec_col, finite) & F.exists(vec_col, lambda x: x != 0))
+
+
 def _by_block_pairs(unit: DataFrame, block_rows: int, schema: str, work) -> DataFrame:
     """``work(ids, matrix, left, right, same)`` for each pair of blocks, as batches of ``schema``.
 

@@ -156,14 +156,13 @@ def document_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _own_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of vetores with a usable vector of the usual length."""
-    return load(spark, sf_dir, "vetores").where((F.size("vetor") == 128) & ~F.exists("vetor", lambda x: x.isNull() | F.isnan(x)) & F.exists("vetor", lambda x: x != 0))
+    """The usable vectors in force of vetores, one row per document."""
+    return vectors.in_force(load(spark, sf_dir, "vetores"))
 
 
 def similar_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The similarity view over vetores, one row per document: its class and number of links."""
-    rows = _own_vectors(spark, sf_dir)
-    last = rows.groupBy("seq_documento").agg(F.max(F.struct("dthr", "pagina", "vetor"))["vetor"].alias("vetor"))
+    last = _own_vectors(spark, sf_dir)
     found = vectors.link_counts(last, 0.7, "seq_documento", "vetor")
     return found.select(F.col("id").alias("seq_documento"), "classe", "ligacoes")
 

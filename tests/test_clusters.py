@@ -148,3 +148,20 @@ def test_link_counts_and_classes(spark):
     got = {r["id"]: (r["classe"], r["ligacoes"]) for r in V.link_counts(df, 0.4, block_rows=20).collect()}
     assert got == {i: (3 if i == 7 else i, int((sims[i] > 0.4).sum())) for i in range(90)}
     assert V.link_counts(df.limit(0), 0.4).count() == 0
+
+
+def test_clusters_use_vectors_in_force(spark, tmp_path):
+    """A superseded vector that is larger in array order, and one followed by an unusable row, don't count."""
+    from pyspark.sql import functions as F
+
+    from docloom.plans import queries
+
+    a, b = [1.0] + [0.0] * 127, [0.0, 1.0] + [0.0] * 126
+    rows = [(1, a, "2024-01-01"), (2, a, "2023-01-01"), (2, b, "2024-01-01"), (3, b, "2024-01-01"), (4, a, "2023-01-01"), (4, None, "2024-01-01"), (5, a, "2024-01-01"), (5, b, None)]
+    df = spark.createDataFrame(rows, "seq_documento int, vetor array<float>, t string").select("seq_documento", F.lit(1).alias("pagina"), "vetor", F.col("t").cast("timestamp").alias("dthr"))
+    df.write.parquet(str(tmp_path / "vetores.parquet"))
+    sf = str(tmp_path)
+    assert {r["id"]: r["grupo"] for r in queries.leader_clusters(spark, sf).collect()} == {1: 1, 5: 1, 2: 2, 3: 2}
+    assert {r["seq_documento"]: r["grupo"] for r in queries.density_clusters(spark, sf).collect()} == {1: 1, 5: 1, 2: 2, 3: 2, 4: clusters.NO_VECTOR}
+    assert {r["seq_documento"]: (r["classe"], r["ligacoes"]) for r in queries.similar_links(spark, sf).collect()} == {1: (1, 1), 5: (1, 1), 2: (2, 1), 3: (2, 1)}
+    assert [r["resultado"] for r in queries.density_audit(spark, sf).orderBy("ordem").collect()] == ["ok", "5", "2", "ok", "ok", "ok", "ok", "ok"]
