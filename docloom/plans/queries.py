@@ -256,7 +256,7 @@ def retained_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of documents from a model trained on their tokens."""
     tokens = _docs(spark, sf_dir).select("doc_id", textclean.quick_tokens(F.col("text")).alias("tokens")).where("tokens IS NOT NULL")
-    return embed.infer(embed.train(tokens, dims=16, window=5, epochs=1), tokens).select("doc_id", "vetor")
+    return embed.infer(embed.train(tokens), tokens).select("doc_id", "vetor")
 
 
 _ALL = (

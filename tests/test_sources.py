@@ -1,6 +1,7 @@
 """Files, tags, vocabulary configuration, sinks, sessions, embeddings and streams."""
 
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,11 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r["id"]: r["grupo"] for r in spark.table("grupos_novos").collect()} == {1: 1, 2: -1, 3: -1}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_document_vectors_have_the_usual_length(spark):
+    from docloom.plans import queries
+
+    rows = queries.document_vectors(spark, "/root/testdata/sf0.001").collect()
+    assert rows and {len(r["vetor"]) for r in rows if r["vetor"]} == {300}
