@@ -7,7 +7,9 @@ cleaned whole.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,19 +22,20 @@ URL = (
     r"|https?:\/\/(?:www\.|(?!www))[a-zA-Z0-9]+\.[^\s]{2,}|www\.[a-zA-Z0-9]+\.[^\s]{2,})\b"
 )
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
-ACRONYM_DOT = r"(?<=\W[a-z])\.(?=[a-z]\W)"
+# The dot first: the look-behind is then tried at dots only.
+ACRONYM_DOT = r"\.(?<=\W[a-z]\.)(?=[a-z]\W)"
+# Fixed value: characters that stay; any other becomes a blank.
+SYMBOL = "[^a-z0-9á-ú]"
 
-#: Ranges of characters whose compatibility form is spelt out: Latin, punctuation, letterlike signs, fractions, ligatures.
-_SPELT = ((0xA0, 0x250), (0x1E00, 0x1F00), (0x2000, 0x2070), (0x2070, 0x20A0), (0x2100, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
 
 
 @functools.cache
 def folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Characters that fold to one ASCII character, what to, and those that fold to several."""
+    """Of all Unicode: characters that fold to one ASCII character, what to, and those that fold to several."""
     single, target, several = [], [], []
-    for first, last in _SPELT:
-        for code in range(first, last):
-            char = chr(code)
+    for code in range(0x80, 0x110000):
+        char = chr(code)
+        if unicodedata.decomposition(char):
             plain = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
             if len(plain) == 1:
                 single.append(char)
@@ -42,22 +45,36 @@ def folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(single), "".join(target), tuple(several)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def remove_accents(text: Column) -> Column:
-    """Compatibility decomposition reduced to ASCII; characters without an ASCII base are dropped.
+    """Compatibility decomposition (NFKD) reduced to ASCII; characters without an ASCII base are dropped.
 
-    Covers Latin, punctuation, letterlike, fraction, ligature and full-width characters. Texts without
-    characters that fold to several skip their replacement.
+    Characters that fold to one are translated in one pass. Only of a text that then still has others are those that
+    fold to several replaced, each distinct one once.
     """
     single, target, several = folding()
-    spelt = functools.reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), several, text)
-    rare = F.translate(text, "".join(c for c, _ in several), "") != text
-    folded = F.translate(F.when(rare, spelt).otherwise(text), single, target)
-    return F.regexp_replace(folded, r"[^\x00-\x7F]", "")
+    chars, plains = F.split(F.lit("\x1f".join(c for c, _ in several)), "\x1f"), F.split(F.lit("\x1f".join(p for _, p in several)), "\x1f")
+    others = r"[^\x00-\x7F]+"
+
+    def spelt(folded: Column) -> Column:
+        present = F.array_intersect(F.regexp_extract_all(F.regexp_replace(folded, r"[\x00-\x7F]+", ""), F.lit("(?s)(.)"), 1), chars)
+        done = F.aggregate(present, folded, lambda text, c: F.replace(text, c, F.element_at(plains, F.array_position(chars, c).cast("int"))))
+        return F.when(folded.rlike(others), F.regexp_replace(done, others, "")).otherwise(folded)
+
+    return let(F.translate(text, single, target), spelt)
 
 
 def strip_links(text: Column) -> Column:
-    """URLs and e-mail addresses become one blank each. Schemes match in lower case only."""
-    return F.regexp_replace(F.regexp_replace(text, f"(?U){URL}", " "), f"(?U){EMAIL}", " ")
+    """URLs and e-mail addresses become one blank each. Schemes match in lower case only.
+
+    The patterns are tried only on texts that hold what they begin with or need.
+    """
+    plain = F.when(text.contains("http") | text.contains("www."), F.regexp_replace(text, f"(?U){URL}", " ")).otherwise(text)
+    return let(plain, lambda t: F.when(t.contains("@"), F.regexp_replace(t, f"(?U){EMAIL}", " ")).otherwise(t))
 
 
 def lower_lines(text: Column) -> Column:
@@ -77,7 +94,9 @@ def digits_to_words(text: Column) -> Column:
 
 def symbols_to_blanks(text: Column) -> Column:
     """Every character but ``a-z`` and digits becomes one blank; runs aren't collapsed."""
-    return F.regexp_replace(text, "[^a-z0-9á-ú]", " ")
+    symbols = "".join(c for c in map(chr, range(0x80)) if not re.match("[a-z0-9]", c))
+    plain = F.translate(text, symbols, " " * len(symbols))
+    return let(plain, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.regexp_replace(t, SYMBOL, " ")).otherwise(t))
 
 
 def clean(text: Column) -> Column:

@@ -9,6 +9,10 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ PLURALS = (("aes", "ao"), ("ais", "al"), ("oes", "ao"), ("eis", "el"), ("ois", "
 FRAGMENT, OUT_OF_VOCABULARY = "#", "#OOV"
 #: What an empty document has for tokens.
 EMPTY = "."
+#: Most distinct tokens whose resolution is sent to every task, and the groups a frequent token is split into where it is joined.
+BROADCAST_TOKENS, SALTS = 200_000, 16
 
 
 def _singular_part(token: Column) -> Column:
@@ -123,33 +129,59 @@ def resolution(tokens: DataFrame, terms: DataFrame, accept_all: bool = False, fr
 
 
 def raw_tokens(text: Column, vocabulary: Vocabulary) -> Column:
-    """Cleaned and translated text as tokens, before resolution, without removed terms."""
+    """Cleaned and translated text as tokens, before terms are removed and tokens resolved."""
     cleaned = textclean.clean(text)
     if vocabulary.rules:
         cleaned = translate_terms(cleaned, list(vocabulary.rules))
-    tokens = textclean.split_tokens(textclean.drop_orphan_underscores(cleaned))
-    if vocabulary.removed:
-        tokens = F.filter(tokens, lambda t: ~t.isin(*sorted(vocabulary.removed))) if len(vocabulary.removed) <= 50 else F.filter(tokens, lambda t: ~F.array_contains(F.array(*[F.lit(r) for r in sorted(vocabulary.removed)]), t))
-    return tokens
+    return textclean.split_tokens(textclean.drop_orphan_underscores(cleaned))
 
 
-def tokenize(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", accept_all: bool = False, fragment: bool = True) -> DataFrame:
+def replaced_tokens(tokens: Column, pieces: Broadcast) -> Column:
+    """Every token's pieces from a broadcast dict, in order; tokens that aren't in it give none.
+
+    Whole batches at once: only a batch's distinct tokens are looked up.
+    """
+
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        lists = lists.cast(pa.list_(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        table = pa.array([pieces.value.get(w, ()) for w in coded.dictionary.to_pylist()] + [()], pa.list_(pa.string()))
+        which = coded.indices.fill_null(len(table) - 1)
+        sizes = pc.list_value_length(table).to_numpy(zero_copy_only=False)[which.to_numpy(zero_copy_only=False)]
+        lengths = np.bincount(pc.list_parent_indices(lists).to_numpy(), weights=sizes, minlength=len(lists)).astype(np.int64)
+        offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, table.take(which).flatten(), mask=lists.is_null())
+
+    return run(tokens)
+
+
+def tokenize(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", accept_all: bool = False, fragment: bool = True, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """``doc_id, tokens ARRAY<STRING>`` of every row whose text isn't null.
 
-    Tokens come in text order; one-character tokens go after resolution; a document without tokens has ``['.']``. A
-    vocabulary without terms accepts every token. Rows are documents of their own even if ``doc_id`` repeats.
+    Tokens come in text order, without removed terms; one-character tokens go after resolution; a document without tokens has
+    ``['.']``. A vocabulary without terms accepts every token. Rows are documents of their own even if ``doc_id`` repeats.
+    Distinct tokens are resolved once. Up to ``broadcast_tokens`` of them the table is sent to all tasks and applied within
+    the row; a larger one is joined, with the same result.
     """
     spark = docs.sparkSession
     accept_all = accept_all or not vocabulary.terms
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), raw_tokens(F.col(text_col), vocabulary).alias("brutos")).withColumn("linha", F.monotonically_increasing_id())
     rows = cut(rows)
-    loose = rows.select("linha", "doc_id", F.posexplode_outer("brutos").alias("pos", "token"))
-    table = resolution(loose.where("token IS NOT NULL"), vocabulary.frame(spark), accept_all, fragment)
-    joined = loose.join(table.select("token", "pecas"), "token", "left")
-    gathered = joined.groupBy("linha").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("pos", "pecas"))).alias("partes"))
-    flat = F.flatten(F.transform("partes", lambda p: F.coalesce(p["pecas"], F.array().cast("array<string>"))))
-    kept = F.filter(flat, lambda t: F.length(t) > 1)
-    return gathered.select("doc_id", F.when(F.size(kept) == 0, F.array(F.lit(EMPTY))).otherwise(kept).alias("tokens"))
+    seen = rows.select(F.explode("brutos").alias("token")).distinct()
+    seen = seen.join(vocabulary.removed_frame(spark).withColumnRenamed("term", "token"), "token", "left_anti") if vocabulary.removed else seen
+    table = cut(resolution(seen, vocabulary.frame(spark), accept_all, fragment).select("token", F.filter("pecas", lambda t: F.length(t) > 1).alias("pecas")))
+    if table.count() <= broadcast_tokens:
+        found = spark.sparkContext.broadcast({r["token"]: tuple(r["pecas"]) for r in table.collect()})
+        kept = rows.select("doc_id", replaced_tokens(F.col("brutos"), found).alias("kept"))
+    else:
+        # A word that fills the texts has its occurrences in several groups, each with a copy of its row.
+        salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+        loose = rows.select("linha", "doc_id", F.posexplode_outer("brutos").alias("pos", "token")).withColumn("sal", F.pmod(F.col("linha"), F.lit(SALTS)))
+        joined = loose.join(table.withColumn("sal", F.explode(salts)), ["token", "sal"], "left")
+        gathered = joined.groupBy("linha").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("pos", "pecas"))).alias("partes"))
+        kept = gathered.select("doc_id", F.flatten(F.transform("partes", lambda p: F.coalesce(p["pecas"], F.array().cast("array<string>")))).alias("kept"))
+    return kept.select("doc_id", F.when(F.size("kept") == 0, F.array(F.lit(EMPTY))).otherwise(F.col("kept")).alias("tokens"))
 
 
 def resolution_report(tokens: DataFrame, terms: DataFrame, accept_all: bool = False, token_col: str = "token") -> DataFrame:

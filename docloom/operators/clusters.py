@@ -1,13 +1,18 @@
 """Threshold clustering: by row order, by density, and the audit of a clustering.
 
 Both clusterings are one kernel: centroids are the lexicographically first maximal independent set
-of the graph "similarity at least t" under a fixed priority, found in parallel rounds, and every other
-vector goes to its most similar centroid.
+of the graph "similarity at least t" under a fixed priority, and every other vector goes to its most similar
+centroid. The graph is never written: vectors are compared with centroids, in blocks, and what comes out of a
+product is one row a vector.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import vectors as V
@@ -16,64 +21,118 @@ from docloom.session import cut
 
 #: A document without group, and one without vector.
 ORPHAN, NO_VECTOR = -1, -2
+#: Rows that one task settles one after the other.
+HEAD = 4_096
+
+
+def _greedy(rows: DataFrame, limit: float) -> DataFrame:
+    """``id, r, v`` of the rows taken in order of ``r`` such that no two are similar. For at most :data:`HEAD` rows: one task."""
+
+    def run(batches):
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        lists = table.column("v").combine_chunks()
+        matrix = lists.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        free, taken = np.ones(table.num_rows, bool), []
+        for i in range(table.num_rows):
+            if free[i]:
+                taken.append(i)
+                free &= matrix @ matrix[i] < limit - V.SLACK
+        yield from table.take(pa.array(taken)).to_batches()
+
+    return rows.select("id", "r", "v").repartition(1).sortWithinPartitions("r").mapInArrow(run, rows.select("id", "r", "v").schema)
 
 
-def independent_set(edges: DataFrame, priority: DataFrame) -> DataFrame:
-    """``id``: vertices taken greedily by ascending ``p`` such that no two are adjacent.
+def _settled(rows: DataFrame, limit: float, head: int, block_rows: int) -> DataFrame:
+    """``id, r, v`` of the rows that the greedy choice in order of ``r`` takes among these.
 
-    ``edges`` has ``id_1, id_2`` in both directions, ``priority`` has ``id, p`` with distinct comparable ``p``. In each
-    round all vertices that come before every undecided neighbour are taken and their neighbours leave; the expected number
-    of rounds is logarithmic for a random order.
+    While there are more than ``head``, all rows without a similar one before them are taken at once and their like leave.
+    Only the first similar row of each is kept of a product of blocks, so a dense group costs no more than a loose one.
     """
-    links = cut(edges.join(priority.select(F.col("id").alias("id_1"), F.col("p").alias("p1")), "id_1").join(priority.select(F.col("id").alias("id_2"), F.col("p").alias("p2")), "id_2").select("id_1", "id_2", "p1", "p2"))
-    taken = None
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def beaten(lt, a, rt, b):
+        own, other = lt.column("r").to_numpy(), rt.column("r").to_numpy()
+        for start in range(0, len(a), 512):
+            near = (a[start : start + 512] @ b.T >= limit - V.SLACK) & (other[None, :] < own[start : start + 512, None])
+            hit = np.flatnonzero(near.any(1))
+            yield pa.record_batch([lt.column("id").combine_chunks().take(pa.array(start + hit))], names=["id"])
+
+    taken, open_ = [], rows
+    while open_.count() > head:
+        lost = V.grid(open_, open_, f"id {kind}", beaten, block_rows).distinct()
+        fresh = cut(open_.join(lost, "id", "left_anti"))
+        taken.append(fresh)
+        open_ = cut(open_.join(V.near_any(open_, fresh, limit, block_rows), "id", "left_anti"))
+    taken.append(_greedy(open_, limit))
+    return cut(functools.reduce(DataFrame.unionByName, (t.select("id", "r", "v") for t in taken)))
+
+
+def centroids_in_order(unit: DataFrame, limit: float, head: int = HEAD, block_rows: int = V.BLOCK_ROWS) -> DataFrame:
+    """``id, r, v`` of the rows that become centroids: taken in order of ``r`` if no centroid before is similar enough.
+
+    ``unit`` has ``id``, distinct whole numbers ``r`` and unit vectors ``v``. The first ``head`` rows are settled, what is
+    similar to their centroids leaves, then as many more as before, and so on: rows are compared with centroids, not with each
+    other, and no link is ever written.
+    """
+    left, upto, taken = cut(unit.select("id", "r", "v")), head, []
     while True:
-        state = links.groupBy("id_1").agg(F.min("p2").alias("melhor"), F.first("p1").alias("p1"))
-        fresh = cut(state.where("p1 < melhor").select(F.col("id_1").alias("id")))
-        if fresh.isEmpty():
+        first = left.agg(F.min("r").alias("r")).first()["r"]
+        if first is None:
             break
-        taken = fresh if taken is None else taken.unionByName(fresh)
-        out = cut(links.join(fresh.select(F.col("id").alias("id_1")), "id_1", "left_semi").select(F.col("id_2").alias("id")).unionByName(fresh).distinct())
-        links = cut(links.join(out.select(F.col("id").alias("id_1")), "id_1", "left_anti").join(out.select(F.col("id").alias("id_2")), "id_2", "left_anti"))
-        # A vertex whose neighbours all left has no link any more: it is found below.
-    if taken is None:
-        return priority.select("id").limit(0)
-    everyone = priority.select("id").join(edges.select(F.col("id_1").alias("id")).distinct(), "id", "left_semi")
-    covered = edges.join(taken.select(F.col("id").alias("id_1")), "id_1", "left_semi").select(F.col("id_2").alias("id")).unionByName(taken.select("id")).distinct()
-    return taken.select("id").unionByName(everyone.join(covered, "id", "left_anti")).distinct()
+        upto = max(upto, first + head - 1)
+        fresh = _settled(cut(left.where(F.col("r") <= upto)), limit, head, block_rows)
+        taken.append(fresh)
+        rest = left.where(F.col("r") > upto)
+        left = cut(rest.join(V.near_any(rest, fresh, limit, block_rows), "id", "left_anti"))
+        upto *= 2
+    return cut(functools.reduce(DataFrame.unionByName, taken)) if taken else left
 
 
-def assign(edges: DataFrame, centroids: DataFrame, tie: Column) -> DataFrame:
-    """``id, centro, sim``: every vertex next to a centroid goes to the most similar one, ties to the first by ``tie``.
+def _placed(unit: DataFrame, ranked: DataFrame, limit: float, last: bool, head: int, block_rows: int) -> DataFrame:
+    """``id, centro, sim``: every row of ``unit`` that has a centroid at its most similar one, centroids themselves included.
 
-    ``edges`` has ``id_1, id_2, sim``; ``centroids`` has ``id`` and the columns ``tie`` uses.
+    ``ranked``: ``id, r``. Of centroids as similar the first by ``r`` counts, or the ``last``.
     """
-    heads = centroids.withColumnRenamed("id", "id_2")
-    reach = edges.join(heads, "id_2").join(centroids.select(F.col("id").alias("id_1")), "id_1", "left_anti")
-    best = reach.groupBy("id_1").agg(F.min(F.struct((-F.col("sim")).alias("s"), tie.alias("t"), "id_2")).alias("m"))
-    return best.select(F.col("id_1").alias("id"), F.col("m.id_2").alias("centro"), (-F.col("m.s")).alias("sim"))
+    rows = cut(unit.join(ranked, "id").select("id", "r", "v"))
+    heads = centroids_in_order(rows, limit, head, block_rows)
+    others = cut(rows.join(heads.select("id"), "id", "left_anti"))
+    sign = -1 if last else 1
+    best = V.nearest(others, heads.select("id", (sign * F.col("r")).alias("r"), "v"), limit, block_rows)
+    members = best.withColumn("r", sign * F.col("r")).join(heads.select("r", F.col("id").alias("centro")), "r").select("id", "centro", "sim")
+    return members.unionByName(heads.select("id", F.col("id").alias("centro"), F.lit(1.0).alias("sim")))
+
+
+def _folded(unit: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first row of each distinct vector, ``id, v, m`` with the number of its rows, and ``id, classe`` of all rows."""
+    members = cut(V.classes(unit))
+    sizes = members.groupBy("classe").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("classe", "id")
+    return cut(unit.join(sizes, "id")), members
 
 
-def leader(vectors: DataFrame, threshold: float = 90, id_col: str = "id", vec_col: str = "v", order_col: str | None = None, pairs: DataFrame | None = None) -> DataFrame:
+def leader(vectors: DataFrame, threshold: float = 90, id_col: str = "id", vec_col: str = "v", order_col: str | None = None, head: int = HEAD, block_rows: int = V.BLOCK_ROWS) -> DataFrame:
     """Clustering in row order: ``id, grupo, similaridade, centroide``.
 
     A row becomes a centroid if no earlier centroid is similar enough; then every other row goes to its most similar
     centroid, ties to the earlier one. Groups of one are -1 with similarity 0. Groups are numbered by the first row
     that belongs to them; similarity is in percent, rounded to two places. Rows are ordered by ``order_col`` (default:
-    the identifier). Unusable vectors are orphans.
+    the identifier). Unusable vectors are orphans. Equal vectors are worked on once.
     """
     limit = V.percent(threshold)
     keyed = vectors.select(F.col(id_col).alias("id"), F.col(order_col or id_col).alias("o")).where("id IS NOT NULL").groupBy("id").agg(F.min("o").alias("o"))
-    priority = keyed.select("id", F.struct("o", "id").alias("p"))
-    pairs = cut(V.similar_pairs(vectors, limit, id_col, vec_col, inclusive=True)) if pairs is None else pairs
-    edges = cut(V.mirrored(pairs))
-    centroids = cut(independent_set(edges, priority)).join(priority, "id")
-    members = assign(edges, centroids, F.col("p"))
-    rows = members.unionByName(centroids.select("id", F.col("id").alias("centro"), F.lit(1.0).alias("sim")))
-    counted = rows.join(rows.groupBy("centro").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("centro"), "centro", "left_semi")
-    first = counted.join(priority, "id").groupBy("centro").agg(F.min("p").alias("primeiro"))
+    unit = cut(V.sound(vectors, id_col, vec_col))
+    order = numbered_by(keyed.join(unit.select("id"), "id", "left_semi"), ["o", "id"], "r").select("id", "r")
+    order = cut(order)
+    same = cut(V.classes(unit).join(order, "id"))
+    # Of equal rows the first one stands for all.
+    ranked = same.groupBy("classe").agg(F.min("r").alias("r"), F.min_by("id", "r").alias("no"))
+    placed = _placed(unit, ranked.select(F.col("no").alias("id"), "r"), limit, False, head, block_rows)
+    rows = cut(same.join(ranked.select("classe", "no"), "classe").join(placed.withColumnRenamed("id", "no"), "no").select("id", "r", "centro", F.when(F.col("no") == F.col("centro"), 1.0).otherwise(F.col("sim")).alias("sim")))
+    first = rows.groupBy("centro").agg(F.min("r").alias("primeiro"), F.count(F.lit(1)).alias("n")).where("n > 1")
     number = numbered_by(first, ["primeiro"], "grupo").select("centro", F.col("grupo").cast("int"))
-    grouped = counted.join(number, "centro").select("id", "grupo", F.bround(F.col("sim") * 100, 2).alias("similaridade"), (F.col("id") == F.col("centro")).cast("int").alias("centroide"))
+    grouped = rows.join(number, "centro").select("id", "grupo", F.bround(F.col("sim") * 100, 2).alias("similaridade"), (F.col("id") == F.col("centro")).cast("int").alias("centroide"))
     return keyed.select("id").join(grouped, "id", "left").select("id", F.coalesce("grupo", F.lit(ORPHAN)).alias("grupo"), F.coalesce("similaridade", F.lit(0.0)).alias("similaridade"), F.coalesce("centroide", F.lit(0)).alias("centroide"))
 
 
@@ -82,29 +141,27 @@ def densities(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("id_1").alias("id")).agg(F.count(F.lit(1)).alias("ligacoes"), F.sum("sim").alias("soma"))
 
 
-def density(documents: DataFrame, vectors: DataFrame, percent: float = 90, floor: float = 70, session: str = "", id_col: str = "seq_documento", vec_col: str = "vetor") -> DataFrame:
+def density(documents: DataFrame, vectors: DataFrame, percent: float = 90, floor: float = 70, session: str = "", id_col: str = "seq_documento", vec_col: str = "vetor", head: int = HEAD, block_rows: int = V.BLOCK_ROWS) -> DataFrame:
     """Clustering by density: ``seq_documento, grupo, sessao, centroide, sim``.
 
     The limit is the larger of ``percent`` and ``floor``. The document with most links, then the largest sum of
     similarities, then the smallest identifier becomes a centroid and takes its neighbours, until no link is left; then each
     document goes to its most similar centroid, and on an exact tie to the one chosen last. Documents without group have -1,
     those without a usable vector -2. Groups are numbered by descending size, then by their centroid's identifier.
+    Equal vectors are worked on once.
     """
     limit = max(floor, percent) / 100
     ids = documents.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
-    own = V.sound(vectors.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, vec_col)
-    edges = cut(V.mirrored(V.similar_pairs(own, limit, inclusive=True)))
-    ranked = densities(edges).select("id", F.struct((-F.col("ligacoes")).alias("l"), (-F.round("soma", 9)).alias("s"), "id").alias("p"))
-    centroids = cut(independent_set(edges, ranked)).join(ranked, "id")
-    # The later of tied centroids: order them by falling priority.
-    last = F.struct((-F.col("p.l")).alias("l"), (-F.col("p.s")).alias("s"), (-F.col("p.id")).alias("i"))
-    members = assign(edges, centroids, last)
-    rows = cut(members.unionByName(centroids.select("id", F.col("id").alias("centro"), F.lit(1.0).alias("sim"))))
+    own = cut(V.sound(vectors.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, vec_col))
+    nodes, same = _folded(own)
+    linked = V.weighted_degrees(nodes, limit, block_rows).where("ligacoes > 0").withColumn("soma", F.round("soma", 9))
+    ranked = numbered_by(linked, [F.desc("ligacoes"), F.desc("soma"), F.col("id")], "r").select("id", "r")
+    placed = _placed(nodes, ranked, limit, True, head, block_rows)
+    rows = cut(same.join(placed.withColumnRenamed("id", "classe"), "classe").select("id", "centro", "sim"))
     sizes = rows.groupBy("centro").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     number = numbered_by(sizes, [F.desc("n"), F.col("centro")], "grupo").select("centro", F.col("grupo").cast("int"))
     grouped = rows.join(number, "centro").select("id", "grupo", (F.col("id") == F.col("centro")).alias("centroide"), "sim")
-    usable = own.select("id", F.lit(True).alias("usavel"))
-    out = ids.join(grouped, "id", "left").join(usable, "id", "left")
+    out = ids.join(grouped, "id", "left").join(own.select("id", F.lit(True).alias("usavel")), "id", "left")
     state = F.coalesce("grupo", F.when(F.col("usavel"), ORPHAN).otherwise(NO_VECTOR))
     return out.select(F.col("id").alias("seq_documento"), state.alias("grupo"), F.lit(session).alias("sessao"), F.coalesce("centroide", F.lit(False)).alias("centroide"), "sim")
 
@@ -112,12 +169,32 @@ def density(documents: DataFrame, vectors: DataFrame, percent: float = 90, floor
 def best_group(queries: DataFrame, centroids: DataFrame, threshold: float = 90, distance: str = "cosine") -> DataFrame:
     """``q, grupo, similaridade`` of each vector ``q, v`` against the centroids ``grupo, v``; -1 and 0 where none is similar enough.
 
-    Ties go to the smaller group. The centroids are broadcast by Spark's own size check only.
+    Ties go to the smaller group. Cosines are products of blocks; for the euclidean measure vectors keep their length and the
+    distance comes from the product. Unusable vectors are in no group.
     """
     limit = V.percent(threshold)
-    scored = queries.select("q", F.col("v").alias("a")).join(centroids.select("grupo", F.col("v").alias("b")), F.lit(True)).select("q", "grupo", V.similarity(F.col("a"), F.col("b"), distance).alias("sim")).where(F.col("sim") >= limit)
-    best = scored.groupBy("q").agg(F.min(F.struct((-F.col("sim")).alias("s"), "grupo")).alias("m"))
-    return queries.select("q").join(best, "q", "left").select("q", F.coalesce(F.col("m.grupo"), F.lit(ORPHAN)).alias("grupo"), F.coalesce(-100 * F.col("m.s"), F.lit(0.0)).alias("similaridade"))
+    asked = queries.select(F.col("q").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    heads = centroids.select(F.col("grupo").alias("id"), F.col("grupo").cast("bigint").alias("r"), F.col("v").cast("array<double>").alias("v"))
+    finite = lambda df: df.where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    if distance.lower() in ("c", "cosine"):
+        unit = lambda df: finite(df).withColumn("v", V.normalize(F.col("v"))).where("v IS NOT NULL")
+        best = V.nearest(cut(unit(asked)), cut(unit(heads)), limit)
+    else:
+        kind = asked.schema["id"].dataType.simpleString()
+
+        def work(lt, a, rt, b):
+            order = np.argsort(rt.column("r").to_numpy(), kind="stable")
+            numbers, b = rt.column("r").to_numpy()[order], b[order]
+            square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+            sims = np.round(1 - np.sqrt(np.maximum(square, 0)), V.PLACES)
+            best = sims.argmax(1)
+            value = sims[np.arange(len(sims)), best]
+            ok = np.flatnonzero(value >= limit)
+            yield pa.record_batch([lt.column("id").combine_chunks().take(pa.array(ok)), pa.array(numbers[best[ok]]), pa.array(value[ok])], names=["id", "r", "sim"])
+
+        found = V.grid(cut(finite(asked)), cut(finite(heads)), f"id {kind}, r bigint, sim double", work)
+        best = found.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "r")).alias("m")).select("id", "m.r", (-F.col("m.s")).alias("sim"))
+    return queries.select("q").join(best.withColumnRenamed("id", "q"), "q", "left").select("q", F.coalesce(F.col("r").cast("int"), F.lit(ORPHAN)).alias("grupo"), F.coalesce(100 * F.col("sim"), F.lit(0.0)).alias("similaridade"))
 
 
 def identical_to_centroid(clustered: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -135,26 +212,41 @@ def audit(groups: DataFrame, vectors: DataFrame, session: str, percent: float =
     """Eight checks of a session's clustering: ``ordem, mensagem, resultado``.
 
     The limit in percent, the number of rows, the number of groups, and ``ok`` or ``falha`` for: orphans near a
-    centroid, members nearer to another centroid, more than one centroid, none, and stored similarities off by more than
-    0.01. Without ``percent`` the session's lowest similarity is the limit. ``vectors`` has ``seq_documento, vetor``.
+    centroid, members more similar to the centroid of another group than their stored similarity (by more than 1e-6, whatever
+    the limit), more than one centroid, none, and stored similarities off by more than 0.01. Without ``percent`` the session's
+    lowest similarity, cut to whole percents, is the limit. ``vectors`` has ``seq_documento, vetor``. Documents are compared with
+    centroids only.
     """
-    own = groups.where(F.col("sessao") == session).select("seq_documento", "grupo", "centroide", "sim")
+    own = groups.where(F.col("sessao") == session).select(F.col("seq_documento").alias("id"), "grupo", "centroide", F.col("sim").cast("double").alias("sim"))
     unit = V.sound(vectors, "seq_documento", "vetor")
-    placed = cut(own.join(unit.withColumnRenamed("id", "seq_documento"), "seq_documento", "left"))
-    limit = percent if percent > 0 else float(placed.where("sim > 0").agg(F.coalesce(F.min("sim"), F.lit(0.0)).alias("m")).first()["m"]) * 100
-    heads = placed.where("centroide AND grupo > 0 AND v IS NOT NULL").select(F.col("seq_documento").alias("c"), F.col("grupo").alias("gc"), F.col("v").alias("cv"))
-    # Only pairs of a centroid and another document can fail: they are found by the blocked join.
-    near = V.mirrored(V.similar_pairs(placed.where("v IS NOT NULL").select(F.col("seq_documento").alias("id"), "v"), min(limit / 100, 0.999999) - 1e-9, inclusive=True))
-    to_head = near.join(heads.select(F.col("c").alias("id_2"), "gc"), "id_2").join(placed.select(F.col("seq_documento").alias("id_1"), "grupo", "centroide", F.col("sim").alias("dito")), "id_1")
-    orphans = to_head.where(F.col("grupo").eqNullSafe(ORPHAN) & (F.round("sim", 6) >= limit / 100)).agg(F.count(F.lit(1)).alias("n"))
-    better = to_head.where((F.col("grupo") > 0) & ~F.col("centroide") & (F.col("grupo") != F.col("gc")) & (F.col("sim") > F.col("dito") + 1e-6)).agg(F.count(F.lit(1)).alias("n"))
-    per_group = placed.where("grupo > 0").groupBy("grupo").agg(F.sum(F.col("centroide").cast("int")).alias("c"))
+    placed = cut(own.join(unit, "id", "left"))
+    if percent <= 0:
+        percent = int(placed.where("sim > 0").agg(F.coalesce(F.min("sim"), F.lit(0.0)).alias("m")).first()["m"] * 100)
+    with_vector = placed.where("v IS NOT NULL AND grupo IS NOT NULL").select("id", F.col("grupo").cast("bigint").alias("g"), F.coalesce("centroide", F.lit(False)).alias("c"), F.coalesce("sim", F.lit(float("nan"))).alias("s"), "v")
+    heads = cut(with_vector.where("c AND g > 0").select("id", "g", "v"))
+
+    def work(lt, a, rt, b):
+        ids, other = lt.column("id").to_numpy(), rt.column("id").to_numpy()
+        g, h, c, s = lt.column("g").to_numpy(), rt.column("g").to_numpy(), lt.column("c").to_numpy(), lt.column("s").to_numpy()
+        for start in range(0, len(a), 512):
+            x = slice(start, start + 512)
+            sims = a[x] @ b.T
+            apart = ids[x, None] != other[None, :]
+            orphan = ((np.round(sims, 6) >= percent / 100) & apart).any(1) & (g[x] == ORPHAN)
+            better = ((sims > s[x, None] + 1e-6) & apart & (g[x, None] != h[None, :])).any(1) & (g[x] > 0) & ~c[x]
+            wrong = ((np.abs(sims - s[x, None]) > 0.01) & (g[x, None] == h[None, :])).any(1) & (g[x] > 0)
+            yield pa.record_batch([pa.array(orphan), pa.array(better), pa.array(wrong)], names=["orfao", "melhor", "errada"])
+
+    seen = V.grid(cut(with_vector.where(f"g > 0 OR g = {ORPHAN}")), heads, "orfao boolean, melhor boolean, errada boolean", work)
+    failures = cut(seen.agg(*[F.count_if(F.col(name)).alias(name) for name in ("orfao", "melhor", "errada")]))
+    orphans, better, wrong = (failures.select(F.col(name).alias("n")) for name in ("orfao", "melhor", "errada"))
+    per_group = placed.where("grupo > 0").groupBy("grupo").agg(F.count_if(F.col("centroide")).alias("c"))
     many, none = (per_group.where(rule).agg(F.count(F.lit(1)).alias("n")) for rule in ("c > 1", "c = 0"))
-    wrong = placed.where("grupo > 0").join(heads, F.col("grupo") == F.col("gc")).where(F.abs(V.dot(F.col("v"), F.col("cv")) - F.col("sim")) > 0.01).agg(F.count(F.lit(1)).alias("n"))
     verdict = lambda df: df.select(F.when(F.col("n") == 0, "ok").otherwise("falha").alias("resultado"))
     counted = lambda df: df.agg(F.count(F.lit(1)).cast("string").alias("resultado"))
+    # The messages of the report.
     rows = [
-        (f"Avaliando similaridade >= {int(limit)}", placed.sparkSession.range(1).select(F.lit("ok").alias("resultado"))),
+        (f"Avaliando similaridade >= {int(percent)}", placed.sparkSession.range(1).select(F.lit("ok").alias("resultado"))),
         ("Total de registros no grupo", counted(placed)),
         ("Total de grupos criados", counted(placed.where("centroide AND grupo > 0"))),
         ("Verificação de órfãos", verdict(orphans)),

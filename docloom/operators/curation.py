@@ -13,7 +13,8 @@ from docloom.session import cut
 # The drawn positions of a box plot, and the longest token of the sheet.
 BOXPLOT = ("o |---[---]---|  ", "  |-x-[---]---|  ", "  |---[x--]---|  ", "  |---[-x-]---|  ", "  |---[--x]---|  ", "  |---[---]-x-|  ", "  |---[---]---| o")
 LONGEST_TOKEN = 50
-VOWELS = "aeiou"
+#: Most terms whose frequencies are sent to every task.
+BROADCAST_TERMS = 500_000
 
 
 def term_counts(tokens: DataFrame, id_col: str = "doc_id", token_col: str = "token") -> DataFrame:
@@ -27,14 +28,16 @@ def document_frequencies(counts: DataFrame) -> DataFrame:
     return counts.groupBy("termo").agg(F.sum("tf").alias("qtd"), F.count(F.lit(1)).alias("qtd_docs"))
 
 
-def tfidf(counts: DataFrame, documents: Column | int) -> DataFrame:
+def tfidf(counts: DataFrame, documents: DataFrame | int, frequencies: DataFrame | None = None) -> DataFrame:
     """``doc_id, termo, tf, peso``: ``tf * log2(N / df)``, of unit length within a document.
 
-    Terms of every document weigh nothing and are left out.
+    Terms of every document weigh nothing and are left out. ``documents`` is N, or one row with it. Frequencies of up to
+    :data:`BROADCAST_TERMS` terms are sent to all tasks, so that words all documents have aren't gathered in one.
     """
-    total = F.lit(documents) if isinstance(documents, int) else documents
-    frequencies = document_frequencies(counts).select("termo", "qtd_docs")
-    weighed = counts.join(frequencies, "termo").withColumn("w", F.col("tf") * F.log2(total / F.col("qtd_docs"))).where("w > 0")
+    frequencies = (document_frequencies(counts) if frequencies is None else frequencies).select("termo", "qtd_docs")
+    frequencies = F.broadcast(frequencies) if frequencies.count() <= BROADCAST_TERMS else frequencies
+    total = counts.sparkSession.range(1).select(F.lit(documents).alias("n")) if isinstance(documents, int) else documents.select(F.first(documents.columns[0]).alias("n"))
+    weighed = counts.join(frequencies, "termo").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * F.log2(F.col("n") / F.col("qtd_docs"))).where("w > 0")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return weighed.select("doc_id", "termo", "tf", (F.col("w") / norm).alias("peso"))
 
@@ -74,6 +77,7 @@ def strange(term: Column) -> Column:
     The same character three times (r, s, a, e, i aside), three characters in a row outside ``rsaeiounl_``, a vowel
     three times or four vowels in a row, no vowel at all, or an underscore at an end.
     """
+    # The patterns of a strange term.
     odd = term.rlike(r"([^rsaei])\1{2,}") | term.rlike(r"[^rsaeiounl_\n]{3,}") | term.rlike(r"([aeiou])\1{2,}|[aeiou]{4,}") | ~term.rlike("[aeiouáéíóú]") | term.startswith("_") | term.endswith("_")
     return F.when(odd, "S").otherwise("N")
 
@@ -93,10 +97,8 @@ def core_sheet(tokens: DataFrame, id_col: str = "doc_id", token_col: str = "toke
     # Read three times below: written once instead of cleaning all texts again.
     counts = cut(term_counts(tokens, id_col, token_col))
     total = counts.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n"))
-    frequencies = document_frequencies(counts)
-    weighed = counts.join(frequencies.select("termo", "qtd_docs"), "termo").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * F.log2(F.col("n") / F.col("qtd_docs"))).where("w > 0")
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    means = weighed.select("termo", (F.col("w") / norm).alias("peso")).groupBy("termo").agg(F.bround(F.avg("peso"), 5).alias("tfidf"))
+    frequencies = cut(document_frequencies(counts))
+    means = mean_weights(tfidf(counts, total, frequencies))
     sheet = frequencies.where((F.length("termo") <= LONGEST_TOKEN) | F.contains("termo", F.lit("_"))).join(means, "termo", "left")
     counted = lambda c: F.when(F.col("tfidf").isNull(), F.lit(0)).otherwise(F.col(c)).cast("bigint") if zero_when_weightless else F.col(c)
     clean = F.replace(F.col("termo"), F.lit(FRAGMENT), F.lit(""))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import textclean
@@ -33,36 +35,30 @@ def sentence_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def split_at_stops(tokens: Column, stops: list[str], keep_single: bool = False) -> Column:
-    """Token lists between stop words, of two tokens or more, as ``ARRAY<ARRAY<STRING>>``.
+    """Token lists between stop words, of two tokens or more, as ``ARRAY<ARRAY<STRING>>``; all within the row.
 
-    ``keep_single``: a single token before a stop stays and meets the token after it.
+    ``keep_single``: a single token before a stop stays and meets the token after it. Null tokens don't count; tokens mustn't
+    hold the separators U+001E and U+001F.
     """
-    is_stop = lambda t: F.array_contains(F.array(*[F.lit(s) for s in stops]), t)
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"))
-    full = lambda acc: F.size(acc["now"]) > 1
+    marked = F.array_join(F.transform(tokens, lambda t: F.when(t.isin(*stops), F.lit("\x1e")).otherwise(t)), "\x1f")
+    runs = F.filter(F.transform(F.split(marked, "\x1e"), lambda r: F.filter(F.split(r, "\x1f"), lambda t: t != "")), lambda r: F.size(r) > 0)
+    if not keep_single:
+        return F.filter(runs, lambda r: F.size(r) > 1)
+    # A run of one opens the piece that the next run ends.
     empty = F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("now"))
 
-    def step(acc: Column, token: Column) -> Column:
-        after_stop = F.when(full(acc), F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), empty.alias("now"))).otherwise(F.struct(acc["done"].alias("done"), (acc["now"] if keep_single else empty).alias("now")))
-        return F.when(is_stop(token), after_stop).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.array(token)).alias("now")))
+    def step(acc: Column, run: Column) -> Column:
+        now = F.concat(acc["now"], run)
+        return F.when(F.size(now) > 1, F.struct(F.concat(acc["done"], F.array(now)).alias("done"), empty.alias("now"))).otherwise(F.struct(acc["done"].alias("done"), now.alias("now")))
 
-    return F.aggregate(tokens, start, step, lambda acc: F.when(full(acc), F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
+    return F.aggregate(runs, start, step, lambda acc: acc["done"])
 
 
 def pieces(sentences: DataFrame, stops: list[str], keep_single: bool = False) -> DataFrame:
-    """``peca BIGINT, tokens``: the pieces of all sentences between stop words.
-
-    Runs of tokens between stops are numbered by a running sum of stops within the sentence.
-    """
-    if keep_single:
-        return sentences.select(F.explode(split_at_stops(F.col("tokens"), stops, True)).alias("tokens")).select(F.monotonically_increasing_id().alias("peca"), "tokens")
-    spark = sentences.sparkSession
-    words = spark.createDataFrame([(s,) for s in stops], "token string").withColumn("parada", F.lit(1))
-    loose = sentences.withColumn("s", F.monotonically_increasing_id()).select("s", F.posexplode("tokens").alias("pos", "token")).join(F.broadcast(words), "token", "left")
-    run = F.sum(F.coalesce("parada", F.lit(0))).over(Window.partitionBy("s").orderBy("pos"))
-    kept = loose.withColumn("corrida", run).where("parada IS NULL")
-    gathered = kept.groupBy("s", "corrida").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("x")).where(F.size("x") > 1)
-    return gathered.select(F.xxhash64("s", "corrida").alias("peca"), F.col("x.token").alias("tokens"))
+    """``peca BIGINT, tokens``: the pieces of all sentences between stop words. Nothing is shuffled."""
+    cut_up = sentences.select(F.explode(split_at_stops(F.col("tokens"), stops, keep_single)).alias("tokens"))
+    return cut_up.select(F.monotonically_increasing_id().alias("peca"), "tokens")
 
 
 def mine_bigrams(tokens: DataFrame, min_count: int = 10, threshold: float = 20.0) -> DataFrame:
@@ -92,23 +88,36 @@ def phrase_list(phrases: DataFrame) -> list[tuple[str, str]]:
 
 
 def apply_phrases(tokens: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Neighbouring tokens that are a phrase become ``w1_w2``, greedily from the left without overlaps."""
+    """Neighbouring tokens that are a phrase become ``w1_w2``, greedily from the left without overlaps.
+
+    Whole batches at once: in a run of places that each begin a phrase every second one is taken, counted from the run's first.
+    """
     known = frozenset(pairs)
 
-    @F.pandas_udf("array<string>")
-    def run(lists: pd.Series) -> pd.Series:
-        def one(words) -> list[str]:
-            out, i = [], 0
-            while i < len(words):
-                if i + 1 < len(words) and (words[i], words[i + 1]) in known:
-                    out.append(f"{words[i]}_{words[i + 1]}")
-                    i += 2
-                else:
-                    out.append(words[i])
-                    i += 1
-            return out
-
-        return lists.map(one, na_action="ignore")
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        lists = lists.cast(pa.list_(pa.string()))
+        flat = lists.flatten()
+        n = len(flat)
+        if n < 2 or not known:
+            return lists
+        coded = flat.dictionary_encode()
+        code = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
+        size = len(code)
+        wanted = np.array(sorted(code[a] * size + code[b] for a, b in known if a in code and b in code), np.int64)
+        codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = pc.list_parent_indices(lists).to_numpy()
+        begins = np.zeros(n, bool)
+        begins[:-1] = (owner[1:] == owner[:-1]) & (codes[:-1] >= 0) & (codes[1:] >= 0) & np.isin(codes[:-1] * size + codes[1:], wanted)
+        place = np.arange(n)
+        first = np.maximum.accumulate(np.where(begins & ~np.r_[False, begins[:-1]], place, -1))
+        taken = begins & ((place - first) % 2 == 0)
+        joined = pc.binary_join_element_wise(flat, pc.take(flat, pa.array(np.minimum(place + 1, n - 1))), "_")
+        kept = np.flatnonzero(~np.r_[False, taken[:-1]])
+        words = pc.if_else(pa.array(taken), joined, flat).take(pa.array(kept))
+        lengths = np.bincount(owner[kept], minlength=len(lists))
+        offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, words, mask=lists.is_null())
 
     return run(tokens)
 

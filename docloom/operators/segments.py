@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -36,43 +38,47 @@ def split_at_marks(line: Column, keep_marks: bool = True) -> Column:
     return F.filter(F.split(F.replace(marked, F.lit("."), F.lit(".\n")), "\n"), lambda p: p != "")
 
 
+def _ended(piece: str) -> bool:
+    """Whether a piece ends in a mark that no abbreviation explains."""
+    return piece.strip().endswith((".", "?", "!")) and not _ABBREVIATED.search(piece.strip())
+
+
 def join_broken(pieces: list[str]) -> list[str]:
-    """Pieces appended to the one before unless that ended in a mark and not in an abbreviation.
+    """Pieces in groups that each begin after a piece that :func:`_ended`, joined by blanks.
 
     >>> join_broken(["Conforme art.", "5 da lei.", "Fim"])
     ['Conforme art. 5 da lei.', 'Fim']
     """
-    out: list[str] = []
-    for i, piece in enumerate(pieces):
-        before = pieces[i - 1].strip() if i else ""
-        ended = before[-1:] in (".", "?", "!") and not _ABBREVIATED.search(before)
-        if i and not ended:
-            out[-1] = f"{out[-1].strip()} {piece}"
-        else:
-            out.append(piece)
-    return out
+    number = itertools.accumulate((_ended(piece) for piece in pieces[:-1]), initial=0)
+    groups = itertools.groupby(zip(number, pieces), key=lambda pair: pair[0])
+    return [functools.reduce(lambda text, piece: f"{text.strip()} {piece}", (piece for _, piece in group)) for _, group in groups] if pieces else []
+
+
+def _valid_words(text: str) -> int:
+    """Words of more than two letters."""
+    return sum(len(re.sub(r"[^\wá-ú]", "", word)) > 2 for word in text.split(" "))
 
 
 def accumulate(pieces: list[str], min_length: int = 1, min_tokens: int = 5) -> list[str]:
-    """Pieces put together until ``min_length`` characters; kept with ``min_tokens`` words of more than two letters.
+    """Stretches of pieces of at least ``min_length`` characters, each piece after a blank.
 
-    What is left at the end goes to the last one kept, or stands alone with ``min_tokens`` words.
+    Of full stretches those with ``min_tokens`` words of more than two letters are kept. Pieces that fill none at the end go
+    to the last stretch kept; without any they are one with ``min_tokens`` words of whatever length.
     """
-    out: list[str] = []
-    held = ""
-    for piece in pieces:
-        held += f" {piece}"
-        if len(held) >= max(1, min_length):
-            words = [re.sub(r"[^\wá-ú]", "", w) for w in held.strip().split(" ") if len(w) > 2]
-            if min_tokens < 1 or sum(len(w) > 2 for w in words) >= min_tokens:
-                out.append(held)
-            held = ""
-    if held:
-        if out:
-            out[-1] = f"{out[-1]} {held}"
-        elif min_tokens < 1 or len(held.strip().split(" ")) >= min_tokens:
-            out.append(held)
-    return out
+    ends, size = [], 0
+    for place, piece in enumerate(pieces, 1):
+        size += 1 + len(piece)
+        if size >= min_length:
+            ends.append(place)
+            size = 0
+    full = ["".join(f" {piece}" for piece in pieces[a:b]) for a, b in zip([0, *ends], ends)]
+    kept = [text for text in full if min_tokens < 1 or _valid_words(text.strip()) >= min_tokens]
+    rest = "".join(f" {piece}" for piece in pieces[(ends or [0])[-1] :])
+    if rest and kept:
+        kept[-1] += f" {rest}"
+    elif rest and (min_tokens < 1 or len(rest.strip().split(" ")) >= min_tokens):
+        kept = [rest]
+    return kept
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 1, min_tokens: int = 5, keep_marks: bool = True) -> DataFrame:

@@ -19,6 +19,10 @@ from docloom.session import cut
 
 #: Rows of a block of the blocked join, on average.
 BLOCK_ROWS = 2_000
+#: Similarities are the same if they agree to so many places; a limit holds up to half a unit of the last.
+PLACES, SLACK = 12, 5e-13
+#: Most tasks of one blocked product; beyond, a task works on several pairs of blocks, one after the other.
+MOST_TASKS = 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -88,7 +92,7 @@ def in_force(vectors: DataFrame, id_col: str = "seq_documento", vec_col: str = "
 
 
 def _by_block_pairs(unit: DataFrame, block_rows: int, schema: str, work) -> DataFrame:
-    """``work(ids, matrix, left, right, same)`` for each pair of blocks, as batches of ``schema``.
+    """``work(ids, matrix, left, right, same, weights)`` for each pair of blocks, as batches of ``schema``; ``weights``: column ``m``.
 
     Rows are dealt into B blocks by hash; each of the B (B + 1) / 2 pairs of blocks is one group of bounded size in one task,
     so nothing is broadcast and no task holds more than two blocks. All vectors must have one length.
@@ -97,37 +101,120 @@ def _by_block_pairs(unit: DataFrame, block_rows: int, schema: str, work) -> Data
     homes = unit.withColumn("bloco", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     # A row of block i goes to the pairs (i, j) and (j, i) for all j.
     targets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(j, F.col("bloco")).alias("i"), F.greatest(j, F.col("bloco")).alias("j")))
-    dealt = homes.withColumn("p", F.explode(targets)).select((F.col("p.i") * F.lit(blocks).cast("bigint") + F.col("p.j")).alias("par"), "bloco", "id", "v")
+    dealt = homes.withColumn("p", F.explode(targets)).select((F.col("p.i") * F.lit(blocks).cast("bigint") + F.col("p.j")).alias("par"), "bloco", *unit.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks()
+        for table in _by_key(batches, "par"):
+            table = table.combine_chunks()
             ids, lists = table.column("id").combine_chunks(), table.column("v").combine_chunks()
             size = len(lists[0])
             if pc.any(pc.not_equal(pc.list_value_length(lists), size)).as_py():
                 raise ValueError("vectors of different length")
             matrix = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), size)
             home = table.column("bloco").to_numpy()
-            i, j = divmod(key, blocks)
-            yield from work(ids, matrix, np.flatnonzero(home == i), np.flatnonzero(home == j), i == j)
+            weights = table.column("m").to_numpy() if "m" in table.column_names else None
+            i, j = divmod(int(table.column("par")[0].as_py()), blocks)
+            yield from work(ids, matrix, np.flatnonzero(home == i), np.flatnonzero(home == j), i == j, weights)
+
+    return dealt.repartition(min(blocks * (blocks + 1) // 2, MOST_TASKS), "par").sortWithinPartitions("par").mapInArrow(run, schema)
+
+
+def grid(left: DataFrame, right: DataFrame, schema: str, work, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``work(left, a, right, b)`` for each block of ``left`` with each block of ``right``, as batches of ``schema``.
+
+    Both sides have ``id`` and ``v`` (unit vectors of one length) and may have any further columns, of which ``work`` gets tables;
+    ``a`` and ``b`` are the matrices. Rows are dealt into blocks by hash of their id, so each task holds two blocks of bounded
+    size and nothing is broadcast. Both sides are counted: they should be cheap to read. An empty side gives no rows.
+    """
+    spark = left.sparkSession
+    rows, columns = left.count(), right.count()
+    if not rows or not columns:
+        return spark.createDataFrame([], schema)
+    high, wide = -(-rows // block_rows), -(-columns // block_rows)
+
+    def dealt(side: DataFrame, own: int, other: int, first: bool) -> DataFrame:
+        home = F.pmod(F.xxhash64("id"), F.lit(own)).cast("bigint")
+        meets = F.explode(F.sequence(F.lit(0), F.lit(other - 1)).cast("array<bigint>"))
+        placed = side.withColumn("__h", home).withColumn("__o", meets)
+        key = F.col("__h") * wide + F.col("__o") if first else F.col("__o") * wide + F.col("__h")
+        row = F.struct(*side.columns)
+        return placed.select(key.alias("par"), (row if first else F.lit(None)).alias("x"), (F.lit(None) if first else row).alias("y"))
+
+    one, two = dealt(left, high, wide, True), dealt(right, wide, high, False)
+    kinds = (one.schema["x"].dataType.simpleString(), two.schema["y"].dataType.simpleString())
+    both = one.select("par", "x", F.lit(None).cast(kinds[1]).alias("y")).unionByName(two.select("par", F.lit(None).cast(kinds[0]).alias("x"), "y"))
+
+    def side_of(table: pa.Table, name: str) -> tuple[pa.Table, np.ndarray]:
+        held = table.column(name).combine_chunks()
+        held = held.filter(held.is_valid())
+        out = pa.table({f.name: held.field(i) for i, f in enumerate(held.type)})
+        lists = out.column("v").combine_chunks()
+        size = len(lists[0]) if len(lists) else 0
+        if pc.any(pc.not_equal(pc.list_value_length(lists), size)).as_py():
+            raise ValueError("vectors of different length")
+        return out, lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_key(batches, "par"):
+            (lt, a), (rt, b) = side_of(table, "x"), side_of(table, "y")
+            if len(a) and len(b):
+                if a.shape[1] != b.shape[1]:
+                    raise ValueError("vectors of different length")
+                yield from work(lt, a, rt, b)
+
+    return both.repartition(min(high * wide, MOST_TASKS), "par").sortWithinPartitions("par").mapInArrow(run, schema)
 
-        for batch in batches:
-            keys = batch.column("par").to_numpy()
-            cuts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)]
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                if y > x:
-                    if held and keys[x] != key:
-                        yield from flush()
-                        held = []
-                    key = int(keys[x])
-                    held.append(batch.slice(x, y - x))
-        if held:
-            yield from flush()
 
-    return dealt.repartition("par").sortWithinPartitions("par").mapInArrow(run, schema)
+def nearest(left: DataFrame, right: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``id, r, sim``: of each row of ``left`` the most similar row of ``right`` with ``sim >= least``, if there is one.
+
+    ``right`` has a number ``r`` of its own; of rows as similar (to twelve places) the one with the smallest ``r`` comes out.
+    """
+    kind = left.schema["id"].dataType.simpleString()
+
+    def work(lt, a, rt, b):
+        order = np.argsort(rt.column("r").to_numpy(), kind="stable")
+        numbers, b = rt.column("r").to_numpy()[order], b[order]
+        for start in range(0, len(a), 512):
+            sims = np.round(a[start : start + 512] @ b.T, PLACES)
+            best = sims.argmax(1)
+            value = sims[np.arange(len(sims)), best]
+            ok = np.flatnonzero(value >= least)
+            yield pa.record_batch([lt.column("id").combine_chunks().take(pa.array(start + ok)), pa.array(numbers[best[ok]]), pa.array(value[ok])], names=["id", "r", "sim"])
+
+    found = grid(left.select("id", "v"), right.select("id", "r", "v"), f"id {kind}, r bigint, sim double", work, block_rows)
+    best = found.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "r")).alias("m"))
+    return best.select("id", F.col("m.r").alias("r"), (-F.col("m.s")).alias("sim"))
+
+
+def near_any(left: DataFrame, right: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``id`` of each row of ``left`` with a row of ``right`` at least so similar."""
+    kind = left.schema["id"].dataType.simpleString()
+
+    def work(lt, a, rt, b):
+        for start in range(0, len(a), 512):
+            hit = np.flatnonzero(((a[start : start + 512] @ b.T) >= least - SLACK).any(1))
+            yield pa.record_batch([lt.column("id").combine_chunks().take(pa.array(start + hit))], names=["id"])
+
+    return grid(left.select("id", "v"), right.select("id", "v"), f"id {kind}", work, block_rows).distinct()
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by a whole number."""
+    held: list[pa.RecordBatch] = []
+    now = 0
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        cuts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)]
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            if y > x:
+                if held and keys[x] != now:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                now = int(keys[x])
+                held.append(batch.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def similar_pairs(vectors: DataFrame, above: float, id_col: str = "id", vec_col: str = "v", inclusive: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -138,7 +225,7 @@ def similar_pairs(vectors: DataFrame, above: float, id_col: str = "id", vec_col:
     unit = cut(sound(vectors, id_col, vec_col))
     kind = unit.schema["id"].dataType.simpleString()
 
-    def work(ids, matrix, left, right, same):
+    def work(ids, matrix, left, right, same, weights):
         for start in range(0, left.size, 512):
             part = left[start : start + 512]
             sims = matrix[part] @ matrix[right].T
@@ -154,6 +241,12 @@ def similar_pairs(vectors: DataFrame, above: float, id_col: str = "id", vec_col:
     return _by_block_pairs(unit, block_rows, f"a {kind}, b {kind}, sim double", work)
 
 
+def classes(unit: DataFrame) -> DataFrame:
+    """``id, classe`` of unit vectors: equal ones (to nine places) are one class, named by its smallest identifier."""
+    keyed = unit.select("id", F.md5(F.to_json(F.transform("v", lambda x: F.round(x, 9))).cast("binary")).alias("k"))
+    return keyed.join(keyed.groupBy("k").agg(F.min("id").alias("classe")), "k").select("id", "classe")
+
+
 def link_counts(vectors: DataFrame, above: float, id_col: str = "id", vec_col: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id, classe, ligacoes`` of every usable vector: its class and the number of others with cosine above ``above``.
 
@@ -163,7 +256,7 @@ def link_counts(vectors: DataFrame, above: float, id_col: str = "id", vec_col: s
     unit = cut(sound(vectors, id_col, vec_col))
     kind = unit.schema["id"].dataType.simpleString()
 
-    def work(ids, matrix, left, right, same):
+    def work(ids, matrix, left, right, same, weights):
         rows, columns = np.zeros(left.size, np.int64), np.zeros(right.size, np.int64)
         for start in range(0, left.size, 512):
             part = left[start : start + 512]
@@ -177,9 +270,33 @@ def link_counts(vectors: DataFrame, above: float, id_col: str = "id", vec_col: s
             yield pa.record_batch([ids.take(pa.array(right)), pa.array(columns)], names=["id", "n"])
 
     counts = _by_block_pairs(unit, block_rows, f"id {kind}, n bigint", work).groupBy("id").agg(F.sum("n").alias("ligacoes"))
-    keyed = unit.select("id", F.md5(F.to_json(F.transform("v", lambda x: F.round(x, 9))).cast("binary")).alias("k"))
-    classes = keyed.groupBy("k").agg(F.min("id").alias("classe"))
-    return counts.join(keyed.join(classes, "k").select("id", "classe"), "id").select("id", "classe", "ligacoes")
+    return counts.join(classes(unit), "id").select("id", "classe", "ligacoes")
+
+
+def weighted_degrees(unit: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``id, ligacoes, soma`` of unit vectors ``id, v, m``: the others at least so similar, each counted ``m`` times, and
+    their summed similarity. Counted inside the blocks: no link is written. A vector's own copies, ``m - 1``, count too."""
+    unit = cut(unit)
+    kind = unit.schema["id"].dataType.simpleString()
+
+    def work(ids, matrix, left, right, same, weights):
+        sides = [(np.zeros(left.size, np.int64), np.zeros(left.size)), (np.zeros(right.size, np.int64), np.zeros(right.size))]
+        for start in range(0, left.size, 512):
+            part = left[start : start + 512]
+            sims = matrix[part] @ matrix[right].T
+            near = sims >= least - SLACK
+            if same:
+                near[np.arange(part.size), start + np.arange(part.size)] = False
+            sims = np.where(near, sims, 0)
+            span = slice(start, start + part.size)
+            sides[0][0][span], sides[0][1][span] = near @ weights[right], sims @ weights[right].astype(float)
+            sides[1][0][:] += weights[part] @ near
+            sides[1][1][:] += weights[part].astype(float) @ sims
+        for rows, (links, total) in zip((left,) if same else (left, right), sides):
+            yield pa.record_batch([ids.take(pa.array(rows)), pa.array(links), pa.array(total)], names=["id", "n", "s"])
+
+    found = _by_block_pairs(unit.select("id", "m", "v"), block_rows, f"id {kind}, n bigint, s double", work).groupBy("id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return found.join(unit.select("id", "m"), "id").select("id", (F.col("n") + F.col("m") - 1).alias("ligacoes"), (F.col("s") + F.col("m") - 1).alias("soma"))
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
@@ -204,12 +321,18 @@ def similar_view(vectors: DataFrame, above: float = 0.7) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, above: float, id_col: str = "id", vec_col: str = "v") -> DataFrame:
     """``q, id, sim`` of every vector similar to each query vector (``q, v``), the most similar first.
 
-    The queries are joined row by row with all vectors by expressions; meant for query sets that Spark's own size check broadcasts.
+    The stated queries against all vectors, in blocks.
     """
-    base = sound(vectors, id_col, vec_col)
-    asked = sound(queries, "q", "v").select(F.col("id").alias("q"), F.col("v").alias("qv"))
-    scored = base.join(asked, F.lit(True)).select("q", "id", dot(F.col("v"), F.col("qv")).alias("sim"))
-    return scored.where((F.col("sim") > above) & (F.col("q") != F.col("id"))).orderBy("q", F.desc("sim"), "id")
+    base, asked = cut(sound(vectors, id_col, vec_col)), cut(sound(queries, "q", "v"))
+    kinds = base.schema["id"].dataType.simpleString(), asked.schema["id"].dataType.simpleString()
+
+    def work(lt, a, rt, b):
+        for start in range(0, len(a), 512):
+            sims = a[start : start + 512] @ b.T
+            x, y = np.nonzero(sims > above)
+            yield pa.record_batch([rt.column("id").combine_chunks().take(pa.array(y)), lt.column("id").combine_chunks().take(pa.array(start + x)), pa.array(sims[x, y])], names=["q", "id", "sim"])
+
+    return grid(base, asked, f"q {kinds[1]}, id {kinds[0]}, sim double", work).where("q <> id").orderBy("q", F.desc("sim"), "id")
 
 
 def top_similar(pairs: DataFrame, k: int) -> DataFrame:

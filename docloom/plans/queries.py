@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import textclean, translate, vocabulary
 from docloom.operators import clusters, curation, embed, phrases, segments, vectors
 from docloom.plans import sqltext
-from docloom.session import cut, load
+from docloom.session import cut, load, spread
 from docloom.sources import corpus, tables
 
 # Translation rules and edge of a sample configuration.
@@ -19,7 +19,7 @@ AT = "2022-12-03 12:00:00"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

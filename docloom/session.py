@@ -54,6 +54,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of few files over all cores before costly work on them; a scan that has as many parts is left as it is."""
+    parts = df.rdd.getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if parts < cores else df
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One driver table as a DataFrame."""
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
