@@ -260,3 +260,9 @@ def audit(groups: DataFrame, vectors: DataFrame, session: str, percent: float =
         line = result.select(F.lit(order).alias("ordem"), F.lit(message).alias("mensagem"), "resultado")
         out = line if out is None else out.unionByName(line)
     return out
+
+
+def sheet_order(clustered: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``ultimo``, 1 for orphans, and sorts as a sheet: groups first, each from its centroid downwards, ties by ``keys``."""
+    marked = clustered.withColumn("ultimo", (F.col("grupo") < 0).cast("int"))
+    return marked.orderBy("ultimo", "grupo", F.desc("similaridade"), F.desc("centroide"), *keys)

@@ -30,10 +30,22 @@ def curate_folder(spark: SparkSession, folder: str | list[str], vocabulary_folde
     return sheet
 
 
+def seed_lines(spark: SparkSession, place: str) -> list[str]:
+    """Lines of a seed list; a missing one is made, with a comment alone."""
+    if not corpus.exists(spark, place):
+        tables.write_lines(spark.createDataFrame([("# um termo por linha",)], "linha string"), "linha", place)
+    return [r["value"] for r in corpus.few(spark.read.text(place), "seed lines")]
+
+
 def phrase_folder(spark: SparkSession, folder: str, output: str, stops: list[str] | None = None, include: list[str] = (), exclude: list[str] = (), min_count: int = 10, threshold: float = 20.0) -> DataFrame:
-    """Mined phrases of a folder: tables ``bigramas`` and ``quadrigramas``, and the suggested rules as text."""
+    """Mined phrases of a folder: tables ``bigramas`` and ``quadrigramas``, and the suggested rules as text.
+
+    The seed lists ``ngramas_incluir.txt`` and ``ngramas_remover.txt`` of the output count besides the given ones; they are made where they are missing.
+    """
+    include = [*include, *seed_lines(spark, f"{output}/ngramas_incluir.txt")]
+    exclude = [*exclude, *seed_lines(spark, f"{output}/ngramas_remover.txt")]
     lines = phrases.sentence_tokens(corpus.read_texts(spark, folder), "path", "texto")
-    pairs, longer = phrases.mine_phrases(lines, sorted({*(stops or phrases.stop_words(spark)), *exclude}), min_count, threshold)
+    pairs, longer = phrases.mine_phrases(lines, sorted({*(stops or phrases.stop_words(spark)), *(e for e in exclude if not e.startswith("#"))}), min_count, threshold)
     pairs, longer = cut(pairs), cut(longer)
     pairs.write.mode("overwrite").parquet(f"{output}/bigramas")
     longer.write.mode("overwrite").parquet(f"{output}/quadrigramas")
@@ -44,6 +56,12 @@ def phrase_folder(spark: SparkSession, folder: str, output: str, stops: list[str
     return found
 
 
+def resolution_files(report: DataFrame, output: str) -> None:
+    """The report of resolutions as one sorted list of tokens for each way; :func:`seed_lines` reads them again."""
+    for kind in ("singular", "termo", "inteiro", "fragmento", "fora"):
+        tables.write_lines(report.where(F.col("tipo") == kind).select("token").distinct().orderBy("token"), "token", f"{output}/{kind}")
+
+
 def phrase_report(lines: DataFrame, pairs: list[tuple[str, str]], longer: list[tuple[str, str]], width: int = 200, most: int = 1000) -> DataFrame:
     """``linha`` of the first ``most`` lines with phrases applied: compounds in capitals, cut to ``width`` characters."""
     merged = phrases.transform_tokens(F.col("tokens"), pairs, longer)
@@ -69,10 +87,20 @@ def train_folder(spark: SparkSession, folder: str | list[str], vocabulary_folder
     embed.save(model, model_path, {"documentos": tokens.count(), "termos": model.getVectors().count(), **options})
 
 
-def comparison_terms(model, seed: int = 1) -> DataFrame:
-    """``termo``: at most :data:`COMPARISON_TERMS` terms of a model's vocabulary, fragments left out, by seeded chance."""
+def comparison_terms(model, seed: int = 1, output: str | None = None) -> DataFrame:
+    """``termo``: at most :data:`COMPARISON_TERMS` terms of a model's vocabulary, fragments left out, by seeded chance; kept as lines in ``output``."""
     words = model.getVectors().select(F.col("word").alias("termo")).where(~F.contains("termo", F.lit("#")))
-    return words.orderBy(F.xxhash64("termo", F.lit(seed)), "termo").limit(COMPARISON_TERMS)
+    chosen = words.orderBy(F.xxhash64("termo", F.lit(seed)), "termo").limit(COMPARISON_TERMS)
+    if output:
+        tables.write_lines(chosen, "termo", output)
+    return chosen
+
+
+def comparison_report(model, terms: DataFrame, output: str) -> DataFrame:
+    """The nearest terms of a comparison list as padded lines, also kept in ``output``."""
+    lines = embed.term_report(embed.nearest_terms(model, terms))
+    tables.write_lines(lines.orderBy("linha"), "linha", output)
+    return lines
 
 
 def vectorize_folder(spark: SparkSession, folder: str | list[str], vocabulary_folder: str, model_path: str) -> DataFrame:
@@ -94,6 +122,6 @@ def cluster_folder(spark: SparkSession, folder: str | list[str], vocabulary_fold
     marked = clusters.identical_to_centroid(grouped, files.select(F.col("path").alias("id"), "tokens"))
     rows = marked.join(files.select(F.col("path").alias("id"), "previa"), "id")
     named = rows.select(corpus.folder_of(F.col("id")).alias("pasta"), corpus.stem_of(F.col("id")).alias("arquivo"), "grupo", "similaridade", "identico", "centroide", *([F.col("previa").alias("texto")] if with_text else []))
-    sheet = cut(named.orderBy(F.when(F.col("grupo") < 0, F.lit(2**31)).otherwise(F.col("grupo")), F.desc("similaridade"), F.desc("centroide"), "pasta", "arquivo"))
+    sheet = cut(clusters.sheet_order(named, ["pasta", "arquivo"]).drop("ultimo"))
     tables.write_sheet(sheet, output)
     return sheet

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.textclean import collapse_spaces
 from docloom.functions.translate import parse_rules
-from docloom.functions.vocabulary import Vocabulary, final_terms
+from docloom.functions.vocabulary import Vocabulary, final_terms, removed_plurals
 
 #: Most terms a vocabulary configuration may have: it is read by the driver and sent to every task.
 MAX_TERMS = 5_000_000
@@ -81,24 +81,45 @@ def text_lines(texts: DataFrame, id_col: str = "path", text_col: str = "texto")
 
 def shuffled(texts: DataFrame, seed: int, limit: int | None = None, max_tokens: int = 0, tokens_col: str | None = None) -> DataFrame:
     """Rows in a seeded random order, at most ``limit`` of them, token lists cut to ``max_tokens`` if that isn't 0."""
-    out = texts.orderBy(F.rand(seed))
-    out = out.limit(limit) if limit else out
+    # An order of its own in every part is enough to mix; only a limit needs the smallest of all.
+    drawn = texts.withColumn("__r", F.rand(seed))
+    out = (drawn.orderBy("__r").limit(limit) if limit else drawn.repartition(F.col("__r")).sortWithinPartitions("__r")).drop("__r")
     return out.withColumn(tokens_col, F.slice(tokens_col, 1, max_tokens)) if tokens_col and max_tokens else out
 
 
+def few(rows: DataFrame, what: str) -> list:
+    """The rows of a configuration, which must be no more than :data:`MAX_TERMS`."""
+    held = rows.limit(MAX_TERMS + 1).collect()
+    if len(held) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} {what}")
+    return held
+
+
 def _few_lines(files: DataFrame, prefix: str) -> list[str]:
-    rows = files.where(F.lower("nome").startswith(prefix)).select(F.explode(F.split("texto", "\n")).alias("l")).limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} lines of {prefix}")
-    return [r["l"] for r in rows]
+    return [r["l"] for r in few(files.where(F.lower("nome").startswith(prefix)).select(F.explode(F.split("texto", "\n")).alias("l")), f"lines of {prefix}")]
 
 
-def load_vocabulary(spark: SparkSession, folder: str) -> Vocabulary:
-    """The vocabulary configured by the files of a folder; see :data:`BASE_FILES` and the others.
+def vocabulary_of(base: DataFrame, removed: DataFrame, rules: list[tuple[str, str]]) -> Vocabulary:
+    """A vocabulary from ``term`` of base and removed terms and rules, which are read by the driver.
 
     Digit words are always terms. Removed terms and plurals whose singular is removed are taken out. Without base terms the
     vocabulary is empty, even if there are rules, and then every token is accepted.
     """
+    spark = base.sparkSession
+    gone = {r["term"] for r in few(removed.select("term").distinct(), "removed terms")}
+    if base.isEmpty():
+        return Vocabulary(frozenset(), frozenset(gone), tuple(rules))
+    outputs = spark.createDataFrame([(b,) for _, b in rules], "term string")
+    terms = {r["term"] for r in few(final_terms(base, outputs, removed), "terms")}
+    plurals = {r["term"] for r in few(removed_plurals(base.select("term").unionByName(outputs), removed), "terms")}
+    return Vocabulary(frozenset(terms), frozenset(gone | plurals), tuple(rules))
+
+
+def load_vocabulary(spark: SparkSession, folder: str, report: str | None = None) -> Vocabulary:
+    """The vocabulary configured by the files of a folder; see :data:`BASE_FILES` and the others, and :func:`vocabulary_of`.
+
+    ``report``: a folder for the rules and removed terms in force, as sorted lines.
+    """
     from docloom.functions.textclean import remove_accents
 
     files = read_texts(spark, folder).cache()
@@ -106,15 +127,12 @@ def load_vocabulary(spark: SparkSession, folder: str) -> Vocabulary:
     rules = parse_rules(_few_lines(files, RULE_FILES))
     files.unpersist()
     words = lambda lines: spark.createDataFrame([(line,) for line in lines] or [("",)], "l string").select(F.explode(F.split(remove_accents(F.lower("l")), r"[ \t]+")).alias("term")).where("term <> ''").distinct()
-    gone = words(removed)
-    removed_terms = {r["term"] for r in gone.collect()}
-    if not any(line.strip() for line in base):
-        return Vocabulary(frozenset(), frozenset(removed_terms), tuple(rules))
-    outputs = words([b for _, b in rules])
-    everything = words(base).unionByName(outputs).distinct()
-    terms = {r["term"] for r in final_terms(words(base), outputs, gone).collect()}
-    plurals = {r["term"] for r in everything.collect()} - terms - removed_terms
-    return Vocabulary(frozenset(terms), frozenset(removed_terms | plurals), tuple(rules))
+    found = vocabulary_of(words(base), words(removed), rules)
+    if report:
+        lines = {"vocab_tradutor_termos": [f"{a} => {b}" for a, b in rules], "vocab_removido": sorted(found.removed)}
+        for name, own in lines.items():
+            spark.createDataFrame([(line,) for line in own], "value string").coalesce(1).write.mode("overwrite").text(f"{report}/{name}")
+    return found
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -133,10 +151,19 @@ def token_cache(tokens: DataFrame, path: str, config: str) -> DataFrame:
 
 
 def comparison_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``linha`` of a comparison list: lines with ``=`` whole, of others each token."""
+    """:func:`listed_comparisons` of the lines of a text file."""
+    return listed_comparisons(spark.read.text(path))
+
+
+def listed_comparisons(lines: DataFrame) -> DataFrame:
+    """``linha, ordem`` of a comparison list from lines ``value``: lines with ``=`` whole and first, of others each token.
+
+    Blank lines don't count. ``ordem`` is 0 for pairs and 1 for terms; rows come sorted by it, then by line.
+    """
     from docloom.functions.textclean import quick_tokens
 
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    pairs = lines.where(F.contains("value", F.lit("="))).select(F.trim("value").alias("linha"))
-    words = lines.where(~F.contains("value", F.lit("="))).select(F.explode(quick_tokens(F.col("value"))).alias("linha"))
-    return pairs.unionByName(words)
+    said = lines.where(F.trim("value") != "")
+    pair = F.contains("value", F.lit("="))
+    pairs = said.where(pair).select(F.trim("value").alias("linha"), F.lit(0).alias("ordem"))
+    words = said.where(~pair).select(F.explode(quick_tokens(F.col("value"))).alias("linha"), F.lit(1).alias("ordem"))
+    return pairs.unionByName(words).orderBy("ordem", "linha")

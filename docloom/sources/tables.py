@@ -58,10 +58,16 @@ def log_rows(spark: SparkSession, session: str, lines: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "sessao string, ordem int, txt_log string").select("sessao", "ordem", F.current_timestamp().alias("dthr"), "txt_log")
 
 
-def clustering_log(spark: SparkSession, session: str, documents: int, without_vector: int, links: int, groups: int) -> DataFrame:
-    """Progress of a clustering as log rows."""
+def clustering_log(groups: DataFrame, session: str) -> DataFrame:
+    """Log of a finished clustering ``seq_documento, grupo, centroide``: its documents, those without a vector, groups and orphans."""
+    n = groups.agg(F.count(F.lit(1)).alias("todos"), F.count_if(F.col("grupo") == -2).alias("sem"), F.count_if(F.col("centroide") & (F.col("grupo") > 0)).alias("grupos"), F.count_if(F.col("grupo") == -1).alias("orfaos")).first()
     return log_rows(
-        spark,
+        groups.sparkSession,
         session,
-        [f"Início do agrupamento da sessão {session}", f"{without_vector} documentos sem vetor", f"{documents - without_vector} documentos com vetor", f"Matriz de similaridade com {links} ligações", f"{groups} grupos formados", "Agrupamento concluído"],
+        [f"Início do agrupamento da sessão {session}", f"{n['sem']} documentos sem vetor", f"{n['todos'] - n['sem']} documentos com vetor", f"{n['grupos']} grupos formados", f"{n['orfaos']} documentos sem grupo", "Agrupamento concluído"],
     )
+
+
+def kept_matrix(matrix: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of a similarity matrix whose session still has groups."""
+    return matrix.join(groups.select("sessao").distinct(), "sessao", "left_semi")

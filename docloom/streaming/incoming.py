@@ -13,6 +13,9 @@ from docloom.functions.textclean import quick_tokens
 from docloom.operators import vectors as V
 from docloom.operators.clusters import ORPHAN
 
+#: Most centroids that are sent to all tasks of a stream.
+MAX_CENTROIDS = 50_000
+
 
 def read_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """Parquet files of a folder as they appear."""
@@ -28,8 +31,11 @@ def stream_groups(vectors: DataFrame, centroids: DataFrame, threshold: float = 9
     """``id, grupo, similaridade`` of a stream (or table) of vectors ``id, v`` against static centroids ``grupo, v``.
 
     The centroids are gathered into one row, so each incoming vector is scored within its row and no state is kept; ties
-    go to the smaller group. Meant for centroid sets that fit a broadcast.
+    go to the smaller group. More than :data:`MAX_CENTROIDS` centroids are an error: :func:`docloom.operators.clusters.best_group`
+    has no such bound and can be run on each micro-batch.
     """
+    if centroids.count() > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
     limit = V.percent(threshold)
     held = centroids.select("grupo", V.normalize(F.col("v")).alias("c")).where("c IS NOT NULL").agg(F.sort_array(F.collect_list(F.struct("grupo", "c"))).alias("todos"))
     unit = vectors.select("id", V.normalize(F.col("v")).alias("v")).crossJoin(F.broadcast(held))

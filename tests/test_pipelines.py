@@ -65,3 +65,26 @@ def test_tokens_of_a_folder(spark, folders):
     texts, _, _ = folders
     tokens = pipelines.folder_tokens(spark, texts, Vocabulary())
     assert tokens.count() == 13
+
+
+def test_jobs_from_the_command_line(spark, folders):
+    from docloom.__main__ import main
+
+    texts, vocab, out = folders
+    main(["split", texts, str(out / "trechos"), "--tokens", "3"], spark)
+    assert spark.read.parquet(str(out / "trechos")).count() == 2
+    (out / "frases").mkdir()
+    (out / "frases/ngramas_remover.txt").write_text("# fora\ndano moral\n", encoding="utf-8")
+    main(["phrases", texts, str(out / "frases"), "--min-count", "3", "--threshold", "0.1"], spark)
+    rules = {r["value"] for r in spark.read.text(str(out / "frases/sugeridos")).collect()}
+    assert rules and "dano moral => dano_moral" not in rules
+    assert spark.read.text(str(out / "frases/ngramas_incluir.txt")).count() == 1
+
+
+def test_reports_are_kept(spark, folders):
+    _, vocab, out = folders
+    corpus.load_vocabulary(spark, vocab, str(out / "log"))
+    assert [r["value"] for r in spark.read.text(str(out / "log/vocab_tradutor_termos")).collect()] == ["dano moral => dano_moral"]
+    report = spark.createDataFrame([("fora", "b", 1), ("fora", "a", 2), ("termo", "c", 1)], "tipo string, token string, qtd bigint")
+    pipelines.resolution_files(report, str(out / "oov"))
+    assert pipelines.seed_lines(spark, str(out / "oov/fora")) == ["a", "b"]

@@ -82,7 +82,7 @@ def test_tables_and_sessions(spark, tmp_path):
     held = spark.createDataFrame([(1, at), (2, at - datetime.timedelta(hours=13)), (3, None)], "id int, dthr timestamp")
     groups, logs = tables.retained(held, held, "2024-01-02 00:00:00")
     assert [r["id"] for r in groups.collect()] == [1] and sorted(r["id"] for r in logs.collect()) == [1, 2]
-    log = tables.clustering_log(spark, "s", 10, 2, 5, 1)
+    log = tables.clustering_log(spark.createDataFrame([(1, 1, True), (2, 1, False), (3, -1, False), (4, -2, False)], "seq_documento int, grupo int, centroide boolean"), "s")
     assert [r["ordem"] for r in log.orderBy("ordem").collect()] == [1, 2, 3, 4, 5, 6]
     tables.write_lines(log, "txt_log", str(tmp_path / "log"))
     tables.write_sheet(log, str(tmp_path / "planilha"))

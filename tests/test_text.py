@@ -154,3 +154,47 @@ def test_passages(spark):
     assert tuple(segments.deduplication_counts(found).first()) == (len(got), len(got))
     assert segments.first_occurrences(found, found.select("sentenca").limit(1)).count() == len(got) - 1
     assert segments.passages(docs.limit(0)).count() == 0
+
+
+def test_tokens_in_the_row_and_joined_are_the_same(spark):
+    """The route for large vocabularies gives the rows of the usual one; removed terms, fragments and nulls included."""
+    terms = frozenset("processo pens mento casa porta".split())
+    vocab = vocabulary.Vocabulary(terms, frozenset(["verde"]), (("porta azul", "porta_azul"),))
+    rows = [(1, "Os processos e a casa verde: pensamento"), (2, "porta azul porta"), (3, ""), (4, None), (5, "casa " * 500), (1, "Xyz"), (None, "casas")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    key = lambda r: (r["doc_id"] or 0, r["tokens"])
+    both = [sorted(map(key, vocabulary.tokenize(df, vocab, broadcast_tokens=n).collect())) for n in (1000, 0)]
+    assert both[0] == both[1] and len(both[0]) == 6 and (0, ["casa"]) in both[0] and (3, ["."]) in both[0]
+
+
+def test_many_rules_are_applied_like_few(spark):
+    """Above the bound of nested rules an index of words finds them; the order and what rules make of others count alike."""
+    import random
+
+    from docloom.functions import translate
+
+    rng = random.Random(3)
+    words = ["a", "b", "c", "d", "e"]
+    rules = list({" ".join(rng.choices(words, k=rng.randint(1, 3))): "_".join(rng.choices(words, k=rng.randint(1, 2))) for _ in range(90)}.items())
+    assert len(rules) > translate.NESTED_RULES
+    texts = [" ".join(rng.choices([*words, ""], k=rng.randint(0, 12))) for _ in range(60)] + [None]
+
+    def one(text):
+        text = f" {text} "
+        for a, b in sorted(rules, key=lambda r: len(r[0]), reverse=True):
+            text = text.replace(f" {a} ", f" {b} ")
+        return text.strip(" ")
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["x"] for r in df.select(translate.translate_terms(F.col("t"), rules).alias("x")).collect()]
+    assert got == [None if t is None else one(t) for t in texts]
+
+
+def test_all_of_unicode_folds(spark):
+    import unicodedata
+
+    text = "".join(c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x30000))) if unicodedata.decomposition(c))
+    df = spark.createDataFrame([(text,), ("ﬁm № 5 ½ Ⓐ 𝐀ção",), ("plain",), (None,)], "t string")
+    got = [r["x"] for r in df.select(textclean.remove_accents(F.col("t")).alias("x")).collect()]
+    fold = lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
+    assert got == [fold(text), fold("ﬁm № 5 ½ Ⓐ 𝐀ção"), "plain", None]
