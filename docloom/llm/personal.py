@@ -2,27 +2,28 @@
 
 One pass of a multi-pattern automaton finds the anchors of a text (given names, titles, document
 words, street words, at signs); patterns tried at the anchors alone delimit the mentions. Telephone
-numbers and initials, which have no word to hold on to, are found by their shape.
+numbers and initials, which have no word to hold on to, are found by their shape. Names that are in no list are runs of
+capitalised words that a model fitted on the collection itself takes for names (:mod:`docloom.llm.names`).
 
-Mentions are replaced by a placeholder of their type, or by surrogates: keyed replacements of the same
-type, gender, script and format. Numbers are replaced by a keyed permutation of the numbers of their length, so
-different ones stay different; names are drawn by a keyed hash and checked for collisions within the
-text, so that one person keeps one surrogate and two never share one.
+Mentions are replaced by surrogates (:mod:`docloom.llm.surrogates`): keyed replacements of the same type, gender, script
+and format, the same for the same person in all texts; or by a placeholder of their type.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
-import hmac
 import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import names as learnt
+from docloom.llm.surrogates import Surrogates
+
 EMAIL, PHONE, IDENTITY, ADDRESS, NAME = "EMAIL", "TELEFONE", "IDENTIDADE", "ENDERECO", "NOME"
 
 # Common given names of Portuguese, Spanish and English, by gender.
@@ -47,9 +48,6 @@ senhor senhora señor señora don doña doutor doutora desembargador desembargad
 # Words by which a personal document is named.
 DOCUMENTS = """cpf c.p.f. rg r.g. cnh dni nie nif ssn ctps passaporte pasaporte passport identidade identidad cédula
 social·security·number identity·card id·card driver·license driver's·licence""".replace("·", "\x00").split()
-# Words that a person's full name follows.
-ROLES = """testigo testemunha witness letrada letrado inventariante autor autora demandante claimant, patrono patrona nome: name: recado·para nome·de cuidados·de outorgada·por
-carimbo·de habilitada·para statement·of assinado·digitalmente·por signed·by perguntado·sobre compareceu comparece segundo eng. advogado advogada counsel qualificação:""".replace("·", "\x00").split()
 # Given names that are also common words, and words that open a sentence before a name.
 COMMON_NAMES = set("rosa clara pilar vera vitoria victoria marina iris grace carmen mercedes gloria mary ruth hazel ivy violet frank jane irene sara rocio salvador clive".split())
 STARTERS = set("comparece compareceu comparecem segundo conforme perante para por com nome name witness counsel ouvido ouvida testemunha testigo qualificação recado eng el la the".split())
@@ -74,13 +72,18 @@ _SHOUT = rf"[{_UP}][{_UP}'’-]+(?![{_UP}{_LOW}])"
 _SOFT = rf"[{_LOW}][{_LOW}'’-]+"
 _LINK = r"(?:d[aeo]s?|del|de la|e la|van|von)"
 _MORE = re.compile(rf"(?:{_GAP}(?:{_LINK}{_GAP})?(?:{_CAPITAL}|[{_UP}]\.(?={_GAP}[{_UP}])))+")
-_MORE_SHOUTED = re.compile(rf"(?:{_GAP}(?:(?:D[AEO]S?|DEL){_GAP})?{_SHOUT})+")
-_MORE_SOFT = re.compile(rf"(?:{_GAP}(?:{_LINK}{_GAP})?{_SOFT})+")
+_ONE_SHOUTED = re.compile(rf"{_GAP}(?:(?:D[AEO]S?|DEL){_GAP})?({_SHOUT})")
+_ONE_SOFT = re.compile(rf"{_GAP}(?:{_LINK}{_GAP})?({_SOFT})")
+_RUN = re.compile(
+    rf"(?<![\w@.-])(?:(?:{_CAPITAL}|(?:[{_UP}]\.[ \xa0]?)+(?={_CAPITAL}){_CAPITAL})(?:{_GAP}(?:{_LINK}{_GAP})?(?:{_CAPITAL}|[{_UP}]\.(?={_GAP}[{_UP}])))*"
+    rf"|{_SHOUT}(?:{_GAP}(?:(?:D[AEO]S?|DEL){_GAP})?{_SHOUT})+)"
+)
 _AFTER_TITLE = re.compile(rf"{_GAP}((?:(?:{_CAPITAL}|[{_UP}]\.){_GAP}(?:{_LINK}{_GAP})?)*{_CAPITAL}|(?:{_SHOUT}{_GAP}(?:(?:D[AEO]S?){_GAP})?)*{_SHOUT})")
 _INITIALS = re.compile(rf"(?<![\w.@-])(?:[{_UP}]\.[ \xa0]?){{1,3}}(?:{_LINK}{_GAP})?(?:{_CAPITAL}|{_SHOUT})(?:{_GAP}(?:{_LINK}{_GAP})?{_CAPITAL})*")
-_INITIALS_BEFORE = re.compile(rf"(?<![\w.])(?:[{_UP}]\.[ \xa0]?)+$")
+_INITIAL = re.compile(rf"[{_UP}]\.[ \xa0]?$")
 _SURNAME_BEFORE = re.compile(rf"(?:(?:{_CAPITAL}{_GAP}(?:{_LINK}{_GAP})?)?{_CAPITAL}|(?:{_SHOUT}{_GAP})?{_SHOUT}),{_GAP}$")
-_CUE_BEFORE = re.compile(r"(?:^|[.!?\n]|cuidados de|nome de|qualificação:|carimbo de|outorgada por|habilitada para|recado para|patron[oa]|advogad[oa]s?:?|letrad[oa]|doña|don|testigo|testemunhas?:?|segundo|porque|autor[a]?|inventariante|sobre|partes:|por|audiência,|eng\.|desembargadora?|x|e|name:|nome:|sr\.|sra\.|dr\.|dra\.)\s*$", re.I)
+# Words after which a common word may be meant as a given name.
+_CUE_BEFORE = re.compile(r"(?:^|[.!?:\n]|patron[oa]|advogad[oa]s?|letrad[oa]|doña|don|testigo|testemunhas?|autora?|réu|ré|desembargadora?|name|nome|sr\.|sra\.|dr\.|dra\.)\s*$", re.I)
 # Words that end a name written without capitals, or in capitals amid capitals.
 _STOP = set(
     """a o as os e é em no na nos nas de que não foi ser era com por para ao aos à às sob se um uma x y n cpf rg cnh tel ou já mas the of and was gave holds in at to el la los las con en
@@ -90,7 +93,7 @@ foram são tem havia pelo pela entre quando onde cujo cuja""".split()
 )
 
 _MAIL = re.compile(r"[\w.+%'-]+(?: @ |@)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w])")
-_MAIL_LOCAL = re.compile(r"[\w.+%-]+ ?$")
+_LOCAL = re.compile(r"[\w.+%-]")
 _MAIL_SPELT = re.compile(r"[\w.+%-]+\s?[(\[]\s?(?:arroba|at)\s?[)\]]\s?[A-Za-z0-9-]+(?:(?:\.|\s?[(\[](?:ponto|punto|dot)[)\]]\s?)[A-Za-z0-9-]+)+", re.I)
 _NUMBERING = r"(?:(?:sob|under|com|con|de|do|da|o|a|os|número|numero|number|núm\.?|num\.?|no\.?|nº|n°|n\.º|n\.|n|is|es|é|:|,|\()\s*)*"
 _DOCUMENT = re.compile(rf"(?:/MF|/SSP)?\s*{_NUMBERING}((?:[A-Z]{{1,3}}[ -]?)?\d(?:[ .\-/]?\d){{4,13}}(?:-[A-Za-z0-9](?!\w))?(?:[A-Z](?!\w))?)(?!\w)", re.I)
@@ -141,7 +144,7 @@ def _accented(name: str) -> Iterator[str]:
 def anchors() -> ahocorasick.Automaton:
     """All anchors in lower case with kinds and length; names also without accents and with an accent on any one vowel."""
     automaton = ahocorasick.Automaton()
-    for kind, words in (("road", ROADS), ("street", STREETS), ("document", [d.replace("\x00", " ") for d in DOCUMENTS]), ("title", TITLES), ("role", [r.replace("\x00", " ") for r in ROLES]), ("name", [*MEN, *WOMEN]), ("mail", "@"), ("spelt", ["arroba)", "arroba]", "(at)", "[at]"])):
+    for kind, words in (("road", ROADS), ("street", STREETS), ("document", [d.replace("\x00", " ") for d in DOCUMENTS]), ("title", TITLES), ("name", [*MEN, *WOMEN]), ("mail", "@"), ("spelt", ["arroba)", "arroba]", "(at)", "[at]"])):
         forms = {form for word in words for form in (word, _plain(word), *(_accented(_plain(word)) if kind == "name" else ()))}
         for word in sorted(forms):
             held = automaton.get(word, None)
@@ -155,20 +158,45 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-def _inside(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(x < b and a < y for x, y in spans)
+def _back(text: str, at: int, words: int) -> int:
+    """Begin of the last so many words of a line before a place."""
+    while words and at > 0:
+        while at > 0 and text[at - 1] in " \t\xa0":
+            at -= 1
+        if at > 0 and text[at - 1] == "\n":
+            return at - 1
+        while at > 0 and not text[at - 1].isspace():
+            at -= 1
+        words -= 1
+    return at
+
+
+def _local_start(text: str, at: int) -> int:
+    """Begin of the local part of an address that ends at a place, a blank before it allowed."""
+    begin = at - (at > 0 and text[at - 1].isspace())
+    while begin > 0 and _LOCAL.match(text, begin - 1):
+        begin -= 1
+    return begin
+
 
+class Taken:
+    """Places of a text that belong to a mention."""
 
-def _stopped(text: str, start: int, end: int) -> int:
-    """End of a run of words, before the first that ends a name."""
-    last = start
-    for m in re.finditer(r"\S+", text[start:end]):
-        word = m.group().lower().strip(".,;:").split("-")[0]
-        if word in _STOP and not re.fullmatch(r"d[aeo]s?|del", word):
-            break
-        if not re.fullmatch(r"d[aeo]s?|del", word):
-            last = start + m.end()
-    return last
+    def __init__(self, size: int):
+        self.held = bytearray(size)
+
+    def add(self, a: int, b: int) -> None:
+        self.held[a:b] = b"\1" * (b - a)
+
+    def hits(self, a: int, b: int) -> bool:
+        return self.held.find(1, a, b) >= 0
+
+
+def _stepped(text: str, end: int, one: re.Pattern) -> int:
+    """End of a name that goes on word by word until one that ends it."""
+    while (m := one.match(text, end)) and m.group(1).lower().strip(".,;:").split("-")[0] not in _STOP:
+        end = m.end()
+    return end
 
 
 def _name_at(text: str, a: int, b: int, low: str) -> tuple[int, int] | None:
@@ -183,24 +211,25 @@ def _name_at(text: str, a: int, b: int, low: str) -> tuple[int, int] | None:
                 end = b + tail.start()
                 end = len(text[:end].rstrip()) if end > b else b
     elif word.isupper():
-        more = _MORE_SHOUTED.match(text, b)
-        end = _stopped(text, b, more.end()) if more else b
+        end = _stepped(text, b, _ONE_SHOUTED)
     elif word.islower():
-        more = _MORE_SOFT.match(text, b)
-        end = _stopped(text, b, more.end()) if more else b
+        end = _stepped(text, b, _ONE_SOFT)
         if end == b:
             return None
-        if _plain(low[a:b]) in COMMON_NAMES and _plain(low[b:end]).split()[0] not in names and not _CUE_BEFORE.search(text, max(0, a - 24), a):
+        if _plain(low[a:b]) in COMMON_NAMES and _plain(low[b:end]).split()[0] not in names and not _CUE_BEFORE.search(text, _back(text, a, 2), a):
             return None
     else:
         return None
-    if _COMPANY_AFTER.match(text, end) or _NOT_OF_A_PERSON.search(text, max(0, a - 60), a):
+    if _COMPANY_AFTER.match(text, end) or _NOT_OF_A_PERSON.search(text, _back(text, a, 5), a):
         return None
-    if m := _INITIALS_BEFORE.search(text, max(0, a - 12), a):
-        a = m.start()
+    first = a
+    while m := _INITIAL.search(text, max(0, first - 3), first):
+        first = m.start()
+    if first < a and not (first and (text[first - 1].isalnum() or text[first - 1] in "_.")):
+        a = first
     own = _plain(low[a:end]).split()
     if all(w.strip(".") in names or len(w.strip(".")) == 1 for w in own):
-        m = _SURNAME_BEFORE.search(text, max(0, a - 60), a)
+        m = _SURNAME_BEFORE.search(text, _back(text, a, 4), a)
         if m:
             begin = m.start()
             parts = re.findall(r"[^\W\d_]+", m.group().lower())
@@ -214,29 +243,32 @@ def _name_at(text: str, a: int, b: int, low: str) -> tuple[int, int] | None:
     return a, end
 
 
-def mentions(text: str) -> list[tuple[str, int, int]]:
-    """``type, start, end`` of every mention, in order and without overlaps."""
+def _anchored(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]], Taken]:
+    """Mentions other than names, names that a list, a title or initials give away, and the places of the former."""
     low = _lower(text)
     names: list[tuple[int, int]] = []
     titles: list[int] = []
-    roles: list[int] = []
-    taken: list[tuple[int, int]] = []
+    taken = Taken(len(text))
     found: list[tuple[str, int, int]] = []
     streets: list[tuple[int, int]] = []
     n = len(text)
+
+    def keep(kind: str, a: int, b: int) -> None:
+        found.append((kind, a, b))
+        taken.add(a, b)
+
     for last, (size, kinds) in anchors().iter(low):
         a, b = last - size + 1, last + 1
         if kinds == ("mail",):
-            local = _MAIL_LOCAL.search(text, max(0, a - 80), a)
-            if local and (m := _MAIL.match(text, local.start())) and m.end() > b:
-                found.append((EMAIL, m.start() + (text[m.start()] in ".'-"), m.end()))
-                taken.append((m.start(), m.end()))
+            begin = _local_start(text, a)
+            if begin < a and (m := _MAIL.match(text, begin)) and m.end() > b:
+                keep(EMAIL, m.start() + (text[m.start()] in ".'-"), m.end())
             continue
         if kinds == ("spelt",):
-            if m := _MAIL_SPELT.search(text, max(0, a - 80), min(n, b + 120)):
-                if m.start() < b and m.end() > a:
-                    found.append((EMAIL, m.start(), m.end()))
-                    taken.append((m.start(), m.end()))
+            begin = max(text.rfind("(", 0, b), text.rfind("[", 0, b))
+            begin = _local_start(text, begin) if 0 <= begin < b else a
+            if (m := _MAIL_SPELT.match(text, begin)) and m.end() > a:
+                keep(EMAIL, m.start(), m.end())
             continue
         if a and (low[a - 1].isalnum() or low[a - 1] in "_@"):
             continue
@@ -247,67 +279,88 @@ def mentions(text: str) -> list[tuple[str, int, int]]:
                 names.append((a, b))
             elif kind == "title":
                 titles.append(b)
-            elif kind == "role":
-                roles.append(b)
             elif kind == "document":
-                m = _DOCUMENT.match(text, b)
-                if m:
-                    found.append((IDENTITY, m.start(1), m.end(1)))
-                    taken.append((m.start(1), m.end(1)))
+                if m := _DOCUMENT.match(text, b):
+                    keep(IDENTITY, m.start(1), m.end(1))
             elif kind == "street":
                 if _FIRST_WORD.match(text, b):
                     streets.append((a, b))
             elif text[a].isupper():
-                m = _NUMBER_BEFORE.search(text, max(0, a - 60), a)
-                if m:
-                    found.append((ADDRESS, m.start(), b))
-                    taken.append((m.start(), b))
+                if m := _NUMBER_BEFORE.search(text, _back(text, a, 5), a):
+                    keep(ADDRESS, m.start(), b)
     until = 0
     for a, b in streets:
         if a < until:
             continue
         m = _HOUSE.match(text, b)
         if m and "\n\n" not in m.group():
-            found.append((ADDRESS, a, m.end()))
-            taken.append((a, m.end()))
+            keep(ADDRESS, a, m.end())
             until = m.end()
     for run in _NUMBERS.finditer(text):
         for m in _PHONE.finditer(text, run.start(), run.end() + 4):
-            if not _inside(taken, *m.span()):
-                found.append((PHONE, *m.span()))
-                taken.append(m.span())
-        if not _inside(taken, *run.span()) and _PHONE_CUE.search(text, max(0, run.start() - 40), run.start()):
+            if not taken.hits(*m.span()):
+                keep(PHONE, *m.span())
+        # The word for a telephone is at most 25 characters before its number.
+        if not taken.hits(*run.span()) and _PHONE_CUE.search(text, max(0, run.start() - 40), run.start()):
             for m in _LOCAL_PHONE.finditer(text, run.start(), run.end() + 4):
-                found.append((PHONE, *m.span()))
-                taken.append(m.span())
+                keep(PHONE, *m.span())
     persons: list[tuple[int, int]] = []
+    known = Taken(n)
+
+    def person(a: int, b: int) -> None:
+        persons.append((a, b))
+        known.add(a, b)
+
     until = 0
     for a, b in names:
-        if a < until or _inside(taken, a, b) or _STREET_BEFORE.search(text, max(0, a - 60), a):
+        if a < until or taken.hits(a, b) or _STREET_BEFORE.search(text, _back(text, a, 6), a):
             continue
         span = _name_at(text, a, b, low)
-        if span and not _inside(taken, *span):
-            persons.append(span)
+        if span and not taken.hits(*span):
+            person(*span)
             until = span[1]
-    for b, role in [*((b, False) for b in titles), *((b, True) for b in roles)]:
-        m = _AFTER_TITLE.match(text, b)
-        if m and not (role and len(m.group(1).split()) < 2):
+    for b in titles:
+        if m := _AFTER_TITLE.match(text, b):
             a, end = m.span(1)
             first = text[a:end].lower().split()[0].strip(".")
-            if first + "." in TITLES or role and {w.strip(".").lower() for w in m.group(1).split()} & INSTITUTIONS:
-                continue
-            if first in INSTITUTIONS or m.group(1).isupper() and len(m.group(1)) < 4:
-                continue
-            if _STREET_BEFORE.search(text, max(0, b - 60), a) or _COMPANY_AFTER.match(text, end):
+            if first + "." in TITLES or first in INSTITUTIONS or m.group(1).isupper() and len(m.group(1)) < 4:
                 continue
-            if not _inside(persons, a, end) and not _inside(taken, a, end):
-                persons.append((a, end))
+            if not _STREET_BEFORE.search(text, _back(text, b, 6), a) and not _COMPANY_AFTER.match(text, end) and not known.hits(a, end) and not taken.hits(a, end):
+                person(a, end)
     for m in _INITIALS.finditer(text):
         a, end = m.span()
         parts = [w.strip(".").lower() for w in m.group().split()]
-        if not _inside(persons, a, end) and not _inside(taken, a, end) and not set(w for w in parts if len(w) > 1) & INSTITUTIONS and not _COMPANY_AFTER.match(text, end) and not _STREET_BEFORE.search(text, max(0, a - 60), a):
-            persons.append((a, end))
+        if not known.hits(a, end) and not taken.hits(a, end) and not set(w for w in parts if len(w) > 1) & INSTITUTIONS and not _COMPANY_AFTER.match(text, end) and not _STREET_BEFORE.search(text, _back(text, a, 6), a):
+            person(a, end)
+    for a, b in persons:
+        taken.add(a, b)
+    return found, persons, taken
+
+
+def _runs(text: str, taken: Taken) -> Iterator[tuple[int, int]]:
+    """Runs of two capitalised words or more that may be a person's name: not of an address, a company or an office."""
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        words = text[a:b].split()
+        while words and (words[0].lower() in STARTERS or words[0].lower().strip(".") + "." in TITLES or words[0].lower() in INSTITUTIONS):
+            a += len(words[0])
+            a += len(text[a:b]) - len(text[a:b].lstrip())
+            words = words[1:]
+        if len(words) < 2 or taken.hits(a, b) or _COMPANY_AFTER.match(text, b) or {w.lower().strip(".") for w in words} & INSTITUTIONS - {"de", "da", "do", "e"}:
+            continue
+        if not _STREET_BEFORE.search(text, _back(text, a, 6), a) and not _NOT_OF_A_PERSON.search(text, _back(text, a, 5), a):
+            yield a, b
+
+
+def mentions(text: str, weights: np.ndarray | None = None) -> list[tuple[str, int, int]]:
+    """``type, start, end`` of every mention, in order and without overlaps.
+
+    ``weights``: a model of :func:`fitted`; without one only names that a list, a title or initials give away are found.
+    """
+    found, persons, taken = _anchored(text)
     found += [(NAME, a, b) for a, b in persons]
+    if weights is not None:
+        found += [(NAME, a, b) for a, b in _runs(text, taken) if learnt.probability(weights, text, a, b) >= learnt.LEAST]
     found.sort(key=lambda x: (x[1], -x[2]))
     out: list[tuple[str, int, int]] = []
     for kind, a, b in found:
@@ -316,6 +369,35 @@ def mentions(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def examples(text: str) -> Iterator[tuple[bool, list[int], list[int]]]:
+    """What a text teaches: the names found in it by list, title or initials, and its other runs of capitalised words."""
+    _, persons, taken = _anchored(text)
+    for a, b in persons:
+        if len(text[a:b].split()) > 1 and not text[a:b].islower():
+            yield True, *learnt.features(text, a, b)
+    for a, b in _runs(text, taken):
+        yield False, *learnt.features(text, a, b)
+
+
+def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = learnt.SAMPLE_DOCUMENTS, most: int = learnt.EXAMPLES) -> np.ndarray:
+    """A model of names, fitted on the examples of about ``documents`` documents drawn by hash of their id, at most ``most`` of them.
+
+    Both bounds are what the driver may hold, whatever the collection; the model is then applied to every text.
+    """
+    rows = docs.select(F.xxhash64(id_col, F.lit(11)).alias("h"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+    every = max(1, rows.count() // max(1, documents))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(h, *e) for h, text in zip(batch.column("h").to_pylist(), batch.column("t").to_pylist()) for e in examples(text)]
+            h, name, outer, inner = zip(*found) if found else ((), (), (), ())
+            yield pa.record_batch([pa.array(h, pa.int64()), pa.array(name, pa.bool_()), pa.array(outer, pa.list_(pa.int32())), pa.array(inner, pa.list_(pa.int32()))], names=["h", "nome", "fora", "dentro"])
+
+    drawn = rows.where(F.pmod("h", F.lit(every)) == 0).mapInArrow(run, "h bigint, nome boolean, fora array<int>, dentro array<int>")
+    held = drawn.orderBy(F.xxhash64("h", "fora"), "h", "fora", "dentro", "nome").limit(most).toArrow()
+    return learnt.fit(list(zip(held.column("nome").to_pylist(), held.column("fora").to_pylist(), held.column("dentro").to_pylist())))
+
+
 def placeholder(kind: str) -> str:
     """The placeholder of a type."""
     return f"[{kind}]"
@@ -330,106 +412,18 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[last:]
 
 
-class Surrogates:
-    """Keyed replacements; one instance per text keeps its persons apart and together."""
-
-    # Syllables surnames are made of; the made-up names mean no one.
-    HEADS = "Bar Cal Dor Fal Gal Lor Mar Nor Par Ral Sal Tor Val Ver Zan Bel".split()
-    MIDDLES = "ga da le ti mo ra ni va so be lu re".split()
-    TAILS = "nes ques to ral mes dor lho ves rim zzo".split()
-
-    def __init__(self, key: bytes):
-        self.key = key
-        self.given: dict[tuple[str, str], str] = {}
-        self.family: dict[str, str] = {}
-
-    def _number(self, what: str) -> int:
-        return int.from_bytes(hmac.new(self.key, what.encode(), hashlib.sha256).digest()[:8], "big")
-
-    def _digits(self, digits: str) -> str:
-        """A keyed permutation of the digit strings of one length (alternating halves, as in a Feistel network)."""
-        if len(digits) < 2:
-            return digits
-        half = len(digits) // 2
-        left, right = digits[:half], digits[half:]
-        for turn in range(4):
-            if turn % 2 == 0:
-                size = len(left)
-                left = str((int(left) + self._number(f"{turn}|{len(digits)}|{right}")) % 10**size).zfill(size)
-            else:
-                size = len(right)
-                right = str((int(right) + self._number(f"{turn}|{len(digits)}|{left}")) % 10**size).zfill(size)
-        return left + right
-
-    def number(self, text: str, keep: int = 0) -> str:
-        """Digits replaced from the ``keep``-th on, all other characters kept."""
-        digits = re.sub(r"\D", "", text)
-        fresh = iter(digits[:keep] + self._digits(digits[keep:]))
-        return re.sub(r"\d", lambda _: next(fresh), text)
-
-    def word(self, text: str) -> str:
-        """One word of a name in the case of the original."""
-        low = _plain(text.lower())
-        gender = given_names().get(low)
-        if gender:
-            pool, held, slot = (MEN if gender == "m" else WOMEN), self.given, (gender, low)
-        else:
-            pool, held, slot = None, self.family, low
-        if slot not in held:
-            used = set(held.values())
-            for turn in range(1000):
-                k = self._number(f"{turn}|{low}")
-                if pool:
-                    chosen = pool[k % len(pool)]
-                else:
-                    h, m, t = len(self.HEADS), len(self.MIDDLES), len(self.TAILS)
-                    chosen = self.HEADS[k % h] + self.MIDDLES[k // h % m] + (self.MIDDLES[k // h // m % m] if turn > 8 else "") + self.TAILS[k // h // m // m % t]
-                if chosen not in used and chosen.lower() != low:
-                    break
-            held[slot] = chosen
-        chosen = held[slot]
-        return chosen.upper() if text.isupper() and len(text) > 1 else chosen.lower() if text.islower() else chosen.capitalize()
-
-    def name(self, text: str) -> str:
-        """A name word by word; initials get the initial of their letter's surrogate, particles stay."""
-
-        def one(m: re.Match) -> str:
-            w = m.group()
-            if re.fullmatch(r"d[aeo]s?|del|van|von|la|e", w, re.I):
-                return w
-            if len(w) == 1:
-                return chr(ord("A") + self._number(f"i|{w.upper()}") % 26) if w.isupper() else w
-            return self.word(w)
-
-        return re.sub(r"[^\W\d_]+", one, text)
-
-    def replace(self, kind: str, text: str) -> str:
-        """The surrogate of a mention."""
-        if kind == NAME:
-            return self.name(text)
-        if kind == PHONE:
-            country = re.match(r"(?:\+|00)\d{1,2}(?=\D)", text)
-            return self.number(text, len(re.sub(r"\D", "", country.group())) if country else 0)
-        if kind == EMAIL:
-            local, sep, domain = text.partition("@")
-            fresh = hmac.new(self.key, text.lower().encode(), hashlib.sha256).hexdigest()[:10]
-            out = f"p{fresh}{' ' if local.endswith(' ') else ''}{sep}{' ' if domain.startswith(' ') else ''}exemplo.invalid"
-            return out.upper() if text.isupper() else out
-        if kind == ADDRESS:
-            head, *words = re.split(r"(\s+)", text)
-            if head.isdigit():
-                return self.number(head) + "".join(words[:1]) + "".join(w if w.isspace() or i == len(words) - 1 else self.word(w) if w[0].isalpha() else w for i, w in enumerate(words) if i)
-            changed = [w if w.isspace() or re.fullmatch(r"(?:d[aeo]s?|del|la|las|los|n[º°.]*|n\.º|número|s/n[º°]?),?", w, re.I) else self.number(w) if any(c.isdigit() for c in w) else re.sub(r"[^\W\d_]+", lambda m: self.word(m.group()), w) for w in words]
-            return head + "".join(changed)
-        return self.number(text)
+@functools.cache
+def maker(key: bytes) -> Surrogates:
+    """The surrogates under a key."""
+    own = {"m": tuple(dict.fromkeys(map(_plain, MEN))), "f": tuple(dict.fromkeys(map(_plain, WOMEN)))}
+    return Surrogates(key, {"m": tuple(n for n in own["m"] if n not in own["f"]), "f": own["f"]})
 
 
 def with_surrogates(text: str, spans: list[tuple[str, int, int]], key: bytes) -> str:
     """The text with each mention replaced by its surrogate."""
-    maker = Surrogates(key)
     out, last = [], 0
     for kind, a, b in spans:
-        out += [text[last:a], maker.replace(kind, text[a:b])]
+        out += [text[last:a], maker(key).replace(kind, text[a:b])]
         last = b
     return "".join(out) + text[last:]
 
@@ -445,38 +439,48 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, schema: str, make) -> D
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where("t IS NOT NULL").mapInArrow(run, f"doc_id {kind}, {schema}")
 
 
-def found_mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, tipo, inicio, fim``: one row per mention, offsets in code points, end exclusive.
+def replaced(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", model: np.ndarray | None = None) -> DataFrame:
+    """``doc_id, texto, trocas ARRAY<STRUCT<tipo, inicio, fim, substituto>>`` of every text that isn't null.
 
-    Null, empty and blank texts have none; each row is searched whole, repeated rows each for themselves.
-    Extra columns are ignored; an empty table gives no rows.
+    ``texto`` has every mention replaced by its surrogate; ``trocas`` has what was replaced, offsets in code points of the original
+    text, end exclusive. The same key gives the same surrogate of a person or number in all texts, and no other one has it.
+    Empty and blank texts have no mention; each row is searched whole, repeated rows each for themselves. Extra columns are
+    ignored; an empty table gives no rows. ``model``: one of :func:`fitted`, else it is fitted on these texts.
     """
+    weights = docs.sparkSession.sparkContext.broadcast(fitted(docs, id_col, text_col) if model is None else model)
+    swap = pa.struct([("tipo", pa.string()), ("inicio", pa.int32()), ("fim", pa.int32()), ("substituto", pa.string())])
 
     def make(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        rows = [(i, *m) for i, text in enumerate(texts) for m in mentions(text)]
-        which = pa.array([r[0] for r in rows], pa.int32())
-        return pa.record_batch([ids.take(which), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32())], names=["doc_id", "tipo", "inicio", "fim"])
+        fresh, swaps = [], []
+        for text in texts:
+            own = [(k, a, b, maker(key).replace(k, text[a:b])) for k, a, b in mentions(text, weights.value)]
+            swaps.append([{"tipo": k, "inicio": a, "fim": b, "substituto": new} for k, a, b, new in own])
+            last, parts = 0, []
+            for _, a, b, new in own:
+                parts += [text[last:a], new]
+                last = b
+            fresh.append("".join(parts) + text[last:])
+        return pa.record_batch([ids, pa.array(fresh, pa.string()), pa.array(swaps, pa.list_(swap))], names=["doc_id", "texto", "trocas"])
+
+    return _mapped(docs, id_col, text_col, "texto string, trocas array<struct<tipo: string, inicio: int, fim: int, substituto: string>>", make)
+
 
-    return _mapped(docs, id_col, text_col, "tipo string, inicio int, fim int", make)
+def found_mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: np.ndarray | None = None, key: bytes = b"docloom") -> DataFrame:
+    """``doc_id, tipo, inicio, fim``: one row per mention that :func:`replaced` replaces."""
+    swaps = replaced(docs, key, id_col, text_col, model).select("doc_id", F.explode("trocas").alias("x"))
+    return swaps.select("doc_id", "x.tipo", "x.inicio", "x.fim")
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: np.ndarray | None = None) -> DataFrame:
     """``doc_id, texto``: every text that isn't null with typed placeholders in place of its mentions."""
+    weights = docs.sparkSession.sparkContext.broadcast(fitted(docs, id_col, text_col) if model is None else model)
 
     def make(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        return pa.record_batch([ids, pa.array([redact(t, mentions(t)) for t in texts], pa.string())], names=["doc_id", "texto"])
+        return pa.record_batch([ids, pa.array([redact(t, mentions(t, weights.value)) for t in texts], pa.string())], names=["doc_id", "texto"])
 
     return _mapped(docs, id_col, text_col, "texto string", make)
 
 
-def surrogated(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, texto``: every text that isn't null with keyed surrogates in place of its mentions.
-
-    The same key gives the same surrogate of a number everywhere, and of a name in every text in which no
-    other person's surrogate is in its way.
-    """
-
-    def make(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        return pa.record_batch([ids, pa.array([with_surrogates(t, mentions(t), key) for t in texts], pa.string())], names=["doc_id", "texto"])
-
-    return _mapped(docs, id_col, text_col, "texto string", make)
+def surrogated(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", model: np.ndarray | None = None) -> DataFrame:
+    """``doc_id, texto``: every text that isn't null with keyed surrogates in place of its mentions, as :func:`replaced` makes them."""
+    return replaced(docs, key, id_col, text_col, model).select("doc_id", "texto")
