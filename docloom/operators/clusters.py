@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import vectors as V
 from docloom.operators.numbering import numbered_by
-from docloom.session import cut
+from docloom.session import cut, free
 
 #: A document without group, and one without vector.
 ORPHAN, NO_VECTOR = -1, -2
@@ -33,13 +33,12 @@ def _greedy(rows: DataFrame, limit: float) -> DataFrame:
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        lists = table.column("v").combine_chunks()
-        matrix = lists.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-        free, taken = np.ones(table.num_rows, bool), []
+        matrix = V.unit_matrix(table)
+        open_, taken = np.ones(table.num_rows, bool), []
         for i in range(table.num_rows):
-            if free[i]:
+            if open_[i]:
                 taken.append(i)
-                free &= matrix @ matrix[i] < limit - V.SLACK
+                open_ &= matrix @ matrix[i] < limit - V.SLACK
         yield from table.take(pa.array(taken)).to_batches()
 
     return rows.select("id", "r", "v").repartition(1).sortWithinPartitions("r").mapInArrow(run, rows.select("id", "r", "v").schema)
@@ -49,45 +48,53 @@ def _settled(rows: DataFrame, limit: float, head: int, block_rows: int) -> DataF
     """``id, r, v`` of the rows that the greedy choice in order of ``r`` takes among these.
 
     While there are more than ``head``, all rows without a similar one before them are taken at once and their like leave.
-    Only the first similar row of each is kept of a product of blocks, so a dense group costs no more than a loose one.
+    Of a product of blocks only the rows come out that have a similar one before them, so a dense group costs no more than a loose one.
     """
     kind = rows.schema["id"].dataType.simpleString()
 
-    def beaten(lt, a, rt, b):
+    def beaten(lt, a, rt, b, same):
         own, other = lt.column("r").to_numpy(), rt.column("r").to_numpy()
-        for start in range(0, len(a), 512):
-            near = (a[start : start + 512] @ b.T >= limit - V.SLACK) & (other[None, :] < own[start : start + 512, None])
-            hit = np.flatnonzero(near.any(1))
-            yield pa.record_batch([lt.column("id").combine_chunks().take(pa.array(start + hit))], names=["id"])
+        lost = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        for x, y, _ in V.hits(a, b, limit - V.SLACK):
+            lost[0][x[own[x] > other[y]]] = True
+            lost[1][y[other[y] > own[x]]] = True
+        for table, which in zip((lt, rt), lost):
+            yield pa.record_batch([table.column("id").combine_chunks().filter(pa.array(which))], names=["id"])
 
     taken, open_ = [], rows
     while open_.count() > head:
-        lost = V.grid(open_, open_, f"id {kind}", beaten, block_rows).distinct()
+        lost = V.self_grid(open_, f"id {kind}", beaten, block_rows).distinct()
         fresh = cut(open_.join(lost, "id", "left_anti"))
         taken.append(fresh)
-        open_ = cut(open_.join(V.near_any(open_, fresh, limit, block_rows), "id", "left_anti"))
+        behind = cut(open_.join(lost, "id", "left_semi"))
+        open_ = cut(behind.join(V.near_any(behind, fresh, limit, block_rows), "id", "left_anti"))
+        free(behind)
     taken.append(_greedy(open_, limit))
     return cut(functools.reduce(DataFrame.unionByName, (t.select("id", "r", "v") for t in taken)))
 
 
-def centroids_in_order(unit: DataFrame, limit: float, head: int = HEAD, block_rows: int = V.BLOCK_ROWS) -> DataFrame:
+def centroids_in_order(rows: DataFrame, limit: float, head: int = HEAD, block_rows: int = V.BLOCK_ROWS) -> DataFrame:
     """``id, r, v`` of the rows that become centroids: taken in order of ``r`` if no centroid before is similar enough.
 
-    ``unit`` has ``id``, distinct whole numbers ``r`` and unit vectors ``v``. The first ``head`` rows are settled, what is
-    similar to their centroids leaves, then as many more as before, and so on: rows are compared with centroids, not with each
-    other, and no link is ever written.
+    ``rows`` has ``id``, distinct whole numbers ``r`` and vectors ``v``, and is cheap to read. The first ``head`` rows are settled,
+    what is similar to their centroids leaves, then three times as many as before, and so on: rows are compared with
+    centroids, not with each other, and no link is ever written.
     """
-    left, upto, taken = cut(unit.select("id", "r", "v")), head, []
+    left, upto, taken = rows.select("id", "r", "v"), head, []
     while True:
         first = left.agg(F.min("r").alias("r")).first()["r"]
         if first is None:
             break
         upto = max(upto, first + head - 1)
-        fresh = _settled(cut(left.where(F.col("r") <= upto)), limit, head, block_rows)
+        now = cut(left.where(F.col("r") <= upto))
+        fresh = _settled(now, limit, head, block_rows)
+        free(now)
         taken.append(fresh)
         rest = left.where(F.col("r") > upto)
-        left = cut(rest.join(V.near_any(rest, fresh, limit, block_rows), "id", "left_anti"))
-        upto *= 2
+        before, left = left, cut(rest.join(V.near_any(rest, fresh, limit, block_rows), "id", "left_anti"))
+        if len(taken) > 1:
+            free(before)
+        upto *= 4
     return cut(functools.reduce(DataFrame.unionByName, taken)) if taken else left
 
 
@@ -99,6 +106,7 @@ def _placed(unit: DataFrame, ranked: DataFrame, limit: float, last: bool, head:
     rows = cut(unit.join(ranked, "id").select("id", "r", "v"))
     heads = centroids_in_order(rows, limit, head, block_rows)
     others = cut(rows.join(heads.select("id"), "id", "left_anti"))
+    free(rows)
     sign = -1 if last else 1
     best = V.nearest(others, heads.select("id", (sign * F.col("r")).alias("r"), "v"), limit, block_rows)
     members = best.withColumn("r", sign * F.col("r")).join(heads.select("r", F.col("id").alias("centro")), "r").select("id", "centro", "sim")
@@ -122,7 +130,7 @@ def leader(vectors: DataFrame, threshold: float = 90, id_col: str = "id", vec_co
     """
     limit = V.percent(threshold)
     keyed = vectors.select(F.col(id_col).alias("id"), F.col(order_col or id_col).alias("o")).where("id IS NOT NULL").groupBy("id").agg(F.min("o").alias("o"))
-    unit = cut(V.sound(vectors, id_col, vec_col))
+    unit = cut(V.usable(vectors, id_col, vec_col))
     order = numbered_by(keyed.join(unit.select("id"), "id", "left_semi"), ["o", "id"], "r").select("id", "r")
     order = cut(order)
     same = cut(V.classes(unit).join(order, "id"))
@@ -152,7 +160,7 @@ def density(documents: DataFrame, vectors: DataFrame, percent: float = 90, floor
     """
     limit = max(floor, percent) / 100
     ids = documents.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
-    own = cut(V.sound(vectors.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, vec_col))
+    own = cut(V.usable(vectors.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, vec_col))
     nodes, same = _folded(own)
     linked = V.weighted_degrees(nodes, limit, block_rows).where("ligacoes > 0").withColumn("soma", F.round("soma", 9))
     ranked = numbered_by(linked, [F.desc("ligacoes"), F.desc("soma"), F.col("id")], "r").select("id", "r")
@@ -192,7 +200,7 @@ def best_group(queries: DataFrame, centroids: DataFrame, threshold: float = 90,
             ok = np.flatnonzero(value >= limit)
             yield pa.record_batch([lt.column("id").combine_chunks().take(pa.array(ok)), pa.array(numbers[best[ok]]), pa.array(value[ok])], names=["id", "r", "sim"])
 
-        found = V.grid(cut(finite(asked)), cut(finite(heads)), f"id {kind}, r bigint, sim double", work)
+        found = V.grid(cut(finite(asked)), cut(finite(heads)), f"id {kind}, r bigint, sim double", work, scaled=False)
         best = found.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "r")).alias("m")).select("id", "m.r", (-F.col("m.s")).alias("sim"))
     return queries.select("q").join(best.withColumnRenamed("id", "q"), "q", "left").select("q", F.coalesce(F.col("r").cast("int"), F.lit(ORPHAN)).alias("grupo"), F.coalesce(100 * F.col("sim"), F.lit(0.0)).alias("similaridade"))
 
@@ -218,7 +226,7 @@ def audit(groups: DataFrame, vectors: DataFrame, session: str, percent: float =
     centroids only.
     """
     own = groups.where(F.col("sessao") == session).select(F.col("seq_documento").alias("id"), "grupo", "centroide", F.col("sim").cast("double").alias("sim"))
-    unit = V.sound(vectors, "seq_documento", "vetor")
+    unit = V.usable(vectors, "seq_documento", "vetor")
     placed = cut(own.join(unit, "id", "left"))
     if percent <= 0:
         percent = int(placed.where("sim > 0").agg(F.coalesce(F.min("sim"), F.lit(0.0)).alias("m")).first()["m"] * 100)

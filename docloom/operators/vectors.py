@@ -2,7 +2,8 @@
 
 Two routes to similarities: expressions over arrays for single pairs, and for joins a blocked product in
 which each pair of blocks is one matrix multiplication. The blocked join is exact and its cost is that of all pairs;
-the block count is a parameter, so no task grows with the data.
+the block count is a parameter, so no task grows with the data. Blocks are written once and read by each task that needs
+them, so the disk used grows with the vectors, not with their pairs.
 """
 
 from __future__ import annotations
@@ -12,17 +13,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.session import cut
+from docloom.functions.textclean import let
+from docloom.session import cut, free
 
-#: Rows of a block of the blocked join, on average.
-BLOCK_ROWS = 2_000
+#: Rows of a block of the blocked join, on average; rows of one product within a task.
+BLOCK_ROWS, SLAB = 8_192, 256
 #: Similarities are the same if they agree to so many places; a limit holds up to half a unit of the last.
 PLACES, SLACK = 12, 5e-13
-#: Most tasks of one blocked product; beyond, a task works on several pairs of blocks, one after the other.
-MOST_TASKS = 20_000
+#: Most parts that blocks are kept in; beyond, a task works on several pairs of blocks, one after the other. Least, if there are rows.
+MOST_PARTS, LEAST_PARTS, FEW_ROWS = 141, 4, 1_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,8 +42,8 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """Vector of unit length; null for a null, empty, all-zero or non-finite one."""
-    size = norm(v)
-    return F.when((size > 0) & (size < float("inf")), F.transform(v, lambda x: x.cast("double") / size))
+    # The norm is taken out of the lambda, which would compute it again for each element.
+    return let(norm(v), lambda size: F.when((size > 0) & (size < float("inf")), F.transform(v, lambda x: x.cast("double") / size)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -72,11 +75,21 @@ def percent(threshold: float) -> float:
     return threshold / 100 if threshold > 1 else int(threshold * 100) / 100
 
 
-def sound(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``id, v``: one usable unit vector per identifier; of repeated identifiers the largest in array order."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``id, v``: one usable vector per identifier, not scaled; of repeated identifiers the largest in array order.
+
+    Single precision stays single, which takes half the room on disk.
+    """
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>" if single else "array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     good = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-    return good.groupBy("id").agg(F.max("v").alias("v")).select("id", normalize(F.col("v")).alias("v")).where("v IS NOT NULL")
+    size = norm(F.col("v"))
+    return good.groupBy("id").agg(F.max("v").alias("v")).where((size > 0) & (size < float("inf")))
+
+
+def sound(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``id, v``: the vectors of :func:`usable` at unit length, in double precision."""
+    return usable(vectors, id_col, vec_col).select("id", normalize(F.col("v")).alias("v"))
 
 
 def in_force(vectors: DataFrame, id_col: str = "seq_documento", vec_col: str = "vetor", time_col: str = "dthr", page_col: str = "pagina", dim: int = 128) -> DataFrame:
@@ -91,78 +104,119 @@ def in_force(vectors: DataFrame, id_col: str = "seq_documento", vec_col: str = "
     return last.where((F.size(vec_col) == dim) & F.forall(vec_col, finite) & F.exists(vec_col, lambda x: x != 0))
 
 
-def _by_block_pairs(unit: DataFrame, block_rows: int, schema: str, work) -> DataFrame:
-    """``work(ids, matrix, left, right, same, weights)`` for each pair of blocks, as batches of ``schema``; ``weights``: column ``m``.
+def _packed(rows: DataFrame, block_rows: int) -> DataFrame | None:
+    """``b, dados``: the rows in blocks, each one value of Arrow's stream format, in the checkpoint folder; none of an empty table.
 
-    Rows are dealt into B blocks by hash; each of the B (B + 1) / 2 pairs of blocks is one group of bounded size in one task,
-    so nothing is broadcast and no task holds more than two blocks. All vectors must have one length.
+    Rows are dealt by hash of ``id`` unless they lie in a fitting number of parts already. They are counted: they should be cheap to read.
     """
-    blocks = max(1, -(-unit.count() // block_rows))
-    homes = unit.withColumn("bloco", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    # A row of block i goes to the pairs (i, j) and (j, i) for all j.
-    targets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(j, F.col("bloco")).alias("i"), F.greatest(j, F.col("bloco")).alias("j")))
-    dealt = homes.withColumn("p", F.explode(targets)).select((F.col("p.i") * F.lit(blocks).cast("bigint") + F.col("p.j")).alias("par"), "bloco", *unit.columns)
+    count = rows.count()
+    if not count:
+        return None
+    wanted = min(max(-(-count // block_rows), min(LEAST_PARTS, -(-count // FEW_ROWS))), MOST_PARTS)
+    parts = rows.rdd.getNumPartitions()
+    # More parts than twice the blocks would make blocks small, fewer than half would leave cores idle.
+    dealt = rows if wanted <= 2 * parts and parts <= min(2 * wanted, MOST_PARTS) else rows.repartition(wanted, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_key(batches, "par"):
-            table = table.combine_chunks()
-            ids, lists = table.column("id").combine_chunks(), table.column("v").combine_chunks()
-            size = len(lists[0])
-            if pc.any(pc.not_equal(pc.list_value_length(lists), size)).as_py():
-                raise ValueError("vectors of different length")
-            matrix = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), size)
-            home = table.column("bloco").to_numpy()
-            weights = table.column("m").to_numpy() if "m" in table.column_names else None
-            i, j = divmod(int(table.column("par")[0].as_py()), blocks)
-            yield from work(ids, matrix, np.flatnonzero(home == i), np.flatnonzero(home == j), i == j, weights)
-
-    return dealt.repartition(min(blocks * (blocks + 1) // 2, MOST_TASKS), "par").sortWithinPartitions("par").mapInArrow(run, schema)
-
-
-def grid(left: DataFrame, right: DataFrame, schema: str, work, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``work(left, a, right, b)`` for each block of ``left`` with each block of ``right``, as batches of ``schema``.
+        held, number = [], TaskContext.get().partitionId() << 32
+
+        def block(table: pa.Table) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table.combine_chunks())
+            return pa.record_batch([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["b", "dados"])
 
-    Both sides have ``id`` and ``v`` (unit vectors of one length) and may have any further columns, of which ``work`` gets tables;
-    ``a`` and ``b`` are the matrices. Rows are dealt into blocks by hash of their id, so each task holds two blocks of bounded
-    size and nothing is broadcast. Both sides are counted: they should be cheap to read. An empty side gives no rows.
+        for batch in batches:
+            held.append(batch)
+            while sum(x.num_rows for x in held) >= 2 * block_rows:
+                table = pa.Table.from_batches(held)
+                yield block(table.slice(0, block_rows))
+                held, number = table.slice(block_rows).to_batches(), number + 1
+        if sum(x.num_rows for x in held):
+            yield block(pa.Table.from_batches(held))
+
+    return cut(dealt.mapInArrow(run, "b bigint, dados binary"))
+
+
+def unit_matrix(table: pa.Table, scaled: bool = True) -> np.ndarray:
+    """The vectors ``v`` of a table in double precision, at unit length if ``scaled``."""
+    lists = table.column("v").combine_chunks()
+    size = len(lists[0])
+    if pc.any(pc.not_equal(pc.list_value_length(lists), size)).as_py():
+        raise ValueError("vectors of different length")
+    matrix = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), size).astype(np.float64)
+    return matrix / np.sqrt((matrix * matrix).sum(1, keepdims=True)) if scaled else matrix
+
+
+def _product(left: DataFrame, right: DataFrame | None, schema: str, work, block_rows: int, scaled: bool) -> DataFrame:
+    """``work(left, a, right, b, same)`` of every block of ``left`` with every one of ``right``, or each unordered pair of blocks of ``left``.
+
+    Nothing is shuffled or broadcast: a task reads the two blocks it multiplies. What comes out is written, then the blocks are deleted.
     """
-    spark = left.sparkSession
-    rows, columns = left.count(), right.count()
-    if not rows or not columns:
-        return spark.createDataFrame([], schema)
-    high, wide = -(-rows // block_rows), -(-columns // block_rows)
-
-    def dealt(side: DataFrame, own: int, other: int, first: bool) -> DataFrame:
-        home = F.pmod(F.xxhash64("id"), F.lit(own)).cast("bigint")
-        meets = F.explode(F.sequence(F.lit(0), F.lit(other - 1)).cast("array<bigint>"))
-        placed = side.withColumn("__h", home).withColumn("__o", meets)
-        key = F.col("__h") * wide + F.col("__o") if first else F.col("__o") * wide + F.col("__h")
-        row = F.struct(*side.columns)
-        return placed.select(key.alias("par"), (row if first else F.lit(None)).alias("x"), (F.lit(None) if first else row).alias("y"))
-
-    one, two = dealt(left, high, wide, True), dealt(right, wide, high, False)
-    kinds = (one.schema["x"].dataType.simpleString(), two.schema["y"].dataType.simpleString())
-    both = one.select("par", "x", F.lit(None).cast(kinds[1]).alias("y")).unionByName(two.select("par", F.lit(None).cast(kinds[0]).alias("x"), "y"))
-
-    def side_of(table: pa.Table, name: str) -> tuple[pa.Table, np.ndarray]:
-        held = table.column(name).combine_chunks()
-        held = held.filter(held.is_valid())
-        out = pa.table({f.name: held.field(i) for i, f in enumerate(held.type)})
-        lists = out.column("v").combine_chunks()
-        size = len(lists[0]) if len(lists) else 0
-        if pc.any(pc.not_equal(pc.list_value_length(lists), size)).as_py():
-            raise ValueError("vectors of different length")
-        return out, lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), size)
+    alone = right is None
+    one = _packed(left, block_rows)
+    two = one if alone or one is None else _packed(right, block_rows)
+    if one is None or two is None:
+        return left.sparkSession.createDataFrame([], schema)
+    x = one.select(F.col("b").alias("i"), F.col("dados").alias("x")).hint("shuffle_replicate_nl")
+    y = two.select(F.col("b").alias("j"), F.col("dados").alias("y"))
+    pairs = x.join(y, F.col("i") <= F.col("j") if alone else F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_key(batches, "par"):
-            (lt, a), (rt, b) = side_of(table, "x"), side_of(table, "y")
-            if len(a) and len(b):
+        for batch in batches:
+            i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
+            for row in range(batch.num_rows):
+                lt, rt = (pa.ipc.open_stream(batch.column(side)[row].as_buffer()).read_all().combine_chunks() for side in ("x", "y"))
+                a, b = unit_matrix(lt, scaled), unit_matrix(rt, scaled)
                 if a.shape[1] != b.shape[1]:
                     raise ValueError("vectors of different length")
-                yield from work(lt, a, rt, b)
+                yield from work(lt, a, rt, b, alone and i[row] == j[row])
+
+    out = cut(pairs.mapInArrow(run, schema))
+    free(one)
+    if two is not one:
+        free(two)
+    return out
+
 
-    return both.repartition(min(high * wide, MOST_TASKS), "par").sortWithinPartitions("par").mapInArrow(run, schema)
+def self_grid(rows: DataFrame, schema: str, work, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``work(left, a, right, b, same)`` for each unordered pair of blocks of ``rows``, which have ``id``, ``v`` and any further columns.
+
+    ``left`` and ``right`` are tables, ``a`` and ``b`` their unit vectors, ``same`` tells a block with itself. All vectors must have one length.
+    """
+    return _product(rows, None, schema, work, block_rows, True)
+
+
+def grid(left: DataFrame, right: DataFrame, schema: str, work, block_rows: int = BLOCK_ROWS, scaled: bool = True) -> DataFrame:
+    """``work(left, a, right, b)`` for each block of ``left`` with each block of ``right``, as batches of ``schema``.
+
+    Both sides have ``id`` and ``v`` (vectors of one length) and may have any further columns, of which ``work`` gets tables;
+    ``a`` and ``b`` are the matrices, at unit length if ``scaled``. Each task holds two blocks of bounded size and nothing is
+    broadcast. Both sides are counted: they should be cheap to read. An empty side gives no rows.
+    """
+    return _product(left, right, schema, lambda lt, a, rt, b, same: work(lt, a, rt, b), block_rows, scaled)
+
+
+def hits(a: np.ndarray, b: np.ndarray, least: float, strict: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``x, y, s`` of all rows of two matrices of unit vectors with product ``s >= least`` (``strict``: above), a slab of ``a`` at a time.
+
+    Products in single precision leave out what is surely below; the others are computed again in double precision.
+    """
+    doubt = (a.shape[1] + 8) * 2.0**-23
+    low, other = a.astype(np.float32), np.ascontiguousarray(b.T, dtype=np.float32)
+    for start in range(0, len(a), SLAB):
+        part = a[start : start + SLAB]
+        found = np.flatnonzero(low[start : start + SLAB] @ other >= np.float32(least - doubt))
+        if not found.size:
+            continue
+        x, y = np.divmod(found, len(b))
+        if found.size * 32 > len(part) * len(b):
+            s = (part @ b.T)[x, y]
+        else:
+            s = np.concatenate([np.einsum("ij,ij->i", part[x[k : k + 16_384]], b[y[k : k + 16_384]]) for k in range(0, found.size, 16_384)])
+        keep = s > least if strict else s >= least
+        if keep.any():
+            yield start + x[keep], y[keep], s[keep]
 
 
 def nearest(left: DataFrame, right: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -173,14 +227,13 @@ def nearest(left: DataFrame, right: DataFrame, least: float, block_rows: int = B
     kind = left.schema["id"].dataType.simpleString()
 
     def work(lt, a, rt, b):
-        order = np.argsort(rt.column("r").to_numpy(), kind="stable")
-        numbers, b = rt.column("r").to_numpy()[order], b[order]
-        for start in range(0, len(a), 512):
-            sims = np.round(a[start : start + 512] @ b.T, PLACES)
-            best = sims.argmax(1)
-            value = sims[np.arange(len(sims)), best]
-            ok = np.flatnonzero(value >= least)
-            yield pa.record_batch([lt.column("id").combine_chunks().take(pa.array(start + ok)), pa.array(numbers[best[ok]]), pa.array(value[ok])], names=["id", "r", "sim"])
+        numbers, ids = rt.column("r").to_numpy(), lt.column("id").combine_chunks()
+        for x, y, s in hits(a, b, least - SLACK):
+            sims = np.round(s, PLACES)
+            order = np.lexsort((numbers[y], -sims, x))
+            order = order[sims[order] >= least]
+            first = order[np.r_[True, np.diff(x[order]) > 0]] if order.size else order
+            yield pa.record_batch([ids.take(pa.array(x[first])), pa.array(numbers[y[first]]), pa.array(sims[first])], names=["id", "r", "sim"])
 
     found = grid(left.select("id", "v"), right.select("id", "r", "v"), f"id {kind}, r bigint, sim double", work, block_rows)
     best = found.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "r")).alias("m"))
@@ -192,58 +245,38 @@ def near_any(left: DataFrame, right: DataFrame, least: float, block_rows: int =
     kind = left.schema["id"].dataType.simpleString()
 
     def work(lt, a, rt, b):
-        for start in range(0, len(a), 512):
-            hit = np.flatnonzero(((a[start : start + 512] @ b.T) >= least - SLACK).any(1))
-            yield pa.record_batch([lt.column("id").combine_chunks().take(pa.array(start + hit))], names=["id"])
+        for x, _, _ in hits(a, b, least - SLACK):
+            yield pa.record_batch([lt.column("id").combine_chunks().take(pa.array(np.unique(x)))], names=["id"])
 
     return grid(left.select("id", "v"), right.select("id", "v"), f"id {kind}", work, block_rows).distinct()
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by a whole number."""
-    held: list[pa.RecordBatch] = []
-    now = 0
-    for batch in batches:
-        keys = batch.column(key).to_numpy()
-        cuts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)]
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            if y > x:
-                if held and keys[x] != now:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                now = int(keys[x])
-                held.append(batch.slice(x, y - x))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def similar_pairs(vectors: DataFrame, above: float, id_col: str = "id", vec_col: str = "v", inclusive: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``a, b, sim`` of all pairs ``a < b`` with cosine above ``above`` (or equal, if ``inclusive``).
 
     Exact, in blocks. Unusable vectors are left out; of repeated identifiers one vector counts.
     """
-    unit = cut(sound(vectors, id_col, vec_col))
-    kind = unit.schema["id"].dataType.simpleString()
-
-    def work(ids, matrix, left, right, same, weights):
-        for start in range(0, left.size, 512):
-            part = left[start : start + 512]
-            sims = matrix[part] @ matrix[right].T
-            x, y = np.nonzero(sims >= above if inclusive else sims > above)
-            p, q, s = part[x], right[y], sims[x, y]
+    rows = cut(usable(vectors, id_col, vec_col))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def work(lt, a, rt, b, same):
+        left, right = lt.column("id").combine_chunks(), rt.column("id").combine_chunks()
+        for x, y, s in hits(a, b, above, not inclusive):
             if same:
-                keep = p < q
-                p, q, s = p[keep], q[keep], s[keep]
-            first, second = ids.take(pa.array(p)), ids.take(pa.array(q))
+                keep = x < y
+                x, y, s = x[keep], y[keep], s[keep]
+            first, second = left.take(pa.array(x)), right.take(pa.array(y))
             swap = pc.greater(first, second)
             yield pa.record_batch([pc.if_else(swap, second, first), pc.if_else(swap, first, second), pa.array(s, pa.float64())], names=["a", "b", "sim"])
 
-    return _by_block_pairs(unit, block_rows, f"a {kind}, b {kind}, sim double", work)
+    out = self_grid(rows, f"a {kind}, b {kind}, sim double", work, block_rows)
+    free(rows)
+    return out
 
 
-def classes(unit: DataFrame) -> DataFrame:
-    """``id, classe`` of unit vectors: equal ones (to nine places) are one class, named by its smallest identifier."""
-    keyed = unit.select("id", F.md5(F.to_json(F.transform("v", lambda x: F.round(x, 9))).cast("binary")).alias("k"))
+def classes(rows: DataFrame) -> DataFrame:
+    """``id, classe`` of vectors: those with equal unit vectors (to nine places) are one class, named by its smallest identifier."""
+    keyed = cut(rows.select("id", F.md5(F.to_json(F.transform(normalize(F.col("v")), lambda x: F.round(x, 9))).cast("binary")).alias("k")))
     return keyed.join(keyed.groupBy("k").agg(F.min("id").alias("classe")), "k").select("id", "classe")
 
 
@@ -253,50 +286,44 @@ def link_counts(vectors: DataFrame, above: float, id_col: str = "id", vec_col: s
     The similarity join as one row per vector: links are counted inside the blocks and never written out. Equal unit vectors
     are one class, named by its smallest identifier, and link to each other.
     """
-    unit = cut(sound(vectors, id_col, vec_col))
-    kind = unit.schema["id"].dataType.simpleString()
-
-    def work(ids, matrix, left, right, same, weights):
-        rows, columns = np.zeros(left.size, np.int64), np.zeros(right.size, np.int64)
-        for start in range(0, left.size, 512):
-            part = left[start : start + 512]
-            near = matrix[part] @ matrix[right].T > above
+    rows = cut(usable(vectors, id_col, vec_col))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def work(lt, a, rt, b, same):
+        one, two = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        for x, y, _ in hits(a, b, above, True):
             if same:
-                near[np.arange(part.size), start + np.arange(part.size)] = False
-            rows[start : start + part.size] = near.sum(1)
-            columns += near.sum(0)
-        yield pa.record_batch([ids.take(pa.array(left)), pa.array(rows)], names=["id", "n"])
+                x = x[x != y]
+            one += np.bincount(x, minlength=len(a))
+            two += np.bincount(y, minlength=len(b))
+        yield pa.record_batch([lt.column("id").combine_chunks(), pa.array(one)], names=["id", "n"])
         if not same:
-            yield pa.record_batch([ids.take(pa.array(right)), pa.array(columns)], names=["id", "n"])
+            yield pa.record_batch([rt.column("id").combine_chunks(), pa.array(two)], names=["id", "n"])
 
-    counts = _by_block_pairs(unit, block_rows, f"id {kind}, n bigint", work).groupBy("id").agg(F.sum("n").alias("ligacoes"))
-    return counts.join(classes(unit), "id").select("id", "classe", "ligacoes")
+    counts = self_grid(rows, f"id {kind}, n bigint", work, block_rows).groupBy("id").agg(F.sum("n").alias("ligacoes"))
+    return counts.join(classes(rows), "id").select("id", "classe", "ligacoes")
 
 
-def weighted_degrees(unit: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``id, ligacoes, soma`` of unit vectors ``id, v, m``: the others at least so similar, each counted ``m`` times, and
+def weighted_degrees(rows: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``id, ligacoes, soma`` of vectors ``id, v, m``: the others at least so similar, each counted ``m`` times, and
     their summed similarity. Counted inside the blocks: no link is written. A vector's own copies, ``m - 1``, count too."""
-    unit = cut(unit)
-    kind = unit.schema["id"].dataType.simpleString()
-
-    def work(ids, matrix, left, right, same, weights):
-        sides = [(np.zeros(left.size, np.int64), np.zeros(left.size)), (np.zeros(right.size, np.int64), np.zeros(right.size))]
-        for start in range(0, left.size, 512):
-            part = left[start : start + 512]
-            sims = matrix[part] @ matrix[right].T
-            near = sims >= least - SLACK
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def work(lt, a, rt, b, same):
+        m, w = lt.column("m").to_numpy(), rt.column("m").to_numpy()
+        one, two = (np.zeros(len(a), np.int64), np.zeros(len(a))), (np.zeros(len(b), np.int64), np.zeros(len(b)))
+        for x, y, s in hits(a, b, least - SLACK):
             if same:
-                near[np.arange(part.size), start + np.arange(part.size)] = False
-            sims = np.where(near, sims, 0)
-            span = slice(start, start + part.size)
-            sides[0][0][span], sides[0][1][span] = near @ weights[right], sims @ weights[right].astype(float)
-            sides[1][0][:] += weights[part] @ near
-            sides[1][1][:] += weights[part].astype(float) @ sims
-        for rows, (links, total) in zip((left,) if same else (left, right), sides):
-            yield pa.record_batch([ids.take(pa.array(rows)), pa.array(links), pa.array(total)], names=["id", "n", "s"])
+                keep = x != y
+                x, y, s = x[keep], y[keep], s[keep]
+            for (links, total), at, times in ((one, x, w[y]), (two, y, m[x])):
+                links += np.bincount(at, times, len(links)).astype(np.int64)
+                total += np.bincount(at, times * s, len(total))
+        for table, (links, total) in ((lt, one),) if same else ((lt, one), (rt, two)):
+            yield pa.record_batch([table.column("id").combine_chunks(), pa.array(links), pa.array(total)], names=["id", "n", "s"])
 
-    found = _by_block_pairs(unit.select("id", "m", "v"), block_rows, f"id {kind}, n bigint, s double", work).groupBy("id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    return found.join(unit.select("id", "m"), "id").select("id", (F.col("n") + F.col("m") - 1).alias("ligacoes"), (F.col("s") + F.col("m") - 1).alias("soma"))
+    found = self_grid(rows.select("id", "m", "v"), f"id {kind}, n bigint, s double", work, block_rows).groupBy("id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return found.join(rows.select("id", "m"), "id").select("id", (F.col("n") + F.col("m") - 1).alias("ligacoes"), (F.col("s") + F.col("m") - 1).alias("soma"))
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
@@ -323,14 +350,12 @@ def search(vectors: DataFrame, queries: DataFrame, above: float, id_col: str = "
 
     The stated queries against all vectors, in blocks.
     """
-    base, asked = cut(sound(vectors, id_col, vec_col)), cut(sound(queries, "q", "v"))
+    base, asked = cut(usable(vectors, id_col, vec_col)), cut(usable(queries, "q", "v"))
     kinds = base.schema["id"].dataType.simpleString(), asked.schema["id"].dataType.simpleString()
 
     def work(lt, a, rt, b):
-        for start in range(0, len(a), 512):
-            sims = a[start : start + 512] @ b.T
-            x, y = np.nonzero(sims > above)
-            yield pa.record_batch([rt.column("id").combine_chunks().take(pa.array(y)), lt.column("id").combine_chunks().take(pa.array(start + x)), pa.array(sims[x, y])], names=["q", "id", "sim"])
+        for x, y, s in hits(a, b, above, True):
+            yield pa.record_batch([rt.column("id").combine_chunks().take(pa.array(y)), lt.column("id").combine_chunks().take(pa.array(x)), pa.array(s)], names=["q", "id", "sim"])
 
     return grid(base, asked, f"q {kinds[1]}, id {kinds[0]}, sim double", work).where("q <> id").orderBy("q", F.desc("sim"), "id")
 

@@ -186,3 +186,29 @@ def test_clusters_use_vectors_in_force(spark, tmp_path):
     assert {r["seq_documento"]: r["grupo"] for r in queries.density_clusters(spark, sf).collect()} == {1: 1, 5: 1, 2: 2, 3: 2, 4: clusters.NO_VECTOR}
     assert {r["seq_documento"]: (r["classe"], r["ligacoes"]) for r in queries.similar_links(spark, sf).collect()} == {1: (1, 1), 5: (1, 1), 2: (2, 1), 3: (2, 1)}
     assert [r["resultado"] for r in queries.density_audit(spark, sf).orderBy("ordem").collect()] == ["ok", "5", "2", "ok", "ok", "ok", "ok", "ok"]
+
+
+def _shuffled(spark):
+    """Bytes of shuffle files written so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    executors = context.statusStore().executorList(True)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_blocks_are_not_written_once_for_each_pair(spark):
+    """Twelve blocks: a copy of each vector for each block it meets would be twelve times the input."""
+    matrix = np.random.default_rng(3).standard_normal((1200, 64))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(matrix)], "id int, v array<double>")
+    before = _shuffled(spark)
+    assert V.link_counts(df, 0.9, block_rows=100).count() == 1200
+    assert _shuffled(spark) - before < 4 * matrix.nbytes
+
+
+def test_limits_are_decided_in_double_precision(spark):
+    """Similarities nearer to the limit than single precision tells, on both sides of it and on it."""
+    step = 1e-9
+    df = spark.createDataFrame([(i, [0.8 + k * step, (1 - (0.8 + k * step) ** 2) ** 0.5]) for i, k in enumerate(range(-3, 4), 1)] + [(0, [1.0, 0.0])], "id int, v array<double>")
+    found = {r["b"] for r in V.similar_pairs(df, 0.8 + step / 2).where("a = 0").collect()}
+    assert found == {5, 6, 7}
+    assert {r["id"] for r in V.near_any(df.where("id > 0"), df.where("id = 0"), 0.8 + step / 2).collect()} == {5, 6, 7}
