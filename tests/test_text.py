@@ -198,3 +198,13 @@ def test_all_of_unicode_folds(spark):
     got = [r["x"] for r in df.select(textclean.remove_accents(F.col("t")).alias("x")).collect()]
     fold = lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
     assert got == [fold(text), fold("ﬁm № 5 ½ Ⓐ 𝐀ção"), "plain", None]
+
+
+def test_word_rules_query_over_own_table(spark, tmp_path):
+    """The query reads its texts once, and rules neither chain nor match within words."""
+    from docloom.plans import queries
+
+    texts = [(1, "Recurso no processo por dano moral"), (2, "danos e dano"), (3, None), (4, "")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["texto"] for r in queries.word_rules(spark, str(tmp_path)).collect()}
+    assert got == {1: "processo NO recurso POR dano_moral", 2: "DANOS E prejuízo", 4: ""}
