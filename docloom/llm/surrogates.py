@@ -34,12 +34,12 @@ def alphabet(char: str) -> str:
 
 
 class Surrogates:
-    """Replacements under one key. ``given``: the given names of each gender, in plain lower case."""
+    """Replacements under one key. ``given``: the given names of each gender, in plain lower case; without, names are words like others."""
 
-    def __init__(self, key: bytes, given: dict[str, tuple[str, ...]]):
+    def __init__(self, key: bytes, given: dict[str, tuple[str, ...]] | None = None):
         self.key = key
-        self.given = given
-        self.gender = {name: gender for gender, names in given.items() for name in names}
+        self.given = given or {}
+        self.gender = {name: gender for gender, names in self.given.items() for name in names}
         self.word_of = functools.lru_cache(100_000)(self._word_of)
 
     def _number(self, what: str) -> int:
