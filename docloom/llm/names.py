@@ -8,6 +8,7 @@ only its surroundings speak.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 
@@ -41,19 +42,35 @@ def _around(text: str, a: int, b: int) -> tuple[list[str], list[str]]:
     return before[-3:], after[:3]
 
 
+def _code(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % SIZE
+
+
 def features(text: str, a: int, b: int) -> tuple[list[int], list[int]]:
     """Hashed features of the run ``text[a:b]``: of its surroundings, and of itself."""
+    return _outer(*_surroundings(text, a, b)).tolist(), _inner(text[a:b]).tolist()
+
+
+def _surroundings(text: str, a: int, b: int) -> tuple[tuple[str, ...], tuple[str, ...], bool]:
     before, after = _around(text, a, b)
-    before, after = ["", "", "", *before][-3:], [*after, "", "", ""][:3]
+    return tuple(["", "", "", *before][-3:]), tuple([*after, "", "", ""][:3]), a == 0 or text[a - 1] == "\n"
+
+
+@functools.lru_cache(1 << 15)
+def _outer(before: tuple[str, ...], after: tuple[str, ...], line: bool) -> np.ndarray:
     low_b, low_a = [w.lower() for w in before], [w.lower() for w in after]
     outer = [
         f"b1 {low_b[2]}", f"b2 {low_b[1]} {low_b[2]}", f"b3 {low_b[0]} {low_b[1]}", f"a1 {low_a[0]}", f"a2 {low_a[0]} {low_a[1]}", f"a3 {low_a[1]} {low_a[2]}", f"c {low_b[2]} {low_a[0]}",
-        f"s1 {low_b[2][-3:]}", f"s2 {low_a[0][-3:]}", f"u {before[2][:1].isupper()} {after[0][:1].isupper()}", f"line {a == 0 or text[a - 1] == chr(10)}", "bias",
+        f"s1 {low_b[2][-3:]}", f"s2 {low_a[0][-3:]}", f"u {before[2][:1].isupper()} {after[0][:1].isupper()}", f"line {line}", "bias",
     ]
-    words = text[a:b].split()
-    inner = [f"n {len(words)}", f"p {any(w.islower() for w in words)}", f"l {words[-1].lower()[-3:]}", f"k {words[-1].lower()}", f"i {any(len(w.strip('.')) == 1 for w in words)}", f"t {text[a:b].isupper()}"]
-    code = lambda names: [zlib.crc32(n.encode("utf-8", "surrogatepass")) % SIZE for n in names]
-    return code(outer), code(inner)
+    return np.array(list(map(_code, outer)))
+
+
+@functools.lru_cache(1 << 15)
+def _inner(run: str) -> np.ndarray:
+    words = run.split()
+    inner = [f"n {len(words)}", f"p {any(w.islower() for w in words)}", f"l {words[-1].lower()[-3:]}", f"k {words[-1].lower()}", f"i {any(len(w.strip('.')) == 1 for w in words)}", f"t {run.isupper()}"]
+    return np.array(list(map(_code, inner)))
 
 
 def _fit(rows: np.ndarray, wanted: np.ndarray, counts: np.ndarray, steps: int, shrink: float) -> np.ndarray:
@@ -96,6 +113,5 @@ def fit(examples: list[tuple[bool, list[int], list[int]]], steps: int = 150, rou
 
 def probability(weights: np.ndarray, text: str, a: int, b: int) -> float:
     """How sure the model is that a run is a name; 0 for a model that learnt nothing."""
-    outer, inner = features(text, a, b)
-    score = float(weights[outer].sum() + weights[inner].sum())
+    score = float(weights[_outer(*_surroundings(text, a, b))].sum() + weights[_inner(text[a:b])].sum())
     return 0.0 if score == 0 else 1 / (1 + np.exp(-score))

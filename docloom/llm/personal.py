@@ -60,6 +60,8 @@ INSTITUTIONS = set(
     desembargadora procurador procuradora exa exas sa ltda cia estado município união fazenda banco lei súmula seção sala audiencia court judge justice
     panel section réu ré autor autora advogado advogada agravante agravado apelante apelado perito perita testemunha parte nos o a os as de do da em no na""".split()
 )
+_TITLES = frozenset(TITLES)
+_OFFICES = INSTITUTIONS - {"de", "da", "do", "e"}
 _PLACES = set("são santa santo porto vila villa vale lagoa serra ribeira pedra campos rio monte nova novo belo bela ponta barra praia ilha puerto ciudad fort lake".split())
 _NOT_OF_A_PERSON = re.compile(r"(?:fórum|foro|escola|colégio|hospital|edifício|edif\.|condomínio|fundação|instituto|banco|construtora|cidade de|município de|comarca de|vila|school|hospital of) +(?:\w+ +){0,2}$", re.I)
 _STREET_BEFORE = re.compile(r"(?:\b(?:rua|avenida|alameda|travessa|praça|rodovia|estrada|largo|calle|plaza|paseo|camino|carretera)|\b(?:av|al|tv|rod|avda)\.|\bc/) +(?:[\w.]+ +){0,3}$", re.I)
@@ -69,17 +71,19 @@ _UP, _LOW = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĔĘĚĞĢĪİĶŁĹĽŃŇŌŐŒŔŘŚ
 _GAP = r"[ \t\xa0]+"
 _CAPITAL = rf"[{_UP}][{_UP}{_LOW}'’-]*[{_LOW}](?![{_UP}{_LOW}])"
 _SHOUT = rf"[{_UP}][{_UP}'’-]+(?![{_UP}{_LOW}])"
+# Patterns tried at every place begin with the capital itself, which the engine looks for fastest; what is before it comes second.
+_FIRST = len(f"[{_UP}]")
 _SOFT = rf"[{_LOW}][{_LOW}'’-]+"
 _LINK = r"(?:d[aeo]s?|del|de la|e la|van|von)"
 _MORE = re.compile(rf"(?:{_GAP}(?:{_LINK}{_GAP})?(?:{_CAPITAL}|[{_UP}]\.(?={_GAP}[{_UP}])))+")
 _ONE_SHOUTED = re.compile(rf"{_GAP}(?:(?:D[AEO]S?|DEL){_GAP})?({_SHOUT})")
 _ONE_SOFT = re.compile(rf"{_GAP}(?:{_LINK}{_GAP})?({_SOFT})")
 _RUN = re.compile(
-    rf"(?<![\w@.-])(?:(?:{_CAPITAL}|(?:[{_UP}]\.[ \xa0]?)+(?={_CAPITAL}){_CAPITAL})(?:{_GAP}(?:{_LINK}{_GAP})?(?:{_CAPITAL}|[{_UP}]\.(?={_GAP}[{_UP}])))*"
-    rf"|{_SHOUT}(?:{_GAP}(?:(?:D[AEO]S?|DEL){_GAP})?{_SHOUT})+)"
+    rf"[{_UP}](?<![\w@.-][{_UP}])(?:(?:{_CAPITAL[_FIRST:]}|\.[ \xa0]?(?:[{_UP}]\.[ \xa0]?)*{_CAPITAL})(?:{_GAP}(?:{_LINK}{_GAP})?(?:{_CAPITAL}|[{_UP}]\.(?={_GAP}[{_UP}])))*"
+    rf"|{_SHOUT[_FIRST:]}(?:{_GAP}(?:(?:D[AEO]S?|DEL){_GAP})?{_SHOUT})+)"
 )
 _AFTER_TITLE = re.compile(rf"{_GAP}((?:(?:{_CAPITAL}|[{_UP}]\.){_GAP}(?:{_LINK}{_GAP})?)*{_CAPITAL}|(?:{_SHOUT}{_GAP}(?:(?:D[AEO]S?){_GAP})?)*{_SHOUT})")
-_INITIALS = re.compile(rf"(?<![\w.@-])(?:[{_UP}]\.[ \xa0]?){{1,3}}(?:{_LINK}{_GAP})?(?:{_CAPITAL}|{_SHOUT})(?:{_GAP}(?:{_LINK}{_GAP})?{_CAPITAL})*")
+_INITIALS = re.compile(rf"[{_UP}](?<![\w.@-][{_UP}])\.[ \xa0]?(?:[{_UP}]\.[ \xa0]?){{0,2}}(?:{_LINK}{_GAP})?(?:{_CAPITAL}|{_SHOUT})(?:{_GAP}(?:{_LINK}{_GAP})?{_CAPITAL})*")
 _INITIAL = re.compile(rf"[{_UP}]\.[ \xa0]?$")
 _SURNAME_BEFORE = re.compile(rf"(?:(?:{_CAPITAL}{_GAP}(?:{_LINK}{_GAP})?)?{_CAPITAL}|(?:{_SHOUT}{_GAP})?{_SHOUT}),{_GAP}$")
 # Words after which a common word may be meant as a given name.
@@ -158,17 +162,20 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
+@functools.cache
+def _steps(words: int) -> re.Pattern:
+    """So many words of a reversed text, or those up to the end of the line before and its mark."""
+    return re.compile(rf"(?:[ \t\xa0]*+\S++){{{words}}}|(?:[ \t\xa0]*+\S++)*+[ \t\xa0]*+\n?")
+
+
 def _back(text: str, at: int, words: int) -> int:
     """Begin of the last so many words of a line before a place."""
-    while words and at > 0:
-        while at > 0 and text[at - 1] in " \t\xa0":
-            at -= 1
-        if at > 0 and text[at - 1] == "\n":
-            return at - 1
-        while at > 0 and not text[at - 1].isspace():
-            at -= 1
-        words -= 1
-    return at
+    width = 80
+    while True:
+        reached = _steps(words).match(text[max(0, at - width) : at][::-1]).end()
+        if reached < width or at <= width:
+            return at - reached
+        width *= 4
 
 
 def _local_start(text: str, at: int) -> int:
@@ -341,12 +348,13 @@ def _runs(text: str, taken: Taken) -> Iterator[tuple[int, int]]:
     """Runs of two capitalised words or more that may be a person's name: not of an address, a company or an office."""
     for m in _RUN.finditer(text):
         a, b = m.span()
-        words = text[a:b].split()
-        while words and (words[0].lower() in STARTERS or words[0].lower().strip(".") + "." in TITLES or words[0].lower() in INSTITUTIONS):
+        words = m.group().split()
+        lows = m.group().lower().split()
+        while words and (lows[0] in STARTERS or lows[0].strip(".") + "." in _TITLES or lows[0] in INSTITUTIONS):
             a += len(words[0])
             a += len(text[a:b]) - len(text[a:b].lstrip())
-            words = words[1:]
-        if len(words) < 2 or taken.hits(a, b) or _COMPANY_AFTER.match(text, b) or {w.lower().strip(".") for w in words} & INSTITUTIONS - {"de", "da", "do", "e"}:
+            words, lows = words[1:], lows[1:]
+        if len(words) < 2 or taken.hits(a, b) or _COMPANY_AFTER.match(text, b) or any(w.strip(".") in _OFFICES for w in lows):
             continue
         if not _STREET_BEFORE.search(text, _back(text, a, 6), a) and not _NOT_OF_A_PERSON.search(text, _back(text, a, 5), a):
             yield a, b
@@ -448,19 +456,22 @@ def replaced(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
     ignored; an empty table gives no rows. ``model``: one of :func:`fitted`, else it is fitted on these texts.
     """
     weights = docs.sparkSession.sparkContext.broadcast(fitted(docs, id_col, text_col) if model is None else model)
-    swap = pa.struct([("tipo", pa.string()), ("inicio", pa.int32()), ("fim", pa.int32()), ("substituto", pa.string())])
+    parts = ("tipo", pa.string()), ("inicio", pa.int32()), ("fim", pa.int32()), ("substituto", pa.string())
 
     def make(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        fresh, swaps = [], []
+        fresh, swaps, ends = [], [], [0]
         for text in texts:
-            own = [(k, a, b, maker(key).replace(k, text[a:b])) for k, a, b in mentions(text, weights.value)]
-            swaps.append([{"tipo": k, "inicio": a, "fim": b, "substituto": new} for k, a, b, new in own])
-            last, parts = 0, []
-            for _, a, b, new in own:
-                parts += [text[last:a], new]
+            last, out = 0, []
+            for k, a, b in mentions(text, weights.value):
+                new = maker(key).replace(k, text[a:b])
+                swaps.append((k, a, b, new))
+                out += [text[last:a], new]
                 last = b
-            fresh.append("".join(parts) + text[last:])
-        return pa.record_batch([ids, pa.array(fresh, pa.string()), pa.array(swaps, pa.list_(swap))], names=["doc_id", "texto", "trocas"])
+            fresh.append("".join(out) + text[last:])
+            ends.append(len(swaps))
+        columns = [pa.array(values, kind) for values, (_, kind) in zip(zip(*swaps) if swaps else [()] * 4, parts)]
+        held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, [name for name, _ in parts]))
+        return pa.record_batch([ids, pa.array(fresh, pa.string()), held], names=["doc_id", "texto", "trocas"])
 
     return _mapped(docs, id_col, text_col, "texto string, trocas array<struct<tipo: string, inicio: int, fim: int, substituto: string>>", make)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import re
 import unicodedata
 
@@ -33,6 +34,15 @@ def alphabet(char: str) -> str:
     return "".join(c for c in around if unicodedata.category(c) == kind and c.lower() == c and len(c.upper()) == 1 and c not in every_vowel) or char
 
 
+@functools.lru_cache(100_000)
+def factors(size: int) -> tuple[int, int]:
+    """Two factors of a number as near to each other as there are, the larger first."""
+    root = max(1, math.isqrt(size))
+    while root > 1 and size % root:
+        root -= 1
+    return size // root, root
+
+
 class Surrogates:
     """Replacements under one key. ``given``: the given names of each gender, in plain lower case; without, names are words like others."""
 
@@ -47,15 +57,13 @@ class Surrogates:
 
     def _mixed(self, value: int, size: int, what: str, back: bool = False) -> int:
         """A keyed permutation of the numbers below ``size`` (alternating sums over two factors), or its inverse."""
-        root = max(1, int(size**0.5))
-        while root > 1 and size % root:
-            root -= 1
+        sizes = factors(size)
+        root = sizes[1]
         if root == 1:
             # No factors: a rotation alone.
             shift = self._number(f"{what}|{size}") % size
             return (value - shift if back else value + shift) % size
         left, right = divmod(value, root)
-        sizes = (size // root, root)
         for turn in reversed(range(6)) if back else range(6):
             if turn % 2 == 0:
                 shift = self._number(f"{what}|{size}|{turn}|{right}")

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, encodings, mixing, personal, sentences
+from docloom.llm import bpe, encodings, mixing, personal, sentences, surrogates
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(os.path.join(bpe.TOKENIZERS, f"{bpe.VOCABULARY}.tiktoken")), reason="no vocabulary files")
 
@@ -264,6 +264,34 @@ def test_number_surrogates_never_collide():
     assert len({maker.number(f"{i:04d}") for i in range(10_000)}) == 10_000
 
 
+def test_factors_of_a_size_are_sought_once():
+    """The search for two factors of a word's many forms took most of a surrogate's time."""
+    surrogates.factors.cache_clear()
+    maker = personal.Surrogates(b"k")
+    assert len({maker.number(f"{i:09d}") for i in range(200)}) == 200
+    assert surrogates.factors.cache_info().misses == 1
+    assert all(a * b == n and a >= b for n in (1, 2, 7, 12, 10**9, 5**6 * 21**7) for a, b in [surrogates.factors(n)])
+
+
+def test_last_words_of_a_line():
+    def model(text, at, words):
+        while words and at > 0:
+            while at > 0 and text[at - 1] in " \t\xa0":
+                at -= 1
+            if at > 0 and text[at - 1] == "\n":
+                return at - 1
+            while at > 0 and not text[at - 1].isspace():
+                at -= 1
+            words -= 1
+        return at
+
+    rng = random.Random(3)
+    for _ in range(3_000):
+        text = "".join(rng.choice("ab.  \n\t\xa0\r") * rng.choice((1, 1, 40)) for _ in range(rng.randrange(12)))
+        at, words = rng.randint(0, len(text)), rng.randint(1, 6)
+        assert personal._back(text, at, words) == model(text, at, words), (text, at, words)
+
+
 def test_arrow_slices_are_read_right():
     if not os.path.exists(os.path.join(bpe.TOKENIZERS, f"{bpe.VOCABULARY}.tiktoken")):
         pytest.skip("no vocabulary files")
