@@ -67,10 +67,14 @@ def _settled(rows: DataFrame, limit: float, head: int, block_rows: int) -> DataF
         fresh = cut(open_.join(lost, "id", "left_anti"))
         taken.append(fresh)
         behind = cut(open_.join(lost, "id", "left_semi"))
-        open_ = cut(behind.join(V.near_any(behind, fresh, limit, block_rows), "id", "left_anti"))
+        before, open_ = open_, cut(behind.join(V.near_any(behind, fresh, limit, block_rows), "id", "left_anti"))
         free(behind)
-    taken.append(_greedy(open_, limit))
-    return cut(functools.reduce(DataFrame.unionByName, (t.select("id", "r", "v") for t in taken)))
+        if before is not rows:
+            free(before)
+    out = cut(functools.reduce(DataFrame.unionByName, (t.select("id", "r", "v") for t in [*taken, _greedy(open_, limit)])))
+    for done in [*taken, *([open_] if open_ is not rows else [])]:
+        free(done)
+    return out
 
 
 def centroids_in_order(rows: DataFrame, limit: float, head: int = HEAD, block_rows: int = V.BLOCK_ROWS) -> DataFrame:
@@ -101,14 +105,17 @@ def centroids_in_order(rows: DataFrame, limit: float, head: int = HEAD, block_ro
 def _placed(unit: DataFrame, ranked: DataFrame, limit: float, last: bool, head: int, block_rows: int) -> DataFrame:
     """``id, centro, sim``: every row of ``unit`` that has a centroid at its most similar one, centroids themselves included.
 
-    ``ranked``: ``id, r``. Of centroids as similar the first by ``r`` counts, or the ``last``.
+    ``ranked``: ``id, r``. Of centroids as similar the first by ``r`` counts, or the ``last``. ``unit`` is a table that
+    :func:`cut` gave and that nothing else reads: it is deleted, as are all copies of vectors as soon as they have been used.
     """
     rows = cut(unit.join(ranked, "id").select("id", "r", "v"))
+    free(unit)
     heads = centroids_in_order(rows, limit, head, block_rows)
     others = cut(rows.join(heads.select("id"), "id", "left_anti"))
     free(rows)
     sign = -1 if last else 1
     best = V.nearest(others, heads.select("id", (sign * F.col("r")).alias("r"), "v"), limit, block_rows)
+    free(others)
     members = best.withColumn("r", sign * F.col("r")).join(heads.select("r", F.col("id").alias("centro")), "r").select("id", "centro", "sim")
     return members.unionByName(heads.select("id", F.col("id").alias("centro"), F.lit(1.0).alias("sim")))
 
@@ -130,6 +137,7 @@ def leader(vectors: DataFrame, threshold: float = 90, id_col: str = "id", vec_co
     """
     limit = V.percent(threshold)
     keyed = vectors.select(F.col(id_col).alias("id"), F.col(order_col or id_col).alias("o")).where("id IS NOT NULL").groupBy("id").agg(F.min("o").alias("o"))
+    keyed = cut(keyed)
     unit = cut(V.usable(vectors, id_col, vec_col))
     order = numbered_by(keyed.join(unit.select("id"), "id", "left_semi"), ["o", "id"], "r").select("id", "r")
     order = cut(order)
@@ -162,6 +170,7 @@ def density(documents: DataFrame, vectors: DataFrame, percent: float = 90, floor
     ids = documents.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
     own = cut(V.usable(vectors.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, vec_col))
     nodes, same = _folded(own)
+    free(own)
     linked = V.weighted_degrees(nodes, limit, block_rows).where("ligacoes > 0").withColumn("soma", F.round("soma", 9))
     ranked = numbered_by(linked, [F.desc("ligacoes"), F.desc("soma"), F.col("id")], "r").select("id", "r")
     placed = _placed(nodes, ranked, limit, True, head, block_rows)
@@ -169,7 +178,7 @@ def density(documents: DataFrame, vectors: DataFrame, percent: float = 90, floor
     sizes = rows.groupBy("centro").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     number = numbered_by(sizes, [F.desc("n"), F.col("centro")], "grupo").select("centro", F.col("grupo").cast("int"))
     grouped = rows.join(number, "centro").select("id", "grupo", (F.col("id") == F.col("centro")).alias("centroide"), "sim")
-    out = ids.join(grouped, "id", "left").join(own.select("id", F.lit(True).alias("usavel")), "id", "left")
+    out = ids.join(grouped, "id", "left").join(same.select("id", F.lit(True).alias("usavel")), "id", "left")
     state = F.coalesce("grupo", F.when(F.col("usavel"), ORPHAN).otherwise(NO_VECTOR))
     return out.select(F.col("id").alias("seq_documento"), state.alias("grupo"), F.lit(session).alias("sessao"), F.coalesce("centroide", F.lit(False)).alias("centroide"), "sim")
 
@@ -227,11 +236,12 @@ def audit(groups: DataFrame, vectors: DataFrame, session: str, percent: float =
     """
     own = groups.where(F.col("sessao") == session).select(F.col("seq_documento").alias("id"), "grupo", "centroide", F.col("sim").cast("double").alias("sim"))
     unit = V.usable(vectors, "seq_documento", "vetor")
-    placed = cut(own.join(unit, "id", "left"))
+    placed = cut(own)
     if percent <= 0:
         percent = int(placed.where("sim > 0").agg(F.coalesce(F.min("sim"), F.lit(0.0)).alias("m")).first()["m"] * 100)
-    with_vector = placed.where("v IS NOT NULL AND grupo IS NOT NULL").select("id", F.col("grupo").cast("bigint").alias("g"), F.coalesce("centroide", F.lit(False)).alias("c"), F.coalesce("sim", F.lit(float("nan"))).alias("s"), "v")
-    heads = cut(with_vector.where("c AND g > 0").select("id", "g", "v"))
+    with_vector = placed.where(f"grupo > 0 OR grupo = {ORPHAN}").join(unit, "id").select("id", F.col("grupo").cast("bigint").alias("g"), F.coalesce("centroide", F.lit(False)).alias("c"), F.coalesce("sim", F.lit(float("nan"))).alias("s"), "v")
+    with_vector = cut(with_vector)
+    heads = with_vector.where("c AND g > 0").select("id", "g", "v")
 
     def work(lt, a, rt, b):
         ids, other = lt.column("id").to_numpy(), rt.column("id").to_numpy()
@@ -245,7 +255,8 @@ def audit(groups: DataFrame, vectors: DataFrame, session: str, percent: float =
             wrong = ((np.abs(sims - s[x, None]) > 0.01) & (g[x, None] == h[None, :])).any(1) & (g[x] > 0)
             yield pa.record_batch([pa.array(orphan), pa.array(better), pa.array(wrong)], names=["orfao", "melhor", "errada"])
 
-    seen = V.grid(cut(with_vector.where(f"g > 0 OR g = {ORPHAN}")), heads, "orfao boolean, melhor boolean, errada boolean", work)
+    seen = V.grid(with_vector, heads, "orfao boolean, melhor boolean, errada boolean", work)
+    free(with_vector)
     failures = cut(seen.agg(*[F.count_if(F.col(name)).alias(name) for name in ("orfao", "melhor", "errada")]))
     orphans, better, wrong = (failures.select(F.col(name).alias("n")) for name in ("orfao", "melhor", "errada"))
     per_group = placed.where("grupo > 0").groupBy("grupo").agg(F.count_if(F.col("centroide")).alias("c"))
