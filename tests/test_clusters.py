@@ -225,3 +225,13 @@ def test_cut_and_clusterings_leave_no_shuffle_files(spark):
     before = files()
     assert cut(spark.range(10_000).selectExpr("id % 1000 AS k").groupBy("k").count()).count() == 1_000
     assert len(files() - before) <= 1  # that of the last count
+
+
+def test_similar_pairs_are_not_written(spark):
+    """Pairs may be many times the vectors: they go to who reads them, and only the vectors are kept."""
+    df = spark.createDataFrame([(i, [1.0, i / 50]) for i in range(40)], "id int, v array<double>")
+    pairs = V.similar_pairs(df, 0.9)
+    assert "MapInArrow" in pairs._jdf.queryExecution().analyzed().toString()
+    s = _sims([[1.0, i / 50] for i in range(40)])
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(i, j) for i in range(40) for j in range(i + 1, 40) if s[i][j] > 0.9}
+    assert pairs.count() == len(pairs.collect())
