@@ -253,11 +253,11 @@ def audit(groups: DataFrame, vectors: DataFrame, session: str, percent: float =
             orphan = ((np.round(sims, 6) >= percent / 100) & apart).any(1) & (g[x] == ORPHAN)
             better = ((sims > s[x, None] + 1e-6) & apart & (g[x, None] != h[None, :])).any(1) & (g[x] > 0) & ~c[x]
             wrong = ((np.abs(sims - s[x, None]) > 0.01) & (g[x, None] == h[None, :])).any(1) & (g[x] > 0)
-            yield pa.record_batch([pa.array(orphan), pa.array(better), pa.array(wrong)], names=["orfao", "melhor", "errada"])
+            yield pa.record_batch([pa.array([int(which.sum())]) for which in (orphan, better, wrong)], names=["orfao", "melhor", "errada"])
 
-    seen = V.grid(with_vector, heads, "orfao boolean, melhor boolean, errada boolean", work)
+    total = lambda seen: seen.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in ("orfao", "melhor", "errada")])
+    failures = V.grid(with_vector, heads, "orfao bigint, melhor bigint, errada bigint", work, merged=total)
     free(with_vector)
-    failures = cut(seen.agg(*[F.count_if(F.col(name)).alias(name) for name in ("orfao", "melhor", "errada")]))
     orphans, better, wrong = (failures.select(F.col(name).alias("n")) for name in ("orfao", "melhor", "errada"))
     per_group = placed.where("grupo > 0").groupBy("grupo").agg(F.count_if(F.col("centroide")).alias("c"))
     many, none = (per_group.where(rule).agg(F.count(F.lit(1)).alias("n")) for rule in ("c > 1", "c = 0"))

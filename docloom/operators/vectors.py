@@ -148,17 +148,19 @@ def unit_matrix(table: pa.Table, scaled: bool = True) -> np.ndarray:
     return matrix / np.sqrt((matrix * matrix).sum(1, keepdims=True)) if scaled else matrix
 
 
-def _product(left: DataFrame, right: DataFrame | None, schema: str, work, block_rows: int, scaled: bool, written: bool = True) -> DataFrame:
+def _product(left: DataFrame, right: DataFrame | None, schema: str, work, block_rows: int, scaled: bool, written: bool = True, merged=None) -> DataFrame:
     """``work(left, a, right, b, same)`` of every block of ``left`` with every one of ``right``, or each unordered pair of blocks of ``left``.
 
-    Nothing is shuffled or broadcast: a task reads the two blocks it multiplies. What comes out is written, then the blocks are deleted.
+    No vector is shuffled or broadcast: a task reads the two blocks it multiplies. What comes out is written, then the blocks are deleted.
+    Of rows that pairs of blocks have in common only what ``merged`` makes of them is written, so that their number doesn't count.
     If not ``written``, it goes to who reads it, once for each time it is read, and the blocks stay as long as something refers to them.
     """
     alone = right is None
     one = _packed(left, block_rows)
     two = one if alone or one is None else _packed(right, block_rows)
     if one is None or two is None:
-        return left.sparkSession.createDataFrame([], schema)
+        none = left.sparkSession.createDataFrame([], schema)
+        return merged(none) if merged else none
     x = one.select(F.col("b").alias("i"), F.col("dados").alias("x")).hint("shuffle_replicate_nl")
     y = two.select(F.col("b").alias("j"), F.col("dados").alias("y"))
     pairs = x.join(y, F.col("i") <= F.col("j") if alone else F.lit(True))
@@ -176,29 +178,29 @@ def _product(left: DataFrame, right: DataFrame | None, schema: str, work, block_
     out = pairs.mapInArrow(run, schema)
     if not written:
         return out
-    out = cut(out)
+    out = cut(merged(out) if merged else out)
     free(one)
     if two is not one:
         free(two)
     return out
 
 
-def self_grid(rows: DataFrame, schema: str, work, block_rows: int = BLOCK_ROWS, written: bool = True) -> DataFrame:
+def self_grid(rows: DataFrame, schema: str, work, block_rows: int = BLOCK_ROWS, written: bool = True, merged=None) -> DataFrame:
     """``work(left, a, right, b, same)`` for each unordered pair of blocks of ``rows``, which have ``id``, ``v`` and any further columns.
 
     ``left`` and ``right`` are tables, ``a`` and ``b`` their unit vectors, ``same`` tells a block with itself. All vectors must have one length.
     """
-    return _product(rows, None, schema, work, block_rows, True, written)
+    return _product(rows, None, schema, work, block_rows, True, written, merged)
 
 
-def grid(left: DataFrame, right: DataFrame, schema: str, work, block_rows: int = BLOCK_ROWS, scaled: bool = True) -> DataFrame:
+def grid(left: DataFrame, right: DataFrame, schema: str, work, block_rows: int = BLOCK_ROWS, scaled: bool = True, merged=None) -> DataFrame:
     """``work(left, a, right, b)`` for each block of ``left`` with each block of ``right``, as batches of ``schema``.
 
     Both sides have ``id`` and ``v`` (vectors of one length) and may have any further columns, of which ``work`` gets tables;
     ``a`` and ``b`` are the matrices, at unit length if ``scaled``. Each task holds two blocks of bounded size and nothing is
     broadcast. Both sides are counted: they should be cheap to read. An empty side gives no rows.
     """
-    return _product(left, right, schema, lambda lt, a, rt, b, same: work(lt, a, rt, b), block_rows, scaled)
+    return _product(left, right, schema, lambda lt, a, rt, b, same: work(lt, a, rt, b), block_rows, scaled, merged=merged)
 
 
 def hits(a: np.ndarray, b: np.ndarray, least: float, strict: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -239,8 +241,8 @@ def nearest(left: DataFrame, right: DataFrame, least: float, block_rows: int = B
             first = order[np.r_[True, np.diff(x[order]) > 0]] if order.size else order
             yield pa.record_batch([ids.take(pa.array(x[first])), pa.array(numbers[y[first]]), pa.array(sims[first])], names=["id", "r", "sim"])
 
-    found = grid(left.select("id", "v"), right.select("id", "r", "v"), f"id {kind}, r bigint, sim double", work, block_rows)
-    best = found.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "r")).alias("m"))
+    first = lambda found: found.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "r")).alias("m"))
+    best = grid(left.select("id", "v"), right.select("id", "r", "v"), f"id {kind}, r bigint, sim double", work, block_rows, merged=first)
     return best.select("id", F.col("m.r").alias("r"), (-F.col("m.s")).alias("sim"))
 
 
@@ -252,7 +254,7 @@ def near_any(left: DataFrame, right: DataFrame, least: float, block_rows: int =
         for x, _, _ in hits(a, b, least - SLACK):
             yield pa.record_batch([lt.column("id").combine_chunks().take(pa.array(np.unique(x)))], names=["id"])
 
-    return grid(left.select("id", "v"), right.select("id", "v"), f"id {kind}", work, block_rows).distinct()
+    return grid(left.select("id", "v"), right.select("id", "v"), f"id {kind}", work, block_rows, merged=DataFrame.distinct)
 
 
 def similar_pairs(vectors: DataFrame, above: float, id_col: str = "id", vec_col: str = "v", inclusive: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -306,7 +308,7 @@ def link_counts(vectors: DataFrame, above: float, id_col: str = "id", vec_col: s
             some = np.arange(len(n)) if same else np.flatnonzero(n)
             yield pa.record_batch([table.column("id").combine_chunks().take(pa.array(some)), pa.array(n[some])], names=["id", "n"])
 
-    counts = self_grid(rows, f"id {kind}, n bigint", work, block_rows).groupBy("id").agg(F.sum("n").alias("ligacoes"))
+    counts = self_grid(rows, f"id {kind}, n bigint", work, block_rows, merged=lambda found: found.groupBy("id").agg(F.sum("n").alias("ligacoes")))
     return counts.join(classes(rows), "id").select("id", "classe", "ligacoes")
 
 
@@ -329,7 +331,8 @@ def weighted_degrees(rows: DataFrame, least: float, block_rows: int = BLOCK_ROWS
             some = np.arange(len(links)) if same else np.flatnonzero(links)
             yield pa.record_batch([table.column("id").combine_chunks().take(pa.array(some)), pa.array(links[some]), pa.array(total[some])], names=["id", "n", "s"])
 
-    found = self_grid(rows.select("id", "m", "v"), f"id {kind}, n bigint, s double", work, block_rows).groupBy("id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    total_of = lambda found: found.groupBy("id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    found = self_grid(rows.select("id", "m", "v"), f"id {kind}, n bigint, s double", work, block_rows, merged=total_of)
     return found.join(rows.select("id", "m"), "id").select("id", (F.col("n") + F.col("m") - 1).alias("ligacoes"), (F.col("s") + F.col("m") - 1).alias("soma"))
 
 

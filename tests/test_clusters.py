@@ -235,3 +235,24 @@ def test_similar_pairs_are_not_written(spark):
     s = _sims([[1.0, i / 50] for i in range(40)])
     assert {(r["a"], r["b"]) for r in pairs.collect()} == {(i, j) for i in range(40) for j in range(i + 1, 40) if s[i][j] > 0.9}
     assert pairs.count() == len(pairs.collect())
+
+
+def test_products_write_merged_rows(spark, monkeypatch):
+    """What pairs of blocks find is written once a row, not once for each pair of blocks; an audit writes its counts only."""
+    written = []
+    real = V.cut
+
+    def noted(df):
+        out = real(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(V, "cut", noted)
+    rows = real(spark.createDataFrame([(i, 1, [1.0, i / 1000]) for i in range(40)], "id int, m int, v array<double>").repartition(8, "id"))
+    got = {r["id"]: r["ligacoes"] for r in V.weighted_degrees(rows, 0.9, 3).collect()}
+    assert got == dict.fromkeys(range(40), 39)
+    assert [n for columns, n in written if columns == ["id", "n", "s"]] == [40]
+    vectors = rows.select(F.col("id").alias("seq_documento"), F.col("v").alias("vetor"))
+    groups = clusters.density(vectors, vectors, 90, session="s")
+    assert [r["resultado"] for r in clusters.audit(groups, vectors, "s", 90).orderBy("ordem").collect()] == ["ok", "40", "1", *["ok"] * 5]
+    assert [n for columns, n in written if "orfao" in columns] == [1]
