@@ -49,6 +49,7 @@ def _settled(rows: DataFrame, limit: float, head: int, block_rows: int) -> DataF
 
     While there are more than ``head``, all rows without a similar one before them are taken at once and their like leave.
     Of a product of blocks only the rows come out that have a similar one before them, so a dense group costs no more than a loose one.
+    ``rows`` is a table that :func:`cut` gave and that nothing else reads: it is deleted as soon as it has been used.
     """
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -63,16 +64,15 @@ def _settled(rows: DataFrame, limit: float, head: int, block_rows: int) -> DataF
 
     taken, open_ = [], rows
     while open_.count() > head:
-        lost = V.self_grid(open_, f"id {kind}", beaten, block_rows).distinct()
+        lost = V.self_grid(open_, f"id {kind}", beaten, block_rows, merged=DataFrame.distinct)
         fresh = cut(open_.join(lost, "id", "left_anti"))
         taken.append(fresh)
         behind = cut(open_.join(lost, "id", "left_semi"))
-        before, open_ = open_, cut(behind.join(V.near_any(behind, fresh, limit, block_rows), "id", "left_anti"))
+        free(open_)
+        open_ = cut(behind.join(V.near_any(behind, fresh, limit, block_rows), "id", "left_anti"))
         free(behind)
-        if before is not rows:
-            free(before)
     out = cut(functools.reduce(DataFrame.unionByName, (t.select("id", "r", "v") for t in [*taken, _greedy(open_, limit)])))
-    for done in [*taken, *([open_] if open_ is not rows else [])]:
+    for done in [*taken, open_]:
         free(done)
     return out
 
@@ -90,16 +90,21 @@ def centroids_in_order(rows: DataFrame, limit: float, head: int = HEAD, block_ro
         if first is None:
             break
         upto = max(upto, first + head - 1)
-        now = cut(left.where(F.col("r") <= upto))
+        now, rest = cut(left.where(F.col("r") <= upto)), cut(left.where(F.col("r") > upto))
+        # The two parts take the room of the whole, which isn't needed any more, unless it is what the caller gave.
+        if taken:
+            free(left)
         fresh = _settled(now, limit, head, block_rows)
-        free(now)
         taken.append(fresh)
-        rest = left.where(F.col("r") > upto)
-        before, left = left, cut(rest.join(V.near_any(rest, fresh, limit, block_rows), "id", "left_anti"))
-        if len(taken) > 1:
-            free(before)
+        left = cut(rest.join(V.near_any(rest, fresh, limit, block_rows), "id", "left_anti"))
+        free(rest)
         upto *= 4
-    return cut(functools.reduce(DataFrame.unionByName, taken)) if taken else left
+    if not taken:
+        return left
+    out = cut(functools.reduce(DataFrame.unionByName, taken))
+    for done in [*taken, left]:
+        free(done)
+    return out
 
 
 def _placed(unit: DataFrame, ranked: DataFrame, limit: float, last: bool, head: int, block_rows: int) -> DataFrame:
