@@ -347,9 +347,12 @@ def _anchored(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, in
 def _runs(text: str, taken: Taken) -> Iterator[tuple[int, int]]:
     """Runs of two capitalised words or more that may be a person's name: not of an address, a company or an office."""
     for m in _RUN.finditer(text):
+        run = m.group()
+        words = run.split()
+        if len(words) < 2:
+            continue
         a, b = m.span()
-        words = m.group().split()
-        lows = m.group().lower().split()
+        lows = run.lower().split()
         while words and (lows[0] in STARTERS or lows[0].strip(".") + "." in _TITLES or lows[0] in INSTITUTIONS):
             a += len(words[0])
             a += len(text[a:b]) - len(text[a:b].lstrip())

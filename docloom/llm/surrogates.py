@@ -51,9 +51,15 @@ class Surrogates:
         self.given = given or {}
         self.gender = {name: gender for gender, names in self.given.items() for name in names}
         self.word_of = functools.lru_cache(100_000)(self._word_of)
+        self.digits_of = functools.lru_cache(100_000)(self._digits_of)
+        self.word = functools.lru_cache(100_000)(self._word)
+        # The key is taken in once; every number starts from a copy of that state.
+        self.keyed = hashlib.blake2b(key=key[:64], digest_size=32)
 
     def _number(self, what: str) -> int:
-        return int.from_bytes(hashlib.blake2b(what.encode("utf-8", "surrogatepass"), key=self.key[:64], digest_size=32).digest(), "big")
+        state = self.keyed.copy()
+        state.update(what.encode("utf-8", "surrogatepass"))
+        return int.from_bytes(state.digest(), "big")
 
     def _mixed(self, value: int, size: int, what: str, back: bool = False) -> int:
         """A keyed permutation of the numbers below ``size`` (alternating sums over two factors), or its inverse."""
@@ -64,12 +70,13 @@ class Surrogates:
             shift = self._number(f"{what}|{size}") % size
             return (value - shift if back else value + shift) % size
         left, right = divmod(value, root)
+        own = f"{what}|{size}|"
         for turn in reversed(range(6)) if back else range(6):
             if turn % 2 == 0:
-                shift = self._number(f"{what}|{size}|{turn}|{right}")
+                shift = self._number(f"{own}{turn}|{right}")
                 left = (left - shift if back else left + shift) % sizes[0]
             else:
-                shift = self._number(f"{what}|{size}|{turn}|{left}")
+                shift = self._number(f"{own}{turn}|{left}")
                 right = (right - shift if back else right + shift) % sizes[1]
         return left * root + right
 
@@ -82,6 +89,10 @@ class Surrogates:
 
     def digits(self, digits: str) -> str:
         """Another string of as many digits."""
+        # Short ones (house numbers, say) come again and again.
+        return self.digits_of(digits) if len(digits) < 6 else self._digits_of(digits)
+
+    def _digits_of(self, digits: str) -> str:
         return str(self.moved(int(digits), 10 ** len(digits), "d")).zfill(len(digits)) if digits else ""
 
     def number(self, text: str, keep: int = 0) -> str:
@@ -114,7 +125,7 @@ class Surrogates:
             if (word := "".join(reversed(out))) not in self.gender:
                 return word
 
-    def word(self, text: str) -> str:
+    def _word(self, text: str) -> str:
         """One word in the case of the original; particles of names stay."""
         if PARTICLES.fullmatch(text):
             return text

@@ -299,3 +299,29 @@ def test_arrow_slices_are_read_right():
     whole = [x for _, _, ids, _ in bpe.encode_array(texts.slice(1, 4), bpe.encoder()) for x in ids.tolist()]
     tool = bpe.encoder()
     assert whole == [int(i) for t in ("um", " dois", "tr", "ês") for i in tool.ids(t.encode())] or len(whole) > 2
+
+
+def test_surroundings_of_runs_are_whole_words():
+    """The nearest words around a place, whether they are near or far, on one line or several."""
+    from docloom.llm import names
+
+    words = ["a", "de", "testemunha", "inconstitucionalissimamente", "12", ",", "x" * 30]
+    text = " ".join(words[(i * i + 3 * i) % len(words)] for i in range(200)) + "\n\nfim de linha\n"
+    for a in range(0, len(text), 7):
+        before, after = names._around(text, a, a)
+        own = names._WORD.findall(text[max(0, a - 400) : a])
+        assert before == own[len(own) - len(before) :] and (len(before) == 3 or "\n" in text[:a] or a < 80)
+        assert after == names._WORD.findall(text[a:])[:3]
+
+
+def test_surrogates_are_kept():
+    """The replacements of a key stay as they were when they were first given, and what comes again isn't computed again."""
+    from docloom.llm.surrogates import Surrogates
+
+    one = Surrogates(b"docloom")
+    mixed = []
+    real = one._mixed
+    one._mixed = lambda *args, **more: mixed.append(1) or real(*args, **more)
+    assert (one.words("Rua Souza 123"), one.number("99999-1234")) == ('Tia Wuavu 073', '85151-2234')
+    first = len(mixed)
+    assert (one.words("Rua Souza 123"), one.number("12")) and len(mixed) == first + 2
