@@ -147,3 +147,19 @@ def test_document_vectors_have_the_usual_length(spark):
 
     rows = queries.document_vectors(spark, "/root/testdata/sf0.001").collect()
     assert rows and {len(r["vetor"]) for r in rows if r["vetor"]} == {300}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_document_vectors_clean_each_text_once(spark, monkeypatch):
+    from docloom.plans import queries
+
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        raise InterruptedError
+
+    monkeypatch.setattr(queries, "cut", kept)
+    with pytest.raises(InterruptedError):
+        queries.document_vectors(spark, "/root/testdata/sf0.001")
+    assert plans[0].count(" zero ") == 1
